@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footing.llm import chat, packing, sharding
+from footing.llm import chat, jaccard, packing, sharding
 from footing.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_sharding, op6_chat_formatting)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_sharding, op6_chat_formatting, op10_jaccard_join)}
 
 ORACLE_SQL: dict[str, str] = {}
