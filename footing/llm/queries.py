@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footing.llm import chat, jaccard, packing, quality, sharding
-from footing.llm.common import table
+from footing.llm import chat, jaccard, packing, quality, sharding, toxicity
+from footing.llm.common import fold, table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,10 +43,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure_quality(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scorer = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, scorer)
+    return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_sharding, op6_chat_formatting, op8_quality_rules, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_sharding, op6_chat_formatting, op8_quality_rules, op9_toxicity, op10_jaccard_join)}
 
 ORACLE_SQL: dict[str, str] = {}
