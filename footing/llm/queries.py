@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footing.llm import chat, decontamination, jaccard, licenses, packing, quality, sharding, toxicity
+from footing.llm import chat, decontamination, html, jaccard, licenses, packing, quality, sharding, toxicity
 from footing.llm.common import fold, table
 
 
@@ -25,6 +25,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
@@ -68,6 +72,7 @@ QUERIES = {
         op1_best_fit_packing,
         op2_license_scan,
         op4_sharding,
+        op5_html_extraction,
         op6_chat_formatting,
         op7_decontamination,
         op8_quality_rules,
