@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footing.llm import chat, decontamination, html, jaccard, licenses, packing, quality, sharding, toxicity
+from footing.llm import chat, decontamination, html, jaccard, language_model, licenses, packing, quality, sharding, toxicity
 from footing.llm.common import fold, table
 
 
@@ -20,6 +20,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = fold("doc_id")
+    scored = language_model.score_documents(table(spark, sf_dir, "documents"), part != 1)
+    return scored.select("doc_id", (part == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"), shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -71,6 +77,7 @@ QUERIES = {
     for f in (
         op1_best_fit_packing,
         op2_license_scan,
+        op3_lm_scoring,
         op4_sharding,
         op5_html_extraction,
         op6_chat_formatting,
