@@ -15,8 +15,11 @@ only, is broadcast; pieces look up their place by rank among the pieces of their
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,9 @@ from pyspark.sql.window import Window
 from footing.llm.common import durable, text_bytes
 
 #: Words whose ids a worker keeps; beyond that it starts anew.  A cache: no result depends on it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
+#: Documents that are encoded together.
+GROUP = 128
 #: Rank buckets, so that no length's pieces are numbered by one task.
 RANK_BUCKETS = 64
 
@@ -45,54 +50,123 @@ PIECES = T.StructType(
 
 
 class WordEncoder:
-    """Ids as little-endian unsigned 32-bit bytes, word by word, with a cache of words.
+    """Ids as little-endian unsigned 32-bit bytes, word by word, with caches of words and pieces.
 
     The vocabulary's normaliser and splitter never look across white space, so a text's
     ids are those of its words in order.  Python's split also parts at four control
     characters that the vocabulary does not take for white space; texts that hold one
-    are encoded whole, as are single words that the special tokens may touch.
+    are encoded whole.  Words of Latin letters are cut into the splitter's pieces here, as
+    many words differ in marks or case only; all others go to the tokenizer as they are.
     """
 
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+    # Fixed value: the pattern in the vocabulary file.
+    PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: Below this character lower case and composition are the same everywhere.
+    PLAIN = "\u0130"
 
     def __init__(self, path: str) -> None:
+        import regex
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core's work
         self.tokenizer = Tokenizer.from_file(path)
+        self.split = regex.compile(self.PIECE).findall
+        self.marks = re.compile(r"[^\w\s][,.](?=\s)|_[,.](?=\s)").search
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        if any(c in text for c in self.ODD):
-            return self._whole([text])[0]
-        parts = text.split()
-        try:
-            return b"".join([self.words[w] for w in parts])
-        except KeyError:
-            if len(self.words) > CACHE_WORDS:
-                self.words.clear()
-            new = [w for w in set(parts) if w not in self.words]
-            for k in range(0, len(new), 4096):
-                self.words.update(zip(new[k : k + 4096], self._whole(new[k : k + 4096])))
-            return b"".join([self.words[w] for w in parts])
+        out = []
+        for k in range(0, len(texts), 1024):
+            out += [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[k : k + 1024], add_special_tokens=False)]
+        return out
+
+    def _each(self, some: list[str]) -> list[bytes]:
+        """Ids of pieces, encoded in one go; each ends in the only id of its that ends a word."""
+        out: list[bytes] = []
+        for k in range(0, len(some), 4096):
+            part = some[k : k + 4096]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                body, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                out += [body[x:y] for x, y in zip(at, at[1:])]
+            else:
+                out += self._whole(part)
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        whole, cut, rest, known = [], {}, [], self.pieces
+        for w in new:
+            if w.isalpha() and w.isascii() and w.islower():
+                whole.append(w)
+            elif max(w) < self.PLAIN and "<|" not in w:  # special tokens hold this
+                cut[w] = self.split(w.lower())
+            else:
+                rest.append(w)
+        self.words.update(zip(whole, self._each(whole)))
+        pieces = [*{p for own in cut.values() for p in own if p not in known}]
+        known.update(zip(pieces, self._each(pieces)))
+        self.words.update({w: b"".join([known[p] for p in own]) for w, own in cut.items()})
+        self.words.update(zip(rest, self._whole(rest)))
+
+    def _levelled(self, text: str) -> str:
+        """The text in lower case, commas and stops apart from their words: fewer distinct words.
+
+        Only of Latin texts in which no other mark stands before such a comma or stop, as
+        the splitter keeps marks together.
+        """
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+        if "<|" in text or self.marks(text):
+            return text
+        return text.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; new words of all of them are learned together."""
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+            self.pieces.clear()
+        parts = [None if any(c in t for c in self.ODD) else self._levelled(t).split() for t in texts]
+        get = self.words.get
+        found = [[*map(get, p)] if p is not None else [] for p in parts]
+        short = {k: [i for i, x in enumerate(own) if x is None] for k, own in enumerate(found) if None in own}
+        self._learn([*{parts[k][i] for k, missing in short.items() for i in missing}])
+        for k, missing in short.items():
+            for i in missing:
+                found[k][i] = get(parts[k][i])
+        return [b"".join(own) if p is not None else self._whole([t])[0] for t, p, own in zip(texts, parts, found)]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """A worker's encoder, kept from task to task."""
+    return WordEncoder(path)
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, keep_ids: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32, ids (if kept)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = WordEncoder(vocabulary), np.asarray([end_id], dtype="<u4").tobytes()
+        encode, tail = encoder(vocabulary).encode, np.asarray([end_id], dtype="<u4").tobytes()
         width = 4 * capacity
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(body.as_py()) + tail
-                for k in range(0, len(ids), width):
-                    part = ids[k : k + width]
-                    for column, value in zip(out, (doc, k // width, k // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None)):
-                        column.append(value)
+            for first in range(0, batch.num_rows, GROUP):
+                some = batch.slice(first, GROUP)
+                for doc, own in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
+                    ids = own + tail
+                    for k in range(0, len(ids), width):
+                        part = ids[k : k + width]
+                        for column, value in zip(out, (doc, k // width, k // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None)):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=PIECES.names)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, PIECES)
