@@ -1,9 +1,10 @@
 """Benchmark items in documents, up to a share of edits, by the pigeonhole principle.
 
 An item of n characters may differ by k = floor(share * n) edits.  Cut into k + 1 pieces,
-at least one piece stands unchanged in any such copy.  All pieces are found in one pass by
-an Aho-Corasick automaton; around each hit Myers' bit-parallel algorithm computes the least
-edit distance between the item and any stretch of the text.
+at least one piece stands unchanged in any such copy; cut into k + s, at least s do, and the
+starts they imply lie within k of each other.  All pieces are found in one pass by an
+Aho-Corasick automaton; where s hits agree, Myers' bit-parallel algorithm computes the
+least edit distance between the item and any stretch of the text around them.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Share of an item's characters that edits may change.
 SHARE = 0.1
+#: Unchanged pieces asked for beyond the pigeonhole's one, and least characters of a piece then.
+SPARE, LEAST = 3, 6
 #: Characters of items in one automaton; more items make more passes.
 BLOCK_CHARS = 4_000_000
 _WORDS = re.compile(r"[^\W_]+")
@@ -27,10 +30,15 @@ def normal(text: str) -> str:
     return " ".join(_WORDS.findall(text.lower()))
 
 
+def spare(n: int, share: float = SHARE) -> int:
+    """Pieces that must stand unchanged: up to SPARE, where pieces keep LEAST characters; else one."""
+    return max(1, min(SPARE, n // LEAST - int(share * n)))
+
+
 def pieces(item: str, share: float = SHARE) -> list[tuple[int, str]]:
-    """(offset, piece): the item in one piece more than its edits, of near equal length."""
-    k = int(share * len(item))
-    cuts = [len(item) * i // (k + 1) for i in range(k + 2)]
+    """(offset, piece): as many pieces as edits and spare ones, of near equal length."""
+    n = int(share * len(item)) + spare(len(item), share)
+    cuts = [len(item) * i // n for i in range(n + 1)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
@@ -71,7 +79,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], share: float) -> None:
         import ahocorasick
 
-        self.items = {k: (t, masks(t), int(share * len(t))) for k, t in items}
+        self.items = {k: (t, masks(t), int(share * len(t)), spare(len(t), share)) for k, t in items}
         where: dict[str, list[tuple[int, int]]] = {}
         for k, t in items:
             for offset, piece in pieces(t, share):
@@ -83,19 +91,31 @@ class Matcher:
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item, distance, start, end) of the best stretch for each item within its edits."""
-        windows: dict[int, list[list[int]]] = {}
+        hits: dict[int, list[tuple[int, int]]] = {}
         for last, (size, places) in self.automaton.iter(text):
             for k, offset in places:
-                item, _, allowed = self.items[k]
-                a = last + 1 - size - offset - allowed
-                own = windows.setdefault(k, [])
-                if own and a <= own[-1][1]:  # starts come nearly in order: one stretch of hits
-                    own[-1][0], own[-1][1] = min(a, own[-1][0]), max(own[-1][1], a + len(item) + 2 * allowed)
+                hits.setdefault(k, []).append((last + 1 - size - offset, offset))
+        windows: dict[int, list[list[int]]] = {}
+        for k, own in hits.items():
+            item, _, allowed, least = self.items[k]
+            if len(own) < least:
+                continue
+            own.sort()
+            first = 0
+            for at in range(len(own)):
+                while own[at][0] - own[first][0] > allowed:
+                    first += 1
+                if at - first + 1 < least or len({offset for _, offset in own[first : at + 1]}) < least:
+                    continue
+                a, b = own[first][0] - allowed, own[at][0] + len(item) + allowed
+                kept = windows.setdefault(k, [])
+                if kept and a <= kept[-1][1]:  # starts are in order: one stretch of hits
+                    kept[-1][1] = max(b, kept[-1][1])
                 else:
-                    own.append([a, a + len(item) + 2 * allowed])
+                    kept.append([a, b])
         out = []
         for k, own in sorted(windows.items()):
-            item, eq, allowed = self.items[k]
+            item, eq, allowed, _ = self.items[k]
             best = None
             for a, b in own:
                 a = max(0, a)
