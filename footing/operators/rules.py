@@ -40,6 +40,11 @@ class Context:
     previous_line: Column
     seen_header: Column
     seen_header_on_page: Column
+    header_line: Column
+
+    def seen(self, flag: str) -> Column:
+        """Whether an earlier line of the document matches the flag's pattern."""
+        return F.col(f"flag_{flag}")
 
 
 @dataclass(frozen=True)
@@ -104,8 +109,8 @@ def with_zones(lines: DataFrame, zones: Sequence[Zone]) -> DataFrame:
     return lines.withColumn("marker", chain).withColumn("zone", F.coalesce(F.last(names, ignorenulls=True).over(upto), F.lit(BODY)))
 
 
-def with_context(lines: DataFrame, header: str | None = None) -> DataFrame:
-    """Adds the neighbouring non-blank lines of the page, and whether a table header came before."""
+def with_context(lines: DataFrame, header: str | None = None, flags: dict[str, str] | None = None) -> DataFrame:
+    """Adds the neighbouring non-blank lines of the page, the table header before, and the flags."""
     blank = is_blank(F.col("line"))
     text = F.when(~blank, F.col("line"))
     page = _order("page")
@@ -119,12 +124,14 @@ def with_context(lines: DataFrame, header: str | None = None) -> DataFrame:
             "next_line": F.first(text, ignorenulls=True).over(after),
             "seen_header": F.coalesce(F.max(head).over(earlier), F.lit(0)) == 1,
             "seen_header_on_page": F.coalesce(F.max(head).over(before), F.lit(0)) == 1,
+            "header_line": F.last(F.when(head == 1, F.col("line")), ignorenulls=True).over(earlier),
         }
+        | {f"flag_{k}": F.coalesce(F.max(F.col("line").rlike(p)).over(earlier), F.lit(False)) for k, p in (flags or {}).items()}
     )
 
 
 def _context() -> Context:
-    return Context(*[F.col(c) for c in ("line", "zone", "next_line", "previous_line", "seen_header", "seen_header_on_page")])
+    return Context(*[F.col(c) for c in ("line", "zone", "next_line", "previous_line", "seen_header", "seen_header_on_page", "header_line")])
 
 
 def _applies(rule: Rule) -> Column:
@@ -142,14 +149,14 @@ def _kind_of(number: Column, rules: Sequence[Rule]) -> Column:
     return F.coalesce(F.get(kinds, number), F.lit("unclassified"))
 
 
-def classify(lines: DataFrame, rules: Sequence[Rule], zones: Sequence[Zone] = (), header: str | None = None, blank_is_ignorable: bool = True) -> DataFrame:
+def classify(lines: DataFrame, rules: Sequence[Rule], zones: Sequence[Zone] = (), header: str | None = None, blank_is_ignorable: bool = True, flags: dict[str, str] | None = None) -> DataFrame:
     """doc_id, page, line_no, raw, zone, kind, rule, fields, nums, row_error of every line.
 
     Zone markers come first, then blank lines (dropped, or unclassified if not ignorable),
     then the first rule that applies; all else is unclassified.  row_error marks a money
     kind whose amount cannot be read; it concerns that document alone.
     """
-    base = with_context(with_zones(lines, zones), header)
+    base = with_context(with_zones(lines, zones), header, flags)
     plain = [k for k, r in enumerate(rules) if r.anchor is None]
     chain: Column = F.lit(None).cast("int")
     for k in reversed(plain):
