@@ -189,3 +189,19 @@ def find_items(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text
     if out is None:
         out = docs.sparkSession.createDataFrame([], f"{kept}{MATCHES}")
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *names[len(keep) :])
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs, all columns, whose text holds no item; see :func:`find_items`."""
+    schema, at = docs.schema, docs.columns.index(text)
+    for block in _blocks(benchmark, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(shared.value, share)
+            for batch in batches:
+                clean = [not matcher.find(normal(x.as_py() or "")) for x in batch.column(at)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

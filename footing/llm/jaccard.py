@@ -256,3 +256,23 @@ def _candidate_sets(sketches: DataFrame, nodes: DataFrame, source: DataFrame, wi
     small = F.broadcast if chosen.count() <= BROADCAST_IDS else (lambda x: x)
     rows = source.join(small(chosen), source["doc_id"].eqNullSafe(chosen["chosen"])).select("node", "body")
     return durable(rows.mapInArrow(_sets(width), "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, bounds: Bounds = Bounds(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs, all columns, that stand for their component: those with its least id.
+
+    Repeated rows of an id stay once for each distinct text.  Rows without an id give way to
+    one with an id in their component; else they stay once for each distinct text.
+    """
+    found = durable(jaccard_components(docs, width, bounds, text, doc_id), "components-by-id")
+    gone = durable(found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    # ids alone are broadcast, and only if few; beyond that the texts are shuffled
+    small = F.broadcast if gone.count() <= BROADCAST_IDS else (lambda x: x)
+    rest = docs.join(small(gone), docs[doc_id].cast("long").eqNullSafe(gone["gone"]), "left_anti")
+    again = durable(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("again")), "repeated-ids")
+    n_again = again.count()
+    if not n_again:
+        return rest
+    few = F.broadcast(again) if n_again <= BROADCAST_IDS else again
+    same = docs[doc_id].cast("long").eqNullSafe(again["again"])
+    return rest.join(few, same, "left_anti").unionByName(rest.join(few, same, "left_semi").dropDuplicates([doc_id, text]))

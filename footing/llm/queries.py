@@ -72,6 +72,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,7 +91,22 @@ QUERIES = {
         op8_quality_rules,
         op9_toxicity,
         op10_jaccard_join,
+        pipeline,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# The other operators rest on a tokenizer, hashes, a trained model or an alignment, which SQL
+# does not have; their tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op10_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [list_aggregate(ws, 'string_agg', ' ')]
+        ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: list_aggregate(ws[i:i + 4], 'string_agg', ' '))) END AS sh FROM w),
+e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 100 * n >= 80 * (len(p.sh) + len(q.sh) - n)),
+t AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(d, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.d, t.b FROM r JOIN t ON r.m = t.a)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, (SELECT min(m) FROM r WHERE d = doc_id) AS component_id FROM s
+""",
+}
