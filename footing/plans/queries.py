@@ -9,6 +9,7 @@ from footing.functions import money as M
 from footing.functions import text as T
 from footing.operators import discover, folds, ladder, profiles, rules, sinks, state
 from footing.plans import invoices
+from footing.shipping import ship
 from footing.sources import documents as D
 
 QUERIES: dict = {}
@@ -27,6 +28,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
