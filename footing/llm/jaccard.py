@@ -14,7 +14,9 @@ keep it small:
 
 What is left is verified on the whole token sets.  Within a group of equal words each set is
 first compared with one leader; only groups that the verified links leave in several
-components are compared further, so a group of near copies never becomes all its pairs.
+components are compared further, by bit sketches (parities of the tokens dealt to bits),
+whose Hamming distance bounds the symmetric difference from below: first each set with its
+nearest ones of other components, and at the end all that may still link across components.
 """
 
 from __future__ import annotations
@@ -36,6 +38,10 @@ from footing.llm.words import WordIndex, mix, shingles
 SPARE = 1.15
 #: Candidate sets up to which their ids are broadcast (16 bytes each); beyond, a shuffle join.
 BROADCAST_IDS = 500_000
+#: Members of a group that one task compares with each other by their bit sketches.
+BLOCK = 2048
+#: Nearest neighbours of each set that a round verifies, before all that are left are.
+ROUNDS = (1, 8, None)
 #: Members that one copy of a leader's set is compared with in a task.
 MEMBERS = 256
 
@@ -237,15 +243,119 @@ def _linked(sketches: DataFrame, source: DataFrame, width: int, bounds: Bounds)
     first = joined.groupBy(F.col("node").alias("b")).agg(F.min("low").alias("a")).where("a < b")
     links = _verify(_degrees(first), sets, bounds)
     found = durable(components(links), "components")
-    # then the groups that these links leave apart, across the parts only
-    labelled = durable(joined.join(found, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "labelled")
-    apart = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
-    rest = durable(labelled.join(durable(apart, "apart"), "key"), "rest")
-    one, two = (rest.select("key", F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
-    pairs = durable(one.join(two, "key").where("a < b and label_a <> label_b").select("a", "b").distinct(), "cross-pairs")
-    if not pairs.take(1):
-        return found
-    return components(links.unionByName(_verify(_degrees(pairs), sets, bounds)))
+    # then the groups that these links leave apart, across the components only
+    sketched = None
+    for most in ROUNDS:
+        labelled = durable(joined.join(found, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "labelled")
+        apart = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("size")).where("l0 <> l1").select("key", "size")
+        rest = durable(labelled.join(durable(apart, "apart"), "key"), "rest")
+        if not rest.take(1):
+            break
+        if sketched is None:
+            sketched = _bit_sketches(sets.join(rest.select("node").distinct(), "node", "left_semi"))
+        pairs = durable(_across(rest, sketched, bounds, most), "cross-pairs")
+        fresh = _verify(_degrees(pairs), sets, bounds)
+        if fresh.take(1):
+            links = links.unionByName(fresh)
+            found = durable(components(links), "components")
+        joined = rest.select("key", "node")
+    return found
+
+
+def bit_sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the tokens dealt to 2 to 4 bits a token (a power of two), as 64-bit words.
+
+    Every token that only one of two sets holds flips one bit, so the Hamming distance never
+    exceeds the symmetric difference.  XOR of a sketch's halves is the sketch of half the bits.
+    """
+    width = 64 << max(0, _level(max(1, len(tokens))) + 2 - 6)
+    at = (mix(tokens ^ np.uint64(0x5DEECE66D)) & np.uint64(width - 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def near(sketches: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, blocks: np.ndarray, bounds: Bounds, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of different labels whose sizes and sketches allow a link.
+
+    For each i its ``most`` nearest, or all.  Members of several blocks: pairs across them only.
+    """
+    width = min(map(len, sketches))
+    rows = np.empty((len(sketches), width), dtype=np.uint64)
+    for k, x in enumerate(sketches):
+        while len(x) > width:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        rows[k] = x
+    across = blocks.min() != blocks.max()
+    left, right = [], []
+    step = max(1, 1_000_000 // (width * len(rows)))
+    for k in range(0, len(rows), step):
+        some = slice(k, k + step)
+        far = np.bitwise_count(rows[some, None, :] ^ rows[None, :, :]).sum(axis=2, dtype=np.int64)
+        a, b = sizes[some, None], sizes[None, :]
+        fits = (far <= (a + b) * (bounds.den - bounds.num) // (bounds.den + bounds.num)) & (labels[some, None] != labels[None, :])
+        fits &= (a * bounds.den >= b * bounds.num) & (b * bounds.den >= a * bounds.num)
+        if across:
+            fits &= blocks[some, None] != blocks[None, :]
+        if most is not None and most < len(rows):
+            far = np.where(fits, far, np.iinfo(np.int64).max)
+            best = np.argpartition(far, most - 1, axis=1)[:, :most]
+            chosen = np.zeros_like(fits)
+            np.put_along_axis(chosen, best, True, axis=1)
+            fits &= chosen
+        i, j = np.nonzero(fits)
+        left.append(i + k)
+        right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _bit_sketches(sets: DataFrame) -> DataFrame:
+    """node, n, bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([bit_sketch(x).tobytes() for x in own], pa.binary())], names=["node", "n", "bits"])
+
+    return durable(sets.select("node", "tokens").mapInArrow(run, "node long, n long, bits binary"), "bit-sketches")
+
+
+def _across(rest: DataFrame, sketched: DataFrame, bounds: Bounds, most: int | None) -> DataFrame:
+    """Pairs (a, b) that share a group, not a label, and whose bit sketches allow a link.
+
+    Sketches are compared in blocks within a task; of each set its ``most`` nearest go on.
+    A group of more than BLOCK members is dealt to blocks, and each pair of blocks is a
+    task's work.
+    """
+    rows = rest.join(sketched, "node").withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "bits")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        at, done = None, set()
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if len(held) < 2:
+                return
+            numbers = [np.array([x[k] for x in held]) for k in (4, 6, 5, 3)]
+            i, j = near([np.frombuffer(x[7], dtype=np.uint64) for x in held], *numbers[1:], bounds, most)
+            nodes = numbers[0]
+            pairs = {*zip(np.minimum(nodes[i], nodes[j]).tolist(), np.maximum(nodes[i], nodes[j]).tolist())} - done
+            if len(done) < 1_000_000:  # sets that share one group share others; a pair is passed on once a task
+                done.update(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != at:
+                    yield from found()
+                    held, at = [], row[:3]
+                held.append(row)
+        yield from found()
+
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
 def _candidate_sets(sketches: DataFrame, nodes: DataFrame, source: DataFrame, width: int) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from conftest import DOCS, SF
 
 from footing.llm import jaccard
@@ -81,6 +82,36 @@ def test_shared_passage_alone_does_not_link(spark):
     assert rows(jaccard.jaccard_components(docs)) == brute(docs.collect())
 
 
+def test_dense_group_just_below_the_threshold(spark):
+    """Copies too far from their source to link, of which a few link with each other."""
+    rng = random.Random(9)
+    source = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for _ in range(200):
+        words = list(source)
+        for at in rng.sample(range(120), rng.choice((2, 3, 5, 6))):
+            words[at] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS)
+    was, jaccard.BLOCK = jaccard.BLOCK, 40
+    try:
+        assert rows(jaccard.jaccard_components(docs)) == brute(docs.collect())
+    finally:
+        jaccard.BLOCK = was
+
+
+def test_bit_sketch_bounds_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 30, 64, 200, 1000):
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        for k in (0, 1, n // 5, n):
+            b = np.concatenate([a[k:], rng.integers(0, 2**63, k // 2).astype(np.uint64)])
+            x, y = jaccard.bit_sketch(a), jaccard.bit_sketch(b) if len(b) else jaccard.bit_sketch(b)
+            while len(x) > len(y):
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            assert np.bitwise_count(x ^ y).sum() <= k + k // 2
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     assert rows(jaccard.jaccard_components(odd_docs)) == brute(odd_docs.collect())
     assert jaccard.jaccard_components(no_docs).count() == 0
