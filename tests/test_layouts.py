@@ -56,6 +56,34 @@ Last one                       1.25/EA    2    2.50
 x  AMOUNT:  $23.50"""
 
 
+SECTIONS = """Some Laundry
+INVOICE # 4711    INVOICE DATE 01/02/2024
+EMP#/LOCK#  MATERIAL  DESCRIPTION             FREQ EXCH QTY UNIT PRICE LINE TOTAL TAX
+DEPT: FRONT
+0001        X100      SHIRT BLUE        L       01   F   2    1.250      2.50 Y
+0001        X200      PANTS                     01       1    3.00       3.00 Y
+                      LONG/NAVY
+0001   DOE, ANN   SUBTOTAL - 5.50
+            M300      SHOP TOWEL                D        10   0.10       1.00 N
+            PREP ADVANTAGE      0.50 Y
+FRONT SUBTOTAL    7.00
+EMPLOYEE 0001 OWES 20.00 REPLACEMENT CHARGE
+DEPT: BACK
+0001        X100      SHIRT BLUE                01       1    1.25       1.25 Y
+0001   DOE, ANN   SUBTOTAL - 1.25
+\fother letterhead
+EMP#/LOCK#  MATERIAL  DESCRIPTION             FREQ EXCH QTY UNIT PRICE LINE TOTAL TAX
+0002        X100      SHIRT RED                 01       2    1.25       2.50 Y
+0002   ROE, BOB   SUBTOTAL - 2.50
+SUBTOTAL    3.75
+            SERVICE CHARGE      4.00 N
+SUBTOTAL    14.75
+SALES TAX   1.00
+TOTAL USD   15.75
+SPECIAL PROGRAMS BREAKDOWN
+PREP ADVANTAGE   2  0.25  0.50 Y"""
+
+
 def run(spark, text, layout):
     lines = to_lines(to_pages(spark.createDataFrame([(1, text)], "doc_id long, text string")))
     out = L.run(lines, layout)
@@ -90,6 +118,20 @@ def test_unit_rates(spark):
     assert [i["description"] for i in items] == ["VOE for SOMEONE| Ref #: 12905023", "Long name at The Stop Market | Ref #: 7", "Last one"]
 
 
+def test_sections(spark):
+    v, items, head = run(spark, SECTIONS, L.SECTIONS)
+    assert v["depth"] == 5 and head["identity"] == "4711"
+    assert [(i["dept"], i["employee"], i["material"], i["description"], i["variant"], str(i["amount"])) for i in items] == [
+        ("FRONT", "0001", "X100", "SHIRT BLUE", "L", "2.50"),
+        ("FRONT", "0001", "X200", "PANTS LONG/NAVY", "", "3.00"),
+        ("FRONT", "", "M300", "SHOP TOWEL", "", "1.00"),
+        ("FRONT", "", "", "PREP ADVANTAGE", "", "0.50"),
+        ("BACK", "0001", "X100", "SHIRT BLUE", "", "1.25"),
+        ("BACK", "0002", "X100", "SHIRT RED", "", "2.50"),
+        ("BACK", "", "", "SERVICE CHARGE", "", "4.00"),
+    ]
+
+
 def test_a_changed_figure_is_caught(spark):
     lines = to_lines(to_pages(spark.createDataFrame([(1, UNITS.replace("5.00/EA    2    10.00", "5.00/EA    2    10.01"))], "doc_id long, text string")))
     v = L.run(lines, L.UNIT_RATES)["verdicts"].first()
