@@ -84,6 +84,37 @@ SPECIAL PROGRAMS BREAKDOWN
 PREP ADVANTAGE   2  0.25  0.50 Y"""
 
 
+DETAIL = """INVOICE SUMMARY
+Invoice Number: 5075
+COUNTY CRIMINAL SEARCH
+  OHIO         QTY   Unit Price   Tot. Fees   Total
+  Franklin      2    $3.00    $2.00    $8.00
+    County
+  Hamilton      1    $3.00    $0.00    $3.00
+Sub Total: 3   $11.00
+TEST
+Page 1 of 3
+\f  QTY   Unit Price   Tot. Fees   Total
+  1  $0.00  $0.00  $0.00
+Sub Total: 1  $0.00
+Grand Total: 4   $11.00
+\fDate     Search ID   Description    Fees   Price
+01/23/25   4939259   One county  $2.00   $3.00
+      Court Fee:  $2.00
+    LOS ANGELES, CA
+01/24/25   4939260        $0.00   $3.00
+Page 3 of 3
+      Late   Name
+01/24/25   4939261   Two  $0.00   $3.00
+01/24/25   4939262   Free  $0.00   $0.00
+50130-1500-125001    Total Search Fees:   $9.00
+   Total Court Fees:   $1.50
+   All Other Fees:   $0.50
+   Credit/Payments:   (-$1.00)
+   Balance Due:   $10.00
+   Grand Total:   $11.00"""
+
+
 def run(spark, text, layout):
     lines = to_lines(to_pages(spark.createDataFrame([(1, text)], "doc_id long, text string")))
     out = L.run(lines, layout)
@@ -132,6 +163,17 @@ def test_sections(spark):
     ]
 
 
+def test_summary_and_detail(spark):
+    v, items, head = run(spark, DETAIL, L.SUMMARY_AND_DETAIL)
+    assert v["depth"] == 14 and head["identity"] == "5075"
+    assert [(i["search_id"], i["description"], str(i["amount"])) for i in items] == [
+        ("4939259", "One county LOS ANGELES, CA", "5.00"),
+        ("4939260", "Late Name", "3.00"),
+        ("4939261", "Two", "3.00"),
+        ("4939262", "Free", "0.00"),
+    ]
+
+
 def test_a_changed_figure_is_caught(spark):
     lines = to_lines(to_pages(spark.createDataFrame([(1, UNITS.replace("5.00/EA    2    10.00", "5.00/EA    2    10.01"))], "doc_id long, text string")))
     v = L.run(lines, L.UNIT_RATES)["verdicts"].first()
