@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from footing.llm.words import drop_held
+
 #: Share of an item's characters that edits may change.
 SHARE = 0.1
 #: Unchanged pieces asked for beyond the pigeonhole's one, and least characters of a piece then.
@@ -171,6 +173,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text
         shared = docs.sparkSession.sparkContext.broadcast(block)  # at most block_chars and one item
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            drop_held()
             matcher = Matcher(shared.value, share)
             size = {k: len(t) for k, t in shared.value}
             for batch in batches:
@@ -198,6 +201,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, t
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            drop_held()
             matcher = Matcher(shared.value, share)
             for batch in batches:
                 clean = [not matcher.find(normal(x.as_py() or "")) for x in batch.column(at)]

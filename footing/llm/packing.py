@@ -19,7 +19,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from footing.llm.common import durable, text_bytes
+from footing.llm.common import durable
+from footing.llm.words import held
 
 #: Words whose ids a worker keeps; beyond that it starts anew.  A cache: no result depends on it.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 800_000
 #: Documents that are encoded together.
 GROUP = 128
 #: Rank buckets, so that no length's pieces are numbered by one task.
@@ -145,10 +145,9 @@ class WordEncoder:
         return [b"".join(own) if p is not None else self._whole([t])[0] for t, p, own in zip(texts, parts, found)]
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> WordEncoder:
     """A worker's encoder, kept from task to task."""
-    return WordEncoder(path)
+    return held(f"encoder {path}", lambda: WordEncoder(path))
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, keep_ids: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

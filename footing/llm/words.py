@@ -9,6 +9,22 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """What a worker keeps from task to task: one thing at a time, so that operators do not add up."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def drop_held() -> None:
+    """Called by tasks of operators that keep nothing, before they build their own tables."""
+    _HELD.clear()
+
+
 #: Words that a worker keeps before it starts anew.  A cache: no result depends on it.
 CACHE_WORDS = 600_000
 
@@ -20,6 +36,7 @@ class WordIndex(dict):
     """word -> index; ``hashes()[index]`` is the word's 64-bit hash."""
 
     def __init__(self) -> None:
+        drop_held()
         super().__init__()
         self._hashes = np.empty(1 << 16, dtype=np.uint64)
 
