@@ -2,8 +2,10 @@
 
 A written word is taken for a plain one sent through a channel that swaps letters for
 look-alike signs, repeats letters, and puts signs or spaces between them.  Every sign has
-its possible letters, which makes a lattice; Viterbi decoding under a character trigram
-model of the corpus picks the likeliest plain word.  Words and restored words are then
+its possible letters, and a sign or space between letters may be a word's end, which makes a
+lattice; Viterbi decoding under a character trigram model of the corpus picks the likeliest
+plain word.  What words a spelled-out run holds is decoded under the words of the labelled
+rows, and the character model for others.  Words and restored words are then
 looked up in weights learned from labelled rows: whole words and beginnings of words that
 occur in toxic rows far more often than chance.
 """
@@ -32,6 +34,8 @@ LOOKALIKES = {
 #: Log-probabilities of the channel: a look-alike, a look-alike that is
 #: dropped, another sign that is dropped, a dropped repeat.
 SWAP, DROP, SKIP, REPEAT = -1.0, -1.5, -1.0, -0.7
+#: Log-probability that a word of a run is none of the known ones.
+UNKNOWN = -4.0
 #: Character classes of the model: space, a-z, other ASCII, other letters.
 SIGNS = 29
 #: Beginnings of words that count as features, by length.
@@ -39,8 +43,12 @@ STEMS = (4, 5, 6, 7)
 CACHE_WORDS = 300_000
 
 _EDGE = ".,;:!?\"'()[]{}<>%&*#|-_~`=/\\"
+#: Signs at a chunk's edges that can stand for no letter.
+_PLAIN_EDGE = "".join(c for c in _EDGE if c not in LOOKALIKES)
 _LETTERS = re.compile(r"[^\W\d_]+")
-_SUSPECT = re.compile(r"([^\W\d_])\1\1|[^\W\d_][^\s\w]+[^\W\d_]|[^\W\d_]_[^\W\d_]|[^\W\d_][0-9@$!|+(<€£#*?]|[0-9@$!|+(<€£#*?][^\W\d_]")
+#: Three characters with signs between them.
+_SPELLED = re.compile(r"\w[^\s\w]+\w[^\s\w]+\w|[^\W_]_[^\W_]_[^\W_]")
+_SUSPECT = re.compile(r"([^\W\d_])\1|[^\W\d_][^\s\w]+[^\W\d_]|[^\W\d_]_[^\W\d_]|[^\W\d_][0-9@$!|+(<€£#*?]|[0-9@$!|+(<€£#*?][^\W\d_]")
 
 
 def _class_table() -> np.ndarray:
@@ -91,59 +99,130 @@ def character_model(counts: Iterable[tuple[int, int]]) -> np.ndarray:
 
 @dataclass
 class Decoder:
-    """Restores obfuscated words; ``model`` as :func:`character_model` gives it."""
+    """Restores obfuscated words; ``model`` as :func:`character_model` gives it.
+
+    ``lexicon``: known words with their log-probabilities, by which runs are parted.
+    """
 
     model: list = field(repr=False)
+    lexicon: dict[str, float] = field(repr=False, default_factory=dict)
 
-    def options(self, word: str, meant: bool = False) -> list[list[tuple[str, float]]]:
+    def __post_init__(self) -> None:
+        self.lengths = sorted({len(w) for w in self.lexicon})
+
+    def options(self, word: str, meant: bool = False, broken: bool = False) -> list[list[tuple[str, float]]]:
         """The lattice: per character what it may stand for, with the channel's log-probability.
 
         ``meant``: every look-alike stands for a letter; else it may be dropped as well.
+        ``broken``: a sign that may be dropped may be a word's end instead.  A space is either.
         """
         out = []
-        for k, c in enumerate(word):
+        before = ""
+        for c in word:
+            if c == " ":
+                out.append([("", 0.0), (" ", 0.0)])
+                continue
             own = [(c, 0.0)] if c.isalpha() else []
             own += [(x, SWAP) for x in LOOKALIKES.get(c, "")]
             if not c.isalpha() and not (meant and own):
-                own.append(("", DROP if own else SKIP))
-            if k and c == word[k - 1]:
+                cost = DROP if own else SKIP
+                own += [("", cost), (" ", cost)] if broken else [("", cost)]
+            if c == before:
                 own.append(("", REPEAT))
+            before = c
             out.append(own)
         return out
 
-    def restore(self, word: str, meant: bool = False) -> str:
-        """The likeliest plain word; ties go to the first found."""
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for own in self.options(word, meant):
-            following: dict[tuple[int, int], tuple[float, str]] = {}
+    def restore(self, word: str, meant: bool = False, broken: bool = False) -> str:
+        """The likeliest plain word, or words; ties go to the first found.
+
+        At most SIGNS ** 2 states a character; paths are links to what lies before.
+        """
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for own in self.options(word, meant, broken):
+            following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, done) in best.items():
                 for letter, cost in own:
-                    to, gain, text = (a, b), score + cost, done
+                    to, gain, path = (a, b), score + cost, done
                     if letter:
                         c = _class(letter)
-                        to, gain, text = (b, c), gain + self.model[a][b][c], done + letter
+                        to, gain, path = (b, c), gain + self.model[a][b][c], (done, letter)
                     if to not in following or gain > following[to][0]:
-                        following[to] = (gain, text)
+                        following[to] = (gain, path)
             best = following
-        return max(best.items(), key=lambda x: (x[1][0] + self.model[x[0][0]][x[0][1]][0]))[1][1]
+        path = max(best.items(), key=lambda x: (x[1][0] + self.model[x[0][0]][x[0][1]][0]))[1][1]
+        out = []
+        while path:
+            path, letter = path
+            out.append(letter)
+        return "".join(reversed(out))
+
+    def parted(self, letters: str) -> list[str]:
+        """The likeliest words that letters written without spaces hold, in linear time.
+
+        A word is a known one, or any other under the character model.
+        """
+        model, known = self.model, self.lexicon.get
+        ends: list[tuple[float, int]] = [(0.0, 0)]  # best score of words up to here, and the last one's start
+        opened = (-math.inf, 0)  # an unknown word of two letters or more that goes on, and its start
+        cs = [0, *map(_class, letters), 0]
+        for k in range(1, len(letters) + 1):
+            a, b, c = cs[k - 2] if k > 1 else 0, cs[k - 1], cs[k]
+            first = ends[k - 1][0] + UNKNOWN + model[0][0][c]  # a word's first letter
+            best = (first + model[0][c][0], k - 1)
+            if k > 1:
+                second = (ends[k - 2][0] + UNKNOWN + model[0][0][b] + model[0][b][c], k - 2)
+                opened = max((opened[0] + model[a][b][c], opened[1]), second)
+                best = max(best, (opened[0] + model[b][c][0], opened[1]))
+            for n in self.lengths:
+                if n > k:
+                    break
+                p = known(letters[k - n : k])
+                if p is not None:
+                    best = max(best, (ends[k - n][0] + p, k - n))
+            ends.append(best)
+        out, k = [], len(letters)
+        while k:
+            out.append(letters[ends[k][1] : k])
+            k = ends[k][1]
+        return out[::-1]
+
+    def spelled(self, word: str, meant: bool) -> set[str]:
+        """Words of what may be several, each letter apart by a sign or space: as they restore, and as known words part them."""
+        found = self.restore(word, meant, broken=True).split()
+        return {*found, *self.parted("".join(found))}
 
     def readings(self, chunk: str) -> list[str]:
-        """Plain words that a chunk without spaces (lower case) may hold: its letters, and what it restores to."""
+        """Plain words that a chunk without spaces (lower case) may hold: its letters, and what it restores to.
+
+        Signs at its edges may be letters or not: it is restored with them and without.
+        """
         bare = chunk.strip(_EDGE)
         out = _LETTERS.findall(bare)
-        if len(bare) <= 64 and _SUSPECT.search(bare):
-            out += {self.restore(bare), self.restore(bare, meant=True)}
+        for c in {bare, chunk.strip(_PLAIN_EDGE)}:
+            if _SUSPECT.search(c):
+                out += {self.restore(c), self.restore(c, meant=True)}
+                if _SPELLED.search(c):
+                    out += self.spelled(c, False) | self.spelled(c, True)
         return out
 
     def spaced(self, chunks: list[str]) -> list[str]:
-        """Words spelled with a space after each character: runs of three or more single ones."""
+        """Words spelled with a space after each character: runs of three or more single ones.
+
+        A run is read as one word, and as the words that it parts into.
+        """
         out, run = [], []
         for c in [*chunks, "--"]:
+            if len(c) > 1 and not (c[0].isalnum() and c[-1].isalnum()):
+                c = c.strip(_EDGE) or c
             if len(c) == 1:
                 run.append(c)
                 continue
-            if 3 <= len(run) <= 64 and len(set(run)) > 1:
-                out += {self.restore("".join(run)), self.restore("".join(run), meant=True)}
+            if len(run) >= 3 and len(set(run)) > 1:
+                out += self.parted("".join(filter(str.isalpha, run)))
+                for meant in (False, True):
+                    whole = self.restore("".join(run), meant)
+                    out += {whole, *self.parted(whole), *self.spelled(" ".join(run), meant)}
             run = []
         return out
 
@@ -176,10 +255,9 @@ class Scorer:
                 w = cache[c] = self._best(self.decoder.readings(c))
             if w > -math.inf:
                 out.append(w)
-        if sum(map((1).__eq__, map(len, chunks))) >= 3:
-            w = self._best(self.decoder.spaced(chunks))
-            if w > -math.inf:
-                out.append(w)
+        w = self._best(self.decoder.spaced(chunks))
+        if w > -math.inf:
+            out.append(w)
         return sorted(out, reverse=True)
 
     def score(self, text: str) -> float:
@@ -294,6 +372,9 @@ def train(docs: DataFrame, labels: DataFrame, decoder: Decoder, training: Traini
     toxic, n_toxic = sample(True, training.max_toxic)
     clean, n_clean = sample(False, training.max_clean)
     bad = counts(toxic, None, training.least) if n_toxic else {}
+    known = sum(n for f, n in bad.items() if f[0] == "=")
+    decoder = Decoder(decoder.model, {f[1:]: math.log(n / known) for f, n in bad.items() if f[0] == "=" and len(f) > 1})
+    bad = counts(toxic, None, training.least) if bad else {}  # with the words that runs part into
     good = counts(clean, frozenset(bad), 1) if bad and n_clean else {}
     # clean rows stand for as many as there are beside the toxic ones
     scale = (totals.get(False, 0) / max(1, n_clean)) / (totals.get(True, 1) / max(1, n_toxic))

@@ -65,3 +65,20 @@ def test_odd_rows(spark, odd_docs, no_docs):
     rows = toxicity.score_toxicity(odd_docs, scorer).collect()
     assert len(rows) == odd_docs.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert toxicity.score_toxicity(no_docs, toxicity.fit_toxicity(no_docs, labels.limit(0))).count() == 0
+
+
+def test_every_word_of_a_spelled_out_text_is_scored(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    scorer = toxicity.fit_toxicity(docs, spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
+
+    def spell(text, sign=" "):
+        return sign.join(text.replace(" ", ""))
+
+    long = "go home now and leave us all alone here because " * 2 + "you are an idiot"
+    bad = ["such a l o s e r", spell("idiot stupid"), spell(long), spell(long, "."), "idi" + "o" * 65 + "t", "he is an i d i o t, really", "he is an i. d. i. o. t.", "an idiott"]
+    for text in bad:
+        assert scorer.score(text) >= 0.5, text
+    for text in (spell("the class assessment of this year"), spell("the weather is nice today", "."), "1 2 3 4 5 6 " * 40, "a = b + c", "what? (see end!"):
+        assert scorer.score(text) < 0.5, text
+    assert "idiot" in scorer.decoder.readings("|diot.")
+    assert len(scorer.decoder.parted("idiot" * 20_000)) >= 20_000
