@@ -57,6 +57,8 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|([^\s=\"'<>/]+)")
 _SPACE = re.compile(r"\s+")
+_ROOT = re.compile(r"<(?:article|main)", re.I | re.A)
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I | re.A) for name in RAW}
 
 
 @dataclass
@@ -89,14 +91,16 @@ def _unwanted(name: str, attributes: dict[str, str], inside: bool) -> bool:
     return name not in ("html", "body", "article", "main") and bool(marks & MARKS) and not marks & OWN
 
 
-def parse(page: str, templates: frozenset[int] = frozenset(), host: str = "") -> tuple[list[str], set[int]]:
+def parse(page: str, templates: frozenset[int] = frozenset(), host: str = "", rooted: bool | None = None) -> tuple[list[str], set[int]]:
     """The article's blocks, and hashes of subtrees that may belong to a template.
 
     Without an article or main element the whole body counts as the article, and then
-    every block element may be a template.
+    every block element may be a template.  So it does where they are only named in scripts,
+    comments or other elements' names, or stand in a dropped element: the page is then read again.
     """
-    low = page.lower()
-    rooted = "<article" in low or "<main" in low
+    if rooted is None:
+        rooted = _ROOT.search(page) is not None
+    opened = False
     blocks: list[str] = []
     line: list[str] = []
     hashes: set[int] = set()
@@ -186,17 +190,20 @@ def parse(page: str, templates: frozenset[int] = frozenset(), host: str = "") ->
             continue
         top = stack[-1]
         if name in RAW:
-            end = low.find(f"</{name}", at)
-            at = size if end < 0 else low.find(">", end) + 1 or size
+            end = _ENDS[name].search(page, at)
+            at = end.end() if end else size
             continue
         inside = top.inside or name in ("article", "main")
         bare = " ".join(f"{k}={v}" for k, v in sorted(attributes.items()) if k in ("class", "id", "role", "href"))
         stack.append(_Open(name, top.dropped or _unwanted(name, attributes, inside), inside, bool(attributes), [name + bare], len(blocks)))
+        opened |= name in ("article", "main") and not stack[-1].dropped
         if name == "a":
             stack[-1].rich = True
     while len(stack) > 1:
         close()
     flush()
+    if rooted and not opened:
+        return parse(page, templates, host, rooted=False)
     return blocks, hashes
 
 

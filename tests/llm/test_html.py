@@ -65,3 +65,16 @@ def test_odd_rows(spark):
     got = sorted(((r["page_id"], r["text"]) for r in html.extract_pages(frame).collect()), key=str)
     assert got == [(1, ""), (2, "just text & < more"), (2, "just text & < more"), (3, "open never closed\n\nx"), (4, ""), (None, "")]
     assert html.extract_pages(frame.limit(0)).count() == 0
+
+
+def test_an_article_is_an_element_not_a_string():
+    body = "<div><p>The text</p></div>"
+    for other in ("<main-nav></main-nav>", "<article-card></article-card>", "<script>var t='<article>'</script>", "<!-- <main> -->", "<aside><article>Side</article></aside>"):
+        assert html.parse(other + body)[0] == ["The text"], other
+    assert html.parse("<p>Outside</p><ARTICLE><p>The text</p></ARTICLE>")[0] == ["The text"]
+
+
+def test_characters_that_lower_to_two():
+    odd = "\u0130" * 30
+    assert html.parse(f"<p>{odd}</p><SCRIPT>'</scripts>'</Script ><article><p>The text</p></article>")[0] == ["The text"]
+    assert html.parse(f"<article><p>{odd}</p><style>p{{}}</STYLE><p>The text</p></article>")[0] == [odd, "The text"]
