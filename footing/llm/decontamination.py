@@ -133,17 +133,28 @@ class Matcher:
         return out
 
 
-def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
-    """Distinct non-empty items in blocks of bounded size, in the order of their ids."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null").distinct().orderBy("item_id", "text")
-    block: list[tuple[int, str]] = []
-    size, taken = 0, set()
-    for r in rows.toLocalIterator():
+def _blocks(benchmark: DataFrame, most: int, ids: bool = True) -> Iterator[list[tuple[int, str, int | None]]]:
+    """Distinct non-empty items (key, normal form, id) in blocks of bounded size, in order.
+
+    An item is an id and a text: all texts of an id count.  Without ``ids`` a text alone is an
+    item, whatever its id, and null ids count too.
+    """
+    rows = benchmark.where("text is not null")
+    item_id = F.col("item_id").cast("long") if ids else F.lit(None).cast("long")
+    rows = rows.select(item_id.alias("item_id"), "text")
+    if ids:
+        rows = rows.where("item_id is not null")
+    block: list[tuple[int, str, int | None]] = []
+    size, held, last = 0, set(), None
+    for r in rows.distinct().orderBy("item_id", "text").toLocalIterator():
+        if r["item_id"] != last:
+            held, last = set(), r["item_id"]
         item = normal(r["text"])
-        if not item or r["item_id"] in taken:
+        if not item or item in held:
             continue
-        taken.add(r["item_id"])
-        block.append((r["item_id"], item))
+        if ids:
+            held.add(item)  # the texts of one id
+        block.append((len(block), item, r["item_id"]))
         size += len(item)
         if size >= most:
             yield block
@@ -160,10 +171,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text
 
     Texts and items are compared in lower case, words joined by single spaces.  Beside the
     columns in ``keep``: item_id, distance, item_chars, start and end (in the document's
-    normal form), the best place for each pair.  The benchmark is a stated query set: it is
+    normal form), the best place for each pair; texts that share an id are items of their own.  The benchmark is a stated query set: it is
     taken in blocks of bounded size, each against all documents whole.  Items that are null,
-    without an id, or without words match nothing, as do such texts; of items with one id
-    the first by text counts; repeated documents have repeated rows.  No shuffle.
+    without an id, or without words match nothing, as do such texts; repeated documents have repeated rows.  No shuffle.
     """
     own = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("body"))
     names = [*own.columns[:-1], *(c.split()[0] for c in MATCHES.split(", "))]
@@ -174,14 +184,14 @@ def find_items(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             drop_held()
-            matcher = Matcher(shared.value, share)
-            size = {k: len(t) for k, t in shared.value}
+            matcher = Matcher([(k, t) for k, t, _ in shared.value], share)
+            items = {k: (own, len(t)) for k, t, own in shared.value}
             for batch in batches:
                 rows, where = [], []
                 for k, body in enumerate(batch.column(batch.num_columns - 1)):
                     for item, distance, start, end in matcher.find(normal(body.as_py())):
                         where.append(k)
-                        rows.append((item, distance, size[item], start, end))
+                        rows.append((items[item][0], distance, items[item][1], start, end))
                 columns = [*zip(*rows)] if rows else [[]] * 5
                 held = [c.take(pa.array(where, pa.int64())) for c in batch.columns[:-1]]
                 types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
@@ -195,14 +205,14 @@ def find_items(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text
 
 
 def without_items(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs, all columns, whose text holds no item; see :func:`find_items`."""
+    """The rows of docs, all columns, whose text holds no item; see :func:`find_items`.  Ids of items are not looked at."""
     schema, at = docs.schema, docs.columns.index(text)
-    for block in _blocks(benchmark, block_chars):
+    for block in _blocks(benchmark, block_chars, ids=False):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             drop_held()
-            matcher = Matcher(shared.value, share)
+            matcher = Matcher([(k, t) for k, t, _ in shared.value], share)
             for batch in batches:
                 clean = [not matcher.find(normal(x.as_py() or "")) for x in batch.column(at)]
                 yield batch.filter(pa.array(clean, pa.bool_()))

@@ -66,3 +66,10 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert sorted((r["doc_id"], r["item_id"]) for r in rows) == [(4, 1), (4, 1), (5, 1), (6, 5)]
     assert dc.find_items(no_docs, bench).count() == 0
     assert dc.find_items(odd_docs, bench.limit(0)).count() == 0
+
+
+def test_clashing_and_missing_ids(spark):
+    bench = spark.createDataFrame([(1, "the first passage of one set"), (1, "another passage of a second set"), (1, "Another passage, of a second set"), (None, "a passage that has no number")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so: the first passage of one set."), (2, "so: another passage of a second set."), (3, "so: a passage that has no number."), (4, "nothing of the kind")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in dc.find_items(docs, bench).collect()) == [(1, 1), (2, 1)]
+    assert [r["doc_id"] for r in dc.without_items(docs, bench).collect()] == [4]
