@@ -353,15 +353,16 @@ def cut_at_marker(spark, sf_dir):
 
 # ---- columns, headers, fingerprints
 
-_HEADER = "Name                          Brand       Type"
-
-
 @query("SELECT p_partkey AS k, trim(p_name) AS name, p_brand AS brand, p_type AS kind FROM part")
 def fixed_width_slice(spark, sf_dir):
-    line = F.concat(F.rpad("p_name", 30, " "), F.rpad("p_brand", 12, " "), F.col("p_type"))
-    cells = T.slice_columns(line, T.column_offsets(F.lit(_HEADER), ["Type", "Name", "Brand", "Missing"]))
-    rows = table(spark, sf_dir, "part").where(F.length("p_name") <= 30)
-    return rows.select(F.col("p_partkey").alias("k"), cells["Name"].alias("name"), cells["Brand"].alias("brand"), cells["Type"].alias("kind"))
+    name, brand, kind = (F.coalesce(c, F.lit("")) for c in ("p_name", "p_brand", "p_type"))
+    # columns are as wide as their row needs
+    w, v = F.greatest(F.lit(30), F.length(name)), F.greatest(F.lit(12), F.length(brand))
+    line = F.concat(F.rpad(name, w, F.lit(" ")), F.rpad(brand, v, F.lit(" ")), kind)
+    header = F.concat(F.rpad(F.lit("Name"), w, F.lit(" ")), F.rpad(F.lit("Brand"), v, F.lit(" ")), F.lit("Type"))
+    cells = T.slice_columns(line, T.column_offsets(header, ["Type", "Name", "Brand", "Missing"]))
+    cell = lambda label, c: F.when(F.col(c).isNotNull(), cells[label])
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), cell("Name", "p_name").alias("name"), cell("Brand", "p_brand").alias("brand"), cell("Type", "p_type").alias("kind"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 60 >= 40 THEN 'Type' WHEN doc_id % 60 >= 28 THEN 'Brand' WHEN doc_id % 60 >= 3 THEN 'Name' END AS label FROM documents")
