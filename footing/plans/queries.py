@@ -228,7 +228,7 @@ f AS (SELECT doc_id, line_no, substring(regexp_replace(regexp_replace(x, '\s+',
 SELECT shape, count(*) AS n FROM f GROUP BY 1 ORDER BY n DESC, min((doc_id, line_no)) LIMIT 40
 """)
 def shape_histogram_topk(spark, sf_dir):
-    return discover.line_shapes(_lines(spark, sf_dir)).select("shape", "n")
+    return discover.line_shapes(_lines(spark, sf_dir), examples=0)
 
 
 _DOC_RULES = [

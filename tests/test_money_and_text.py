@@ -77,3 +77,13 @@ def test_annotation_only(spark):
     assert not one(spark, T.annotation_only(F.col("t"), F.lit(100.0)), t="INVOICE TOTAL 5.00")
     assert one(spark, T.annotation_only(F.col("t"), F.lit(100.0)), t="see notes")
     assert not one(spark, T.annotation_only(F.col("t"), F.lit(100.0)), t=" ")
+
+
+@pytest.mark.parametrize("unit", ["word ", "12 ", "1,000.00  ", "(", "a1,", "\t", "x  ", "W", ",000"])
+def test_very_long_lines(spark, unit):
+    """No pattern may recurse with the line's length."""
+    line = unit * (100_000 // len(unit))
+    df = spark.createDataFrame([(line,)], "t string")
+    c = F.col("t")
+    got = df.select(T.shape_of(c), T.header_score(c), T.squeeze(c), M.last_money(c), M.decimal_field(c), M.parse_money(c), T.density(c)).collect()
+    assert len(got) == 1 and len(got[0][0]) <= 90

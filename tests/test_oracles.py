@@ -3,21 +3,25 @@ import pytest
 
 from footing.plans.queries import ORACLE_SQL, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SCALES = ("sf0.001", "sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for sf in SCALES:
+        con.execute(f'CREATE SCHEMA "{sf}"')
+        for t in TABLES:
+            con.execute(f"CREATE VIEW \"{sf}\".{t} AS SELECT * FROM '/root/testdata/{sf}/{t}.parquet'")
     return con
 
 
+@pytest.mark.parametrize("sf", SCALES)
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query_matches_sql(name, spark, duck):
-    got = QUERIES[name](spark, SF)
+def test_query_matches_sql(name, sf, spark, duck):
+    duck.execute(f'USE "{sf}"')
+    got = QUERIES[name](spark, f"/root/testdata/{sf}")
     columns = sorted(got.columns)
     rows = sorted((tuple(r[c] for c in columns) for r in got.collect()), key=str)
     assert rows
