@@ -21,13 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines see: ``spark.checkpoint.dir``; a temporary one if unset.
+    """The folder that all machines see: ``spark.checkpoint.dir``.
 
-    A session without the setting is taken to be a local one (tests), where driver and
-    executors are one machine.
+    A local session (tests), where driver and executors are one machine, gets a temporary
+    one if the setting is unset; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         path = "file://" + tempfile.mkdtemp(prefix="footing-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -45,9 +47,14 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete the tables that :func:`durable` wrote; call when their readers are done."""
-    while _WRITTEN:
+def written() -> int:
+    """How many tables there are now: what :func:`release` may keep."""
+    return len(_WRITTEN)
+
+
+def release(keep: int = 0) -> None:
+    """Delete the tables that :func:`durable` wrote, but the first ``keep``; call when their readers are done."""
+    while len(_WRITTEN) > keep:
         spark, path = _WRITTEN.pop()
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)

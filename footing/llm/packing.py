@@ -3,14 +3,16 @@
 Only the histogram of piece lengths (at most ``capacity`` bins, whatever the input) goes to
 the driver.  There the configuration program
 
-    minimise the number of bins, each filled by a pattern of lengths, so that every
+    minimise the number of sequences, each filled by a pattern of lengths, so that every
     length's count is covered
 
-is solved by multiplicative weights: lengths carry weights, the best pattern for the
-present weights is priced by a knapsack dynamic program, and covered lengths lose weight.
-The fractional solution is rounded down to whole bins, and what is left over, which the
-number of patterns bounds, is packed best fit.  The plan, whose size depends on the capacity
-only, is broadcast; pieces look up their place by rank among the pieces of their length.
+is solved by multiplicative weights: lengths carry weights, a bounded knapsack dynamic program
+prices the best pattern through every length under the present weights, and covered lengths
+lose weight.  Patterns of the fractional solution that are worth its mean or more under the dual
+solution are rounded up while the counts last; what is left is the next program, at every
+size of the input, until no pattern is left.  Only then best fit places the rest, a few sequences.  The plan,
+whose size depends on the capacity only, is broadcast; pieces look up their place by rank among
+the pieces of their length.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -171,67 +174,95 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int =
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, PIECES)
 
 
-def best_pattern(value: np.ndarray, lengths: np.ndarray, capacity: int, most: np.ndarray) -> np.ndarray:
-    """Counts per length of the fullest-valued bin: an unbounded knapsack by dynamic programming.
+class Fillings:
+    """The most valuable filling of every room up to the capacity: a bounded knapsack.
 
-    A length is used at most ``most`` times when the pattern is read off; the rest stays free.
+    Dynamic programming over lots of 1, 2, 4, ... pieces of a length; ``value`` and ``counts``
+    go by ``lengths``.
     """
-    best = np.zeros(capacity + 1)
-    take = np.full(capacity + 1, -1, dtype=np.int64)
-    for c in range(1, capacity + 1):
-        k = np.searchsorted(lengths, c, side="right")
-        if not k:
-            continue
-        gain = best[c - lengths[:k]] + value[:k]
-        i = int(gain.argmax())
-        if gain[i] > best[c - 1]:
-            best[c], take[c] = gain[i], i
-        else:
-            best[c] = best[c - 1]
-    used = np.zeros(len(lengths), dtype=np.int64)
-    c = capacity
-    while c > 0:
-        if take[c] < 0:
-            c -= 1
-            continue
-        i = take[c]
-        if used[i] < most[i]:
-            used[i] += 1
-        c -= int(lengths[i])
-    return used
-
-
-def solve_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 300, step: float = 0.3) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often each is used, fractional, covering every count.
-
-    Multiplicative weights: a length's weight falls as the patterns chosen so far cover it;
-    the mean of the chosen patterns, scaled until all counts are covered, is the solution.
+
+    def __init__(self, value: np.ndarray, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> None:
+        self.lots: list[tuple[int, int, int]] = []
+        for i in range(len(lengths) - 1, -1, -1):
+            most, lot = int(min(counts[i], capacity // lengths[i])), 1
+            while most > 0:
+                lot = min(lot, most)
+                self.lots.append((i, lot, lot * int(lengths[i])))
+                most -= lot
+                lot *= 2
+        self.best = np.zeros(capacity + 1)
+        self.last = np.zeros((len(self.lots) + 1, capacity + 1), dtype=np.int32)  # the last lot used, of the first k
+        for k, (i, lot, size) in enumerate(self.lots, 1):
+            row = self.last[k]
+            row[:] = self.last[k - 1]
+            gain = self.best[: capacity + 1 - size] + lot * value[i]
+            better = gain > self.best[size:] + 1e-9
+            row[size:][better] = k
+            np.copyto(self.best[size:], gain, where=better)
+
+    def of(self, room: int) -> dict[int, int]:
+        """index of a length -> pieces of it."""
+        out: dict[int, int] = {}
+        k = len(self.lots)
+        while k := int(self.last[k, room]):
+            i, lot, size = self.lots[k - 1]
+            out[i] = out.get(i, 0) + lot
+            room -= size
+            k -= 1
+        return out
+
+
+#: Share of a length's count below which a program leaves it to the next one.
+LITTLE = 0.02
+
+
+def solve_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 12, step: float = 0.5) -> tuple[dict[tuple, float], np.ndarray]:
+    """Patterns ((index, pieces), ...) with how often each is used, fractional, and the dual solution.
+
+    Multiplicative weights: a length weighs its share of a sequence, less the more of it is
+    covered.  Each round prices a pattern through every length and uses it for ``step`` of what its
+    scarcest length has left, so that no count is exceeded.  The dual solution is the best of
+    the rounds' weights, scaled so that no pattern is worth more than one: what all counts are worth
+    is a lower bound on the sequences.
     """
-    weight = lengths / capacity / max(1.0, float((counts * lengths).sum()) / capacity)
-    chosen: dict[bytes, list] = {}
-    covered = np.zeros(len(lengths))
+    left, chosen, dual = counts.astype(float), {}, np.zeros(len(lengths))
     for _ in range(rounds):
-        pattern = best_pattern(weight, lengths, capacity, counts)
-        if not pattern.any():
+        on = left >= LITTLE * counts
+        if not on.any():
             break
-        # as far as the scarcest length of the pattern goes
-        held = pattern > 0
-        size = float((counts[held] / pattern[held]).min()) * step
-        entry = chosen.setdefault(pattern.tobytes(), [pattern, 0.0])
-        entry[1] += size
-        share = size * pattern / counts
-        covered += share
-        weight = weight * np.exp(-share)
-        weight /= weight.max()
-    if not chosen:
-        return []
-    # patterns may overshoot some lengths: scale so that the best covered one is just met,
-    # the remainder is for the rounding
-    scale = 1.0 / max(1.0, float(covered.max()))
-    return [(p, x * scale) for p, x in chosen.values()]
-
-
-def plan_bins(histogram: dict[int, int], capacity: int, rounds: int = 300) -> list[tuple[int, int, int, int, int, int]]:
+        weight = lengths / capacity * np.exp(left / counts - 1)
+        fillings = Fillings(weight, lengths, np.where(on, counts, 0), capacity)
+        if on.all():
+            dual = max(dual, weight / fillings.best[capacity], key=lambda y: float((y * counts).sum()))
+        for i in np.flatnonzero(on)[::-1].tolist():
+            shape = fillings.of(capacity - int(lengths[i]))
+            shape[i] = shape.get(i, 0) + 1
+            if shape[i] > counts[i]:
+                continue
+            size = step * min(left[j] / n for j, n in shape.items())
+            key = tuple(sorted(shape.items()))
+            chosen[key] = chosen.get(key, 0.0) + size
+            for j, n in shape.items():
+                left[j] -= size * n
+    return chosen, dual
+
+
+def best_fit(left: dict[int, int], capacity: int) -> list[dict[int, int]]:
+    """Patterns of one sequence each: every piece, longest first, into the fullest that takes it."""
+    rooms: list[tuple[int, int]] = []
+    out: list[dict[int, int]] = []
+    for length in sorted(left, reverse=True):
+        for _ in range(left[length]):
+            k = bisect_left(rooms, (length, -1))
+            room, nth = rooms.pop(k) if k < len(rooms) else (capacity, len(out))
+            if nth == len(out):
+                out.append({})
+            out[nth][length] = out[nth].get(length, 0) + 1
+            insort(rooms, (room - length, nth))
+    return out
+
+
+def plan_bins(histogram: dict[int, int], capacity: int, rounds: int = 12) -> list[tuple[int, int, int, int, int, int]]:
     """Rows (length, rank_from, rank_to, per_bin, first_bin, offset): where ranks of a length go.
 
     The ranks [rank_from, rank_to) of ``length`` fill bins from ``first_bin`` on, ``per_bin``
@@ -244,8 +275,6 @@ def plan_bins(histogram: dict[int, int], capacity: int, rounds: int = 300) -> li
 
     def use(pattern: dict[int, int], times: int) -> None:
         nonlocal bins
-        if times <= 0:
-            return
         offset = 0
         for length, per in sorted(pattern.items(), reverse=True):
             rows.append((length, rank[length], rank[length] + per * times, per, bins, offset))
@@ -256,72 +285,74 @@ def plan_bins(histogram: dict[int, int], capacity: int, rounds: int = 300) -> li
 
     if left.get(capacity):
         use({capacity: 1}, left[capacity])
-    for _ in range(4):  # what rounding leaves is again a program, until little is left
-        live = sorted(k for k, n in left.items() if n)
-        if not live or sum(left[k] for k in live) < 4 * capacity:
-            break
-        lengths, counts = np.asarray(live), np.asarray([left[k] for k in live], dtype=float)
+    before = -1
+    while bins != before and any(left.values()):
         before = bins
-        for pattern, times in sorted(solve_program(lengths, counts, capacity, rounds), key=lambda s: -s[1]):
-            shape = {live[i]: int(pattern[i]) for i in np.flatnonzero(pattern)}
-            use(shape, min(int(times), *(left[k] // n for k, n in shape.items())))
-        if bins == before:
-            break
-    # best fit, longest first, over what is left; equal fillings go together
-    free: dict[int, list[tuple[dict[int, int], int]]] = {capacity: []}
-    for length in sorted((k for k, n in left.items() if n), reverse=True):
-        todo = left[length]
-        while todo:
-            room = min((r for r, held in free.items() if r >= length and held), default=None)
-            shape, times = free[room].pop() if room is not None else ({}, todo)
-            room = capacity if room is None else room
-            per = min(room // length, max(1, -(-todo // times)))
-            if per * times > todo:
-                if times > 1 and todo < times:
-                    free[room].append((shape, times - todo))
-                    times, per = todo, 1
-                else:
-                    per = max(1, todo // times)
-            todo -= per * times
-            free.setdefault(room - per * length, []).append((shape | {length: shape.get(length, 0) + per}, times))
-    for held in free.values():
-        for shape, times in held:
-            use(shape, times)
+        live = sorted(k for k, n in left.items() if n)
+        chosen, dual = solve_program(np.asarray(live), np.asarray([left[k] for k in live]), capacity, rounds)
+        worth = {key: float(sum(dual[i] * n for i, n in key)) for key in chosen}
+        mean = sum(x * worth[key] for key, x in chosen.items()) / max(sum(chosen.values()), 1e-9)
+        for key, x in sorted(chosen.items(), key=lambda s: -s[1]):
+            if worth[key] < mean - 1e-9:
+                continue  # poor patterns only fill up the fractional solution; their pieces are for the next program
+            times = min(int(x) + 1, *(int(left[live[i]] // n) for i, n in key))
+            if times:
+                use({live[i]: n for i, n in key}, times)
+    for pattern in best_fit(left, capacity):
+        use(pattern, 1)
     return rows
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 2048, rounds: int = 300) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, length, ...); see the module's text.
+def _blocks(plan: list[tuple[int, int, int, int, int, int]], histogram: dict[int, int]) -> tuple[dict[int, int], list[tuple]]:
+    """Per length the ranks in a block, and the plan's rows by the blocks that they touch.
+
+    A length of n pieces and q rows has q blocks, so that a row touches two more than it fills
+    and a block holds few rows: at most twice the plan in all.
+    """
+    rows_of: dict[int, int] = {}
+    for r in plan:
+        rows_of[r[0]] = rows_of.get(r[0], 0) + 1
+    size = {k: -(-histogram[k] // q) for k, q in rows_of.items()}
+    return size, [(r[0], k, *r[1:]) for r in plan for k in range(r[1] // size[r[0]], (r[2] - 1) // size[r[0]] + 1)]
+
+
+def pack_pieces(pieces: DataFrame, capacity: int = 2048, rounds: int = 12) -> DataFrame:
+    """Adds sequence_id and offset to pieces (doc_id, piece, length, ids_crc32, ...); see the module's text.
 
     Pieces must not be longer than capacity and be durable: they are read three times.
-    An empty table gives no rows; repeated rows are pieces of their own.
+    An empty table gives no rows; repeated rows are pieces of their own; other columns stay,
+    but for any named sequence_id or offset, and names that start with ``_pack_``.
     """
     spark = pieces.sparkSession
     bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BUCKETS)).cast("int")
-    keyed = pieces.withColumn("bucket", bucket)
-    counts = keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    keyed = pieces.drop("sequence_id", "offset").withColumn("_pack_bucket", bucket)
+    counts = keyed.groupBy("length", "_pack_bucket").agg(F.count(F.lit(1)).alias("n"))
     found = counts.collect()  # at most capacity * RANK_BUCKETS rows
     histogram: dict[int, int] = {}
     starts = []
-    for r in sorted(found, key=lambda r: (r["length"], r["bucket"])):
-        starts.append((r["length"], r["bucket"], histogram.get(r["length"], 0)))
+    for r in sorted(found, key=lambda r: (r["length"], r["_pack_bucket"])):
+        starts.append((r["length"], r["_pack_bucket"], histogram.get(r["length"], 0)))
         histogram[r["length"]] = histogram.get(r["length"], 0) + r["n"]
-    plan = plan_bins(histogram, capacity, rounds)
-    start_rows = spark.createDataFrame(starts, "length long, bucket int, before long")
-    plan_rows = spark.createDataFrame(plan, "length long, rank_from long, rank_to long, per_bin int, first_bin long, at long")
-    by_length = plan_rows.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("rank_from", "rank_to", "per_bin", "first_bin", "at"))).alias("plan"))
-    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = keyed.withColumn("within", within).join(F.broadcast(start_rows), ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("within"))
-    placed = ranked.join(F.broadcast(by_length), "length")
-    spot = F.filter("plan", lambda p: (p["rank_from"] <= F.col("rank")) & (F.col("rank") < p["rank_to"]))[0]
-    nth = F.col("rank") - spot["rank_from"]
+    size, blocks = _blocks(plan_bins(histogram, capacity, rounds), histogram)
+    start_rows = spark.createDataFrame([(*s, size[s[0]]) for s in starts], "length long, _pack_bucket int, _pack_before long, _pack_size long")
+    names = ("length", "_pack_block", "lo", "hi", "per_bin", "first_bin", "at")
+    columns = [pa.array(c, pa.int64()) for c in zip(*blocks)] or [pa.array([], pa.int64())] * len(names)
+    plan_rows = spark.createDataFrame(pa.Table.from_arrays(columns, names=list(names)))
+    by_block = plan_rows.groupBy("length", "_pack_block").agg(F.collect_list(F.struct(*names[2:])).alias("_pack_plan"))
+    within = F.row_number().over(Window.partitionBy("length", "_pack_bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    ranked = keyed.withColumn("_pack_within", within).join(F.broadcast(start_rows), ["length", "_pack_bucket"])
+    ranked = ranked.withColumn("_pack_rank", F.col("_pack_before") + F.col("_pack_within")).withColumn("_pack_block", F.floor(F.col("_pack_rank") / F.col("_pack_size")))
+    placed = ranked.join(F.broadcast(by_block), ["length", "_pack_block"])
+    rank = F.col("_pack_rank")
+    spot = F.filter("_pack_plan", lambda p: (p["lo"] <= rank) & (rank < p["hi"]))[0]
+    nth = rank - spot["lo"]
     sequence = spot["first_bin"] + F.floor(nth / spot["per_bin"])
     offset = spot["at"] + (nth % spot["per_bin"]) * F.col("length")
-    return placed.withColumn("sequence_id", sequence.cast("long")).withColumn("offset", offset.cast("long")).drop("bucket", "within", "before", "rank", "plan")
+    return placed.select(*[c for c in keyed.columns if c != "_pack_bucket"], sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, rounds: int = 300, keep_ids: bool = False) -> DataFrame:
-    """Tokenise (null text: empty), cut what is longer than capacity, and pack.
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, rounds: int = 12, keep_ids: bool = False) -> DataFrame:
+    """Tokenise (null text: empty), cut what is longer than capacity, and pack.  Other columns are not looked at.
 
     Every document, the empty one too, has at least its end id, so it is a piece.
     Returns doc_id, piece, start, length, ids_crc32, ids (null unless kept), sequence_id, offset.

@@ -57,7 +57,49 @@ def test_plan_covers_every_rank_once():
         assert {k: sorted(v) for k, v in seen.items()} == {int(k): list(range(n)) for k, n in histogram.items()}
 
 
+def sequences(rows):
+    return max((first + (hi - lo) // per for _, lo, hi, per, first, _ in rows), default=0)
+
+
 def test_program_beats_greedy_where_they_differ():
     # pairs of 6 + 4 fill bins of 10; a fullest-first greedy choice of 5s alone would not
-    rows = packing.plan_bins({6: 100, 4: 100, 5: 100}, 10)
-    assert len({first + k for _, lo, hi, per, first, _ in rows for k in range((hi - lo) // per)}) == 150
+    assert sequences(packing.plan_bins({6: 100, 4: 100, 5: 100}, 10)) == 150
+
+
+def shuffled_lengths(spark):
+    pieces = packing.token_pieces(spark.read.parquet(f"{SF}/documents.parquet"), PATH, 2048)
+    return {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+
+
+def test_program_against_best_fit_and_the_bound(spark):
+    """At every size the program places all but a few sequences, no more than plain best fit and near the bound."""
+    own = shuffled_lengths(spark)
+    for times in (1, 40):
+        histogram = {k: n * times for k, n in own.items()}
+        bins = sequences(packing.plan_bins(histogram, 2048))
+        bound = -(-sum(k * n for k, n in histogram.items()) // 2048)
+        assert bins <= len(packing.best_fit(histogram, 2048))
+        assert bins <= bound * 1.001 + 1
+    # lengths over a third of the capacity: here the bound is not the sum of the lengths
+    rng = np.random.default_rng(5)
+    histogram = {int(k): int(n) for k, n in zip(*np.unique(rng.integers(35, 100, 20_000), return_counts=True))}
+    live = np.asarray(sorted(histogram))
+    counts = np.asarray([histogram[k] for k in live])
+    bound = (packing.solve_program(live, counts, 100, 40)[1] * counts).sum()
+    bins = sequences(packing.plan_bins(histogram, 100))
+    assert bound <= bins <= len(packing.best_fit(histogram, 100))
+
+
+def test_only_little_is_left_to_best_fit(spark, monkeypatch):
+    left = {}
+    monkeypatch.setattr(packing, "best_fit", lambda rest, capacity: left.update(rest) or [])
+    histogram = shuffled_lengths(spark)
+    packing.plan_bins(histogram, 2048)
+    assert sum(k * n for k, n in left.items()) <= 4 * 2048
+
+
+def test_columns_of_the_caller_stay(spark):
+    pieces = spark.createDataFrame([(k, 0, 7, 1, k, k, k, k, k) for k in range(20)], "doc_id long, piece int, length long, ids_crc32 long, bucket long, within long, before long, rank long, plan long")
+    rows = packing.pack_pieces(pieces, 21).collect()
+    assert all(r["bucket"] == r["within"] == r["before"] == r["rank"] == r["plan"] == r["doc_id"] for r in rows)
+    assert len({r["sequence_id"] for r in rows}) == 7

@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 from conftest import SF
+from pyspark.sql import functions as F
 
 from footing.llm import sharding
 from footing.llm.queries import op4_sharding
@@ -47,7 +48,21 @@ def test_groups_stay_whole_where_they_can(spark):
     assert all(len(s) == 1 for s in shards.values())
 
 
-def test_write_shards(spark, tmp_path):
-    docs = spark.createDataFrame([(k, f"text {k}", k) for k in range(500)], "doc_id long, text string, shard int")
-    sharding.write_shards(docs, str(tmp_path / "s"), 4)
-    assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().count() == 4
+def test_repeated_rows_are_spread(spark, monkeypatch):
+    """Equal rows have equal hashes; only a third key tells them apart."""
+    monkeypatch.setattr(sharding, "SLICE_ROWS", 20)  # slices in parts
+    docs = spark.createDataFrame([(1, "the same row " * 15)] * 2400, "doc_id long, text string")
+    rows = sharding.assign_shards(docs, 24).collect()
+    check(docs.collect(), rows, 24, rows[0]["size"])
+
+
+def test_write_shards(spark, tmp_path, odd_docs, no_docs):
+    docs = odd_docs.withColumn("shard", F.lit("x")).withColumn("hi", F.lit(1)).withColumn("tie", F.lit("t"))
+    docs = docs.unionByName(spark.createDataFrame([(9, "again " * 20, "en", "s", 1, "x", 1, "t")] * 400, docs.schema))
+    cuts = sharding.write_shards(docs, str(tmp_path / "s"), 4)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    rows = lambda df: sorted(map(str, df.drop("shard").select(*[c for c in docs.columns if c != "shard"]).collect()))
+    assert len(cuts) == 3 and rows(back) == rows(docs)
+    assert back.groupBy("shard").count().count() >= 3
+    sharding.write_shards(no_docs, str(tmp_path / "none"), 4)
+    assert not list((tmp_path / "none").glob("shard=*"))
