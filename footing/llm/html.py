@@ -1,17 +1,23 @@
 """Main text of web pages, with site templates found by counting equal subtrees per host.
 
-Pass one parses each page, hashes the subtrees of its block elements, and Spark counts on
-how many pages of a host each occurs.  Pass two parses again and leaves out subtrees that
-recur on many pages of the page's host, and whatever tag, role or class mark as no part of
-the article.  Plain text blocks within an article are never taken for a template: articles
-may share passages.
+Pass one parses each page and hashes the subtrees of its block elements, and Spark counts on
+how many different pages of a host each occurs; pages of one text count once, as copies of a page
+share all of it.  Pass two parses again and deletes every subtree that recurs on many pages of the
+page's host, within the article or outside.  What cannot be counted, on hosts of a page or two
+and in boxes whose words change from page to page, is left to the marks: element names, roles
+and class words, and the article element where a page has one.
+
+Two thresholds, as articles may share passages: a block of plain text (a paragraph, list or
+table without attributes and links) is a template only when nearly every page of a large enough
+host has it; any other block when several pages do.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -51,12 +57,20 @@ CLOSES = {
     "th": ({"td", "th"}, {"table", "tr"}),
     "option": ({"option"}, {"select"}),
 }
+#: Elements that are never a template themselves; ends that close across an article or table.
+WHOLE = frozenset(("html", "body", "article", "main"))
+OUTER = frozenset(("article", "main", "table", "body", "html", "div", "section"))
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol blockquote pre dl dt dd table thead tbody tfoot tr figure figcaption hr".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>", re.S)
+#: Where markup may start, and the two kinds that do not end at the next bracket.
+_START = re.compile(r"<(?:[A-Za-z!?]|/[A-Za-z])")
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+#: A tag in which quotes are closed; nothing is tried twice.
+_TAG = re.compile(r"</?[A-Za-z][^\s/>]*+(?>\"[^\"]*\"|'[^']*'|[^>\"']+)*+>", re.S)
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|([^\s=\"'<>/]+)")
 _SPACE = re.compile(r"\s+")
+CONTAINERS = (BLOCK | {"td", "th"}) - {"p"}
 _ROOT = re.compile(r"<(?:article|main)", re.I | re.A)
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I | re.A) for name in RAW}
 
@@ -69,7 +83,7 @@ class _Open:
     marked: bool  # has attributes
     parts: list
     blocks: int  # blocks before it
-    rich: bool = False  # holds more than plain text
+    rich: bool  # holds more than plain text
 
 
 def _attributes(tag: str, name: str) -> dict[str, str]:
@@ -91,20 +105,47 @@ def _unwanted(name: str, attributes: dict[str, str], inside: bool) -> bool:
     return name not in ("html", "body", "article", "main") and bool(marks & MARKS) and not marks & OWN
 
 
+def _markup(page: str) -> Iterator[tuple[str, str, int]]:
+    """(text before, tag, place after it) of every tag, comment or declaration; last the rest with no tag.
+
+    Linear: a bracket after the last ``>`` starts no tag, and once a quote is found never to
+    be closed, tags end at their next ``>`` whatever the quotes.  A caller that skips raw text
+    sends the place to go on from.
+    """
+    at, last, quotes = 0, page.rfind(">"), True
+    while (start := _START.search(page, at)) is not None:
+        k = start.start()
+        if page[k + 1] in "!?":
+            end = _COMMENT.match(page, k).end()
+        elif k > last:
+            break
+        else:
+            tag = _TAG.match(page, k) if quotes else None
+            quotes = tag is not None
+            end = tag.end() if tag else page.index(">", k) + 1
+        to = yield page[at:k], page[k:end], end
+        at = to or end
+        if to:
+            yield "", "", to
+    yield page[at:], "", len(page)
+
+
 def parse(page: str, templates: frozenset[int] = frozenset(), host: str = "", rooted: bool | None = None) -> tuple[list[str], set[int]]:
-    """The article's blocks, and hashes of subtrees that may belong to a template.
+    """The article's blocks, and hashes of the subtrees that may belong to a template (odd ones: plain text).
 
-    Without an article or main element the whole body counts as the article, and then
-    every block element may be a template.  So it does where they are only named in scripts,
-    comments or other elements' names, or stand in a dropped element: the page is then read again.
+    Without an article or main element the whole body counts as the article.  So it does where
+    they are only named in scripts, comments or other elements' names, or stand in a dropped
+    element: the page is then read again.  Plain blocks are not deleted when no other text is left.
     """
     if rooted is None:
         rooted = _ROOT.search(page) is not None
     opened = False
     blocks: list[str] = []
+    spared: list[tuple[int, list[str]]] = []  # plain template blocks and where they stood
     line: list[str] = []
     hashes: set[int] = set()
-    stack = [_Open("", False, not rooted, False, [], 0)]
+    stack = [_Open("", False, not rooted, False, [], 0, False)]
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack elements of a name are; "*": containers
 
     def flush() -> None:
         if line:
@@ -115,19 +156,34 @@ def parse(page: str, templates: frozenset[int] = frozenset(), host: str = "", ro
 
     def close() -> None:
         top = stack.pop()
-        if top.name in BLOCK:
-            flush()
-            h = xxhash.xxh3_64_intdigest("\x00".join(top.parts)) >> 1
-            # plain text within the article proper is content, however often it recurs
-            if (top.name not in PLAIN or top.marked or top.rich or not rooted or not top.inside) and top.name not in ("html", "body", "article", "main") and len(top.parts) > 1:
-                hashes.add(h)
-                if h in templates:
-                    del blocks[top.blocks :]
-            stack[-1].parts.append(str(h))
-            stack[-1].rich |= top.rich or top.marked or top.name not in PLAIN
-        else:
-            stack[-1].parts += top.parts
+        places[top.name].pop()
+        if top.name in CONTAINERS:
+            places["*"].pop()
+        if top.name not in BLOCK:  # its parts are those of the block around it
             stack[-1].rich |= top.rich
+            return
+        flush()
+        plain = top.name in PLAIN and not top.marked and not top.rich
+        h = xxhash.xxh3_64_intdigest("\x00".join(top.parts)) >> 1 & ~1 | plain
+        if top.name not in WHOLE and len(top.parts) > 1:
+            hashes.add(h)
+            if h in templates and len(blocks) > top.blocks:
+                if plain:
+                    spared.append((top.blocks, blocks[top.blocks :]))
+                del blocks[top.blocks :]
+        stack[-1].parts.append(str(h))
+        stack[-1].rich |= not plain
+
+    def close_to(k: int) -> None:
+        while len(stack) > k:
+            close()
+
+    def close_open(ends: Iterable[str], stops: Iterable[str]) -> None:
+        """Close the innermost element of ``ends`` unless one of ``stops`` lies between."""
+        innermost = lambda names: max((places[x][-1] for x in names if places.get(x)), default=0)
+        k = innermost(ends)
+        if k and k >= innermost(stops):
+            close_to(k)
 
     def words(text: str) -> None:
         top = stack[-1]
@@ -137,17 +193,12 @@ def parse(page: str, templates: frozenset[int] = frozenset(), host: str = "", ro
         if top.inside and not top.dropped:
             line.append(text)
 
-    at, size = 0, len(page)
-    while at < size:
-        m = _TAG.search(page, at)
-        if m is None:
-            words(page[at:])
-            break
-        if m.start() > at:
-            words(page[at : m.start()])
-        tag, at = m[0], m.end()
+    markup = _markup(page)
+    for text, tag, at in markup:
+        if text:
+            words(text)
         found = _NAME.match(tag)
-        if found is None:  # a comment or declaration
+        if found is None:  # a comment, a declaration or the end
             if tag.startswith("<![CDATA["):
                 words(_html.escape(tag[9:].removesuffix("]]>")))
             continue
@@ -155,55 +206,40 @@ def parse(page: str, templates: frozenset[int] = frozenset(), host: str = "", ro
         if tag[1] == "/":
             if name == "br":
                 line.append(" ")
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    while len(stack) > k:
-                        close()
-                    break
-                if stack[k].name in ("article", "main", "table") and name not in ("article", "main", "table", "body", "html", "div", "section"):
-                    break
+            close_open((name,), () if name in OUTER else ("article", "main", "table"))
             continue
         attributes = _attributes(tag, name) if len(tag) > len(name) + 2 else {}
         if name in BLOCK:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == "p":
-                    while len(stack) > k:
-                        close()
-                    break
-                if stack[k].name in BLOCK or stack[k].name in ("td", "th"):
-                    break
+            close_open(("p",), ("*",))
             flush()
         if name in CLOSES:
-            ends, stops = CLOSES[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name in stops:
-                    break
-                if stack[k].name in ends:
-                    while len(stack) > k:
-                        close()
-                    break
+            close_open(*CLOSES[name])
             if name in ("td", "th"):
                 line.append(" ")
         if name in VOID:
-            if name in ("br", "hr", "wbr") and stack[-1].inside and not stack[-1].dropped and name != "wbr":
+            if name in ("br", "hr") and stack[-1].inside and not stack[-1].dropped:
                 line.append(" ")
             continue
-        top = stack[-1]
         if name in RAW:
             end = _ENDS[name].search(page, at)
-            at = end.end() if end else size
+            markup.send(end.end() if end else len(page))
             continue
+        top = stack[-1]
         inside = top.inside or name in ("article", "main")
         bare = " ".join(f"{k}={v}" for k, v in sorted(attributes.items()) if k in ("class", "id", "role", "href"))
-        stack.append(_Open(name, top.dropped or _unwanted(name, attributes, inside), inside, bool(attributes), [name + bare], len(blocks)))
+        parts = [] if name in BLOCK else top.parts
+        parts.append(name + bare)
+        places[name].append(len(stack))
+        if name in CONTAINERS:
+            places["*"].append(len(stack))
+        stack.append(_Open(name, top.dropped or _unwanted(name, attributes, inside), inside, bool(attributes), parts, len(blocks), name == "a"))
         opened |= name in ("article", "main") and not stack[-1].dropped
-        if name == "a":
-            stack[-1].rich = True
-    while len(stack) > 1:
-        close()
+    close_to(1)
     flush()
     if rooted and not opened:
         return parse(page, templates, host, rooted=False)
+    if not blocks and spared:
+        blocks = [x for _, some in spared for x in some]
     return blocks, hashes
 
 
@@ -212,31 +248,49 @@ def _hosted(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id"), F.col("url"), host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
 
 
-def site_templates(pages: DataFrame, least: int = 3, share: float = 0.2) -> DataFrame:
-    """host, hashes: subtrees on at least ``least`` pages and ``share`` of the pages of a host.
+@dataclass(frozen=True)
+class Often:
+    """When a subtree is a template: on ``least`` different pages of a host and on ``share`` of them, or on ``enough``.
+
+    A block of plain text: on ``plain_least`` pages and ``plain_share`` of them.
+    """
+
+    least: int = 3
+    share: float = 0.2
+    enough: int = 50
+    plain_least: int = 10
+    plain_share: float = 0.95
+
 
-    The share bounds a host's list by its elements a page over the share.  Pages without a
-    host have no templates.
+def site_templates(pages: DataFrame, often: Often = Often()) -> DataFrame:
+    """host, hashes: the subtrees that recur on a host's pages, as :class:`Often` says.
+
+    Pages of one host with the same blocks count once.  Pages without a host have no
+    templates; null and empty pages count as one page without blocks.
     """
     hosted = _hosted(pages).where("host <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes = [], []
+            texts, found = [], []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = parse(page.as_py(), host=host)[1] | {0}  # 0 counts the pages
-                hosts += [host] * len(found)
-                hashes += found
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "hash"])
-
-    counts = hosted.select("host", "html").mapInArrow(run, "host string, hash long").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    counts = durable(counts.where(F.col("n") >= least), "subtrees")
+                blocks, hashes = parse(page.as_py(), host=host)
+                texts.append(xxhash.xxh3_64_intdigest("\n".join(blocks)) >> 1)
+                found.append([0, *hashes])  # 0 counts the pages
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["host", "text", "hashes"])
+
+    # copies first, a few numbers a page; of several the least list, so that any run takes the same
+    once = hosted.select("host", "html").mapInArrow(run, "host string, text long, hashes array<long>").groupBy("host", "text").agg(F.min(F.array_sort("hashes")).alias("hashes"))
+    counts = once.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    counts = durable(counts.where(F.col("n") >= often.least), "subtrees")
     totals = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    often = counts.where("hash <> 0").join(totals, "host").where(F.col("n") >= F.col("pages") * share)
-    return durable(often.groupBy("host").agg(F.collect_list("hash").alias("hashes")), "templates")
+    n, plain = F.col("n"), F.col("hash").bitwiseAND(F.lit(1)) == 1
+    recurs = F.when(plain, (n >= often.plain_least) & (n >= F.col("pages") * often.plain_share)).otherwise((n >= F.col("pages") * often.share) | (n >= often.enough))
+    found = counts.where("hash <> 0").join(totals, "host").where(recurs)
+    return durable(found.groupBy("host").agg(F.collect_list("hash").alias("hashes")), "templates")
 
 
-def extract_pages(pages: DataFrame, least: int = 3, share: float = 0.2) -> DataFrame:
+def extract_pages(pages: DataFrame, often: Often = Often()) -> DataFrame:
     """page_id, url and text of every page.
 
     Blocks are joined by an empty line; character references are decoded and white space
@@ -244,7 +298,7 @@ def extract_pages(pages: DataFrame, least: int = 3, share: float = 0.2) -> DataF
     have the empty text.  Null ids and urls stay; repeated rows each have a row; columns
     other than page_id, url and html are not looked at.
     """
-    templates = site_templates(pages, least, share)
+    templates = site_templates(pages, often)
     known = templates.agg(F.sum(F.size("hashes"))).first()[0] or 0
     # broadcast only when small; beyond that the join shuffles, and AQE splits hot hosts
     side = F.broadcast(templates) if known <= BROADCAST_HASHES else templates
