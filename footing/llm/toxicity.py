@@ -48,6 +48,7 @@ _PLAIN_EDGE = "".join(c for c in _EDGE if c not in LOOKALIKES)
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Three characters with signs between them.
 _SPELLED = re.compile(r"\w[^\s\w]+\w[^\s\w]+\w|[^\W_]_[^\W_]_[^\W_]")
+_REPEATED = re.compile(r"([^\W\d_])\1+")
 _SUSPECT = re.compile(r"([^\W\d_])\1|[^\W\d_][^\s\w]+[^\W\d_]|[^\W\d_]_[^\W\d_]|[^\W\d_][0-9@$!|+(<€£#*?]|[0-9@$!|+(<€£#*?][^\W\d_]")
 
 
@@ -69,7 +70,10 @@ def _class(char: str) -> int:
 
 
 def character_counts(docs: DataFrame, text: str = "text") -> list[tuple[int, int]]:
-    """Trigram counts (cell, n) over the whole corpus; at most SIGNS ** 3 cells."""
+    """Trigram counts (cell, n) over the whole corpus; at most SIGNS ** 3 cells.
+
+    Null and empty texts count as one space, repeated rows count each, an empty table gives no cells.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_held()
@@ -200,9 +204,13 @@ class Decoder:
         bare = chunk.strip(_EDGE)
         out = _LETTERS.findall(bare)
         for c in {bare, chunk.strip(_PLAIN_EDGE)}:
-            if _SUSPECT.search(c):
+            apart = _SPELLED.search(c) and _LETTERS.search(c)
+            if apart or _SUSPECT.search(c):
                 out += {self.restore(c), self.restore(c, meant=True)}
-                if _SPELLED.search(c):
+                once = _REPEATED.sub(r"\1", c)
+                if once != c:  # the channel's repeats, whatever the model thinks of double letters
+                    out += _LETTERS.findall(once) if once.isalpha() else [self.restore(once, meant=True)]
+                if apart:
                     out += self.spelled(c, False) | self.spelled(c, True)
         return out
 
@@ -267,42 +275,21 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
 
 
-def _count_features(decoder: Decoder, wanted: frozenset[str] | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        cache: dict[str, list[str]] = {}
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                chunks = text.lower().split()
-                own = set()
-                for c in set(chunks):
-                    if c not in cache:
-                        if len(cache) > CACHE_WORDS:
-                            cache.clear()
-                        cache[c] = [f for w in decoder.readings(c) for f in features(w)]
-                    own.update(cache[c])
-                own.update(f for w in decoder.spaced(chunks) for f in features(w))
-                total.update(own if wanted is None else own & wanted)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["feature", "n"])
-
-    return run
-
-
 @dataclass(frozen=True)
 class Training:
     """Bounds and thresholds of the fit.
 
     max_toxic, max_clean: labelled rows that are read, the first by hash of their id (the
     documented bound on the classifier's sample; all else covers the whole corpus).
-    A feature needs ``least`` toxic rows, a log-likelihood ratio of ``evidence`` and
-    ``precision`` among its rows.  Beginnings of a word that ``frequent`` of the toxic rows
+    A feature needs ``least`` toxic rows, ``precision`` among its rows, and a log-likelihood ratio of
+    ``evidence`` beyond what the best of so many candidates has by chance (twice the logarithm of their number).  Beginnings of a word that ``frequent`` of the toxic rows
     have must show themselves in other words.
     """
 
     max_toxic: int = 4000
     max_clean: int = 8000
     least: int = 4
-    evidence: float = 20.0
+    evidence: float = 10.0
     precision: float = 0.7
     frequent: float = 0.05
 
@@ -319,7 +306,45 @@ def _g2(a: float, b: float, n1: float, n0: float) -> float:
 MINIMA, SHARED = 8, 3
 
 
-def _incidence(texts: DataFrame, decoder: Decoder, wanted: frozenset[str], alone: frozenset[str]) -> list[list[str]]:
+def _words(texts: DataFrame, decoder: Decoder) -> DataFrame:
+    """toxic, words, minima of every sampled text: the distinct words it may hold, and what near copies of it share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = WordIndex()
+        cache: dict[str, list[str]] = {}
+        for batch in batches:
+            words, minima = [], []
+            for text in batch.column(1).to_pylist():
+                chunks = text.lower().split()
+                if len(cache) > CACHE_WORDS:
+                    cache.clear()
+                for c in set(chunks):
+                    if c not in cache:
+                        cache[c] = decoder.readings(c)
+                words.append(sorted({w for c in set(chunks) for w in cache[c]} | set(decoder.spaced(chunks))))
+                runs = shingles(index.hashed(text.lower().encode().split()), 3)
+                minima.append([int((mix(runs + np.uint64(k)) >> np.uint64(1)).min()) for k in range(MINIMA)] if len(runs) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string())), pa.array(minima, pa.list_(pa.int64()))], names=["toxic", "words", "minima"])
+
+    return durable(texts.mapInArrow(run, "toxic boolean, words array<string>, minima array<long>"), "sample-words")
+
+
+def _counts(words: DataFrame, wanted: frozenset[str] | None, least: int) -> dict[str, int]:
+    """Rows that have a feature, of the wanted ones or all, by feature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in batches:
+            for own in batch.column(0).to_pylist():
+                found = {f for w in own for f in features(w)}
+                total.update(found if wanted is None else found & wanted)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["feature", "n"])
+
+    out = words.select("words").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return {r["feature"]: r["n"] for r in out.where(F.col("n") >= least).collect()}
+
+
+def _incidence(words: DataFrame, wanted: frozenset[str], alone: frozenset[str]) -> list[list[str]]:
     """The wanted features of each sampled text, near copies of a text once.
 
     Copies of a toxic row share all its words, which would then pass for signs; likewise the
@@ -327,19 +352,12 @@ def _incidence(texts: DataFrame, decoder: Decoder, wanted: frozenset[str], alone
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = WordIndex()
         for batch in batches:
-            own, minima = [], []
-            for text in batch.column(0).to_pylist():
-                chunks = text.lower().split()
-                words = {w for c in set(chunks) for w in decoder.readings(c)} | set(decoder.spaced(chunks))
-                own.append(sorted({f for w in words for f in features(w, alone)} & wanted))
-                runs = shingles(index.hashed(text.lower().encode().split()), 3)
-                minima.append([int((mix(runs + np.uint64(k)) >> np.uint64(1)).min()) for k in range(MINIMA)] if len(runs) else [])
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string())), pa.array(minima, pa.list_(pa.int64()))], names=["own", "minima"])
+            own = [sorted({f for w in some for f in features(w, alone)} & wanted) for some in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string())), batch.column(1)], names=["own", "minima"])
 
     out, seen = [], {}
-    rows = texts.mapInArrow(run, "own array<string>, minima array<long>").collect() if wanted else []
+    rows = words.select("words", "minima").mapInArrow(run, "own array<string>, minima array<long>").collect() if wanted else []
     for k, r in enumerate(sorted(rows, key=lambda r: (r["minima"], r["own"]))):
         like = Counter(seen[x] for x in enumerate(r["minima"]) if x in seen)
         if like and max(like.values()) >= SHARED:
@@ -355,55 +373,54 @@ def train(docs: DataFrame, labels: DataFrame, decoder: Decoder, training: Traini
 
     ``labels`` has doc_id and toxic; rows with a null in either, or without a document, are
     passed over.  Without toxic rows there are no weights and every text scores alike.
+    The sample is read from the documents once, and decoded twice: to learn its words, and
+    with them.
     """
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where((fold("doc_id") != held_out) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-    totals = {r["t"]: r["n"] for r in usable.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    def sample(toxic: bool, most: int) -> tuple[DataFrame, int]:
-        ids = usable.where((F.col("toxic") > 0) == F.lit(toxic)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id").distinct()
-        ids = durable(ids, "label-sample")  # at most ``most`` rows
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        return texts.join(F.broadcast(ids), "doc_id").select("text"), ids.count()
-
-    def counts(texts: DataFrame, wanted: frozenset[str] | None, least: int) -> dict[str, int]:
-        out = texts.mapInArrow(_count_features(decoder, wanted), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-        return {r["feature"]: r["n"] for r in out.where(F.col("n") >= least).collect()}
-
-    toxic, n_toxic = sample(True, training.max_toxic)
-    clean, n_clean = sample(False, training.max_clean)
-    bad = counts(toxic, None, training.least) if n_toxic else {}
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).alias("toxic")).where((fold("doc_id") != held_out) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    usable = durable(usable.join(named.select("doc_id"), "doc_id", "left_semi").distinct(), "labels")
+    totals = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    first = lambda toxic, most: usable.where(F.col("toxic") == F.lit(toxic)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    ids = durable(first(True, training.max_toxic).unionByName(first(False, training.max_clean)), "label-sample")  # a bounded number of rows
+    texts = durable(named.join(F.broadcast(ids), "doc_id").select("toxic", "text"), "sample-texts")
+    sizes = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
+    if not n_toxic:
+        return Scorer(decoder, {}, -0.01)
+
+    bad = _counts(_words(texts.where("toxic"), decoder), None, training.least)
     known = sum(n for f, n in bad.items() if f[0] == "=")
     decoder = Decoder(decoder.model, {f[1:]: math.log(n / known) for f, n in bad.items() if f[0] == "=" and len(f) > 1})
-    bad = counts(toxic, None, training.least) if bad else {}  # with the words that runs part into
-    good = counts(clean, frozenset(bad), 1) if bad and n_clean else {}
+    words = _words(texts, decoder)  # with the words that runs part into
+    bad = _counts(words.where("toxic"), None, training.least)
+    good = _counts(words.where("not toxic"), frozenset(bad), 1)
     # clean rows stand for as many as there are beside the toxic ones
-    scale = (totals.get(False, 0) / max(1, n_clean)) / (totals.get(True, 1) / max(1, n_toxic))
+    scale = (totals.get(False, 0) / max(1, n_clean)) / (totals.get(True, 1) / n_toxic)
+    evidence = training.evidence + 2 * math.log(max(1, len(bad)))
 
     def signs(counted: dict[str, int], n: int) -> dict[str, float]:
         out = {}
         for f, a in counted.items():
             b = good.get(f, 0)
             share = (a + 0.5) / (a + b * scale + 1)
-            if a >= training.least and share >= training.precision and _g2(a, b, n, max(1, n_clean)) >= training.evidence:
+            if a >= training.least and share >= training.precision and _g2(a, b, n, max(1, n_clean)) >= evidence:
                 out[f] = math.log(share / (1 - share))
         return out
 
     likely = frozenset(signs(bad, n_toxic))
     alone = frozenset(f for f in likely if f[0] == "=" and bad[f] >= training.frequent * n_toxic)
-    held = _incidence(toxic, decoder, likely, alone) if bad else []
+    held = _incidence(words.where("toxic"), likely, alone)
     weights = signs(Counter(f for own in held for f in own), max(1, len(held)))
-    scorer = Scorer(decoder, weights, 0.0)
 
-    def without(texts: DataFrame) -> int:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([sum(not scorer.found(t) for t in batch.column(0).to_pylist())], pa.int64())], names=["n"])
-
-        return texts.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            none = [not any(f in weights for w in own for f in features(w)) for own in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(none, pa.bool_())], names=["toxic", "none"])
 
-    missed, rest = (without(toxic) if n_toxic else 0), (without(clean) if n_clean else 0)
-    scorer.nothing = min(-0.01, math.log((missed + 0.5) / (rest * scale + 0.5)))
-    return scorer
+    without = words.select("toxic", "words").mapInArrow(run, "toxic boolean, none boolean").where("none")
+    missed = {r["toxic"]: r["n"] for r in without.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    nothing = math.log((missed.get(True, 0) + 0.5) / (missed.get(False, 0) * scale + 0.5))
+    return Scorer(decoder, weights, min(-0.01, nothing))
 
 
 def score_toxicity(docs: DataFrame, scorer: Scorer, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -427,5 +444,9 @@ def score_toxicity(docs: DataFrame, scorer: Scorer, text: str = "text", keep: tu
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, training: Training = Training()) -> Scorer:
-    """Character model of all documents, then weights from the labelled ones."""
+    """Character model of all documents, then weights from the labelled ones.
+
+    Null and empty texts, null and repeated ids, rows without a label and empty tables are
+    treated as :func:`character_counts` and :func:`train` say.
+    """
     return train(docs, labels, Decoder(character_model(character_counts(docs)).tolist()), training)

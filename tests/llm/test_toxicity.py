@@ -82,3 +82,68 @@ def test_every_word_of_a_spelled_out_text_is_scored(spark):
         assert scorer.score(text) < 0.5, text
     assert "idiot" in scorer.decoder.readings("|diot.")
     assert len(scorer.decoder.parted("idiot" * 20_000)) >= 20_000
+
+
+#: Ways to write a word, and a share of the planted texts for each.
+LEET = str.maketrans("aeiost", "4310$7")
+WAYS = {
+    "plain": lambda w: w,
+    "look-alikes": lambda w: w.translate(LEET),
+    "dots": ".".join,
+    "spaces": " ".join,
+    "repeats": lambda w: w[:2] + w[2] * 4 + w[3:],
+    "look-alikes and dashes": lambda w: "-".join(w.translate(LEET)),
+    "look-alikes and spaces": lambda w: " ".join(w.translate(LEET)),
+    "two words in one run": lambda w: " ".join("you" + w),
+}
+
+
+class Undecoded(toxicity.Decoder):
+    """No channel: the letters of a chunk as they stand."""
+
+    def readings(self, chunk):
+        return toxicity._LETTERS.findall(chunk)
+
+    def spaced(self, chunks):
+        return []
+
+
+def test_recall_of_planted_obfuscation(spark):
+    """Clean texts with one insult planted in each, written in eight ways; with the decoder and without."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    scorer = toxicity.fit_toxicity(docs, labels)
+    insults = ["idiot", "moron", "stupid", "loser", "trash", "scum", "pathetic", "worthless", "disgusting", "clown"]
+    ids = labels.where("toxic = 0").orderBy("doc_id").limit(240)
+    texts = [r["text"] for r in docs.join(ids, "doc_id").orderBy("doc_id").collect() if r["text"]]
+    clean = [t for t in texts if scorer.score(t) < 0.5]
+    assert len(clean) >= 0.97 * len(texts)
+    plain = toxicity.Scorer(Undecoded(scorer.decoder.model), scorer.weights, scorer.nothing)
+    recall = {}
+    for way, write in WAYS.items():
+        hits = [0, 0]
+        for k, text in enumerate(clean):
+            words = text.split()
+            at = k % (len(words) + 1)
+            planted = " ".join([*words[:at], write(insults[k % len(insults)]), *words[at:]])
+            hits[0] += scorer.score(planted) >= 0.5
+            hits[1] += plain.score(planted) >= 0.5
+        recall[way] = (round(hits[0] / len(clean), 3), round(hits[1] / len(clean), 3))
+    print(recall)
+    assert recall["plain"][0] >= 0.99 and recall["plain"][1] >= 0.99
+    for way, (restored, written) in recall.items():
+        assert restored >= 0.85, recall
+        if way != "plain":
+            assert written <= 0.1, recall
+
+
+def test_labels_without_a_document_do_not_count(spark):
+    """Counts are of labelled rows that have a document: others change no score."""
+    docs = spark.createDataFrame([(k, "you awful thing" if k % 4 == 0 else f"a fine day {k}") for k in range(200)], "doc_id long, text string")
+    labels = [(k, int(k % 4 == 0)) for k in range(200)]
+    more = [(k, 1) for k in range(1000, 1400)] + [(k, 0) for k in range(2000, 2100)]
+    scores = []
+    for rows in (labels, labels + more):
+        scorer = toxicity.fit_toxicity(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
+        scores.append([scorer.score(t) for t in ("you awful thing", "a fine day", "")] + [scorer.weights])
+    assert scores[0] == scores[1]
