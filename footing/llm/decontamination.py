@@ -1,10 +1,12 @@
 """Benchmark items in documents, up to a share of edits, by the pigeonhole principle.
 
 An item of n characters may differ by k = floor(share * n) edits.  Cut into k + 1 pieces,
-at least one piece stands unchanged in any such copy; cut into k + s, at least s do, and the
-starts they imply lie within k of each other.  All pieces are found in one pass by an
-Aho-Corasick automaton; where s hits agree, Myers' bit-parallel algorithm computes the
-least edit distance between the item and any stretch of the text around them.
+at least one piece stands unchanged in any such copy.  All pieces are found in one pass by an
+Aho-Corasick automaton; around each hit Myers' bit-parallel algorithm computes the least edit
+distance between the item and any stretch of the text.  A refinement that loses nothing:
+cut into k + s pieces, at least s stand unchanged and the starts they imply lie within k of each
+other, so fewer places are verified.  Items and texts are whole words: the blanks at their
+ends are part of them, and leaving one out is an edit.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from footing.llm.words import drop_held
 
 #: Share of an item's characters that edits may change.
 SHARE = 0.1
-#: Unchanged pieces asked for beyond the pigeonhole's one, and least characters of a piece then.
+#: Most pieces that are asked to stand unchanged (1: the plain rule), and least characters of a piece where it is more than one.
 SPARE, LEAST = 3, 6
 #: Characters of items in one automaton; more items make more passes.
 BLOCK_CHARS = 4_000_000
@@ -32,14 +34,25 @@ def normal(text: str) -> str:
     return " ".join(_WORDS.findall(text.lower()))
 
 
-def spare(n: int, share: float = SHARE) -> int:
-    """Pieces that must stand unchanged: up to SPARE, where pieces keep LEAST characters; else one."""
-    return max(1, min(SPARE, n // LEAST - int(share * n)))
+def bounded(text: str) -> str:
+    """A normal form with the blanks around its first and last word."""
+    return f" {text} "
 
 
-def pieces(item: str, share: float = SHARE) -> list[tuple[int, str]]:
-    """(offset, piece): as many pieces as edits and spare ones, of near equal length."""
-    n = int(share * len(item)) + spare(len(item), share)
+def edits(item: str, share: float) -> int:
+    """Edits that a bounded item may have: a share of its own characters."""
+    return int(share * (len(item) - 2))
+
+
+def spare(n: int, allowed: int, most: int = SPARE) -> int:
+    """Pieces that must stand unchanged: up to ``most``, where pieces keep LEAST characters; else one."""
+    return max(1, min(most, n // LEAST - allowed))
+
+
+def pieces(item: str, share: float = SHARE, most: int = SPARE) -> list[tuple[int, str]]:
+    """(offset, piece): as many pieces as edits and those that must stand unchanged, of near equal length."""
+    allowed = edits(item, share)
+    n = allowed + spare(len(item), allowed, most)
     cuts = [len(item) * i // n for i in range(n + 1)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
@@ -76,15 +89,15 @@ def myers(eq: dict[str, int], n: int, text: str) -> tuple[int, int]:
 
 
 class Matcher:
-    """Finds a block of items; built anew in each worker from the items."""
+    """Finds a block of bounded items; built anew in each worker from the items."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float) -> None:
+    def __init__(self, items: list[tuple[int, str]], share: float, most: int = SPARE) -> None:
         import ahocorasick
 
-        self.items = {k: (t, masks(t), int(share * len(t)), spare(len(t), share)) for k, t in items}
+        self.items = {k: (t, masks(t), edits(t, share), spare(len(t), edits(t, share), most)) for k, t in items}
         where: dict[str, list[tuple[int, int]]] = {}
         for k, t in items:
-            for offset, piece in pieces(t, share):
+            for offset, piece in pieces(t, share, most):
                 where.setdefault(piece, []).append((k, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, places in where.items():
@@ -92,7 +105,7 @@ class Matcher:
         self.automaton.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item, distance, start, end) of the best stretch for each item within its edits."""
+        """(item, distance, start, end) of the best stretch of a bounded text for each item within its edits."""
         hits: dict[int, list[tuple[int, int]]] = {}
         for last, (size, places) in self.automaton.iter(text):
             for k, offset in places:
@@ -133,6 +146,24 @@ class Matcher:
         return out
 
 
+def original(text: str, start: int, end: int) -> tuple[int, int]:
+    """The words that a stretch of the bounded normal form touches, as places in the text itself."""
+    lower = text.lower()
+    first = last = None
+    at = 1
+    for m in _WORDS.finditer(lower):
+        size = m.end() - m.start()
+        if first is None and at + size > start:
+            first = m.start()
+        if at < end:
+            last = m.end()
+        at += size + 1
+    if len(lower) != len(text):  # some characters have two when lowered
+        where = [k for k, c in enumerate(text) for _ in c.lower()]
+        first, last = where[first], where[last - 1] + 1
+    return first, last
+
+
 def _blocks(benchmark: DataFrame, most: int, ids: bool = True) -> Iterator[list[tuple[int, str, int | None]]]:
     """Distinct non-empty items (key, normal form, id) in blocks of bounded size, in order.
 
@@ -154,7 +185,7 @@ def _blocks(benchmark: DataFrame, most: int, ids: bool = True) -> Iterator[list[
             continue
         if ids:
             held.add(item)  # the texts of one id
-        block.append((len(block), item, r["item_id"]))
+        block.append((len(block), bounded(item), r["item_id"]))
         size += len(item)
         if size >= most:
             yield block
@@ -166,13 +197,14 @@ def _blocks(benchmark: DataFrame, most: int, ids: bool = True) -> Iterator[list[
 MATCHES = "item_id long, distance int, item_chars int, start long, end long"
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find_items(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_chars: int = BLOCK_CHARS, most: int = SPARE) -> DataFrame:
     """Pairs of a document row and an item that its text holds within the allowed edits.
 
     Texts and items are compared in lower case, words joined by single spaces.  Beside the
-    columns in ``keep``: item_id, distance, item_chars, start and end (in the document's
-    normal form), the best place for each pair; texts that share an id are items of their own.  The benchmark is a stated query set: it is
-    taken in blocks of bounded size, each against all documents whole.  Items that are null,
+    columns in ``keep``: item_id, distance, item_chars, start and end (the whole words of the best
+    place, in characters of the text as it stands) for each pair; texts that share an id are items
+    of their own.  ``most``: see :func:`spare`.  The benchmark is a stated query set: it is taken in
+    blocks of bounded size, each against all documents whole.  Items that are null,
     without an id, or without words match nothing, as do such texts; repeated documents have repeated rows.  No shuffle.
     """
     own = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("body"))
@@ -184,14 +216,15 @@ def find_items(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             drop_held()
-            matcher = Matcher([(k, t) for k, t, _ in shared.value], share)
-            items = {k: (own, len(t)) for k, t, own in shared.value}
+            matcher = Matcher([(k, t) for k, t, _ in shared.value], share, most)
+            items = {k: (own, len(t) - 2) for k, t, own in shared.value}
             for batch in batches:
                 rows, where = [], []
                 for k, body in enumerate(batch.column(batch.num_columns - 1)):
-                    for item, distance, start, end in matcher.find(normal(body.as_py())):
+                    text = body.as_py()
+                    for item, distance, start, end in matcher.find(bounded(normal(text))):
                         where.append(k)
-                        rows.append((items[item][0], distance, items[item][1], start, end))
+                        rows.append((items[item][0], distance, items[item][1], *original(text, start, end)))
                 columns = [*zip(*rows)] if rows else [[]] * 5
                 held = [c.take(pa.array(where, pa.int64())) for c in batch.columns[:-1]]
                 types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
@@ -214,7 +247,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, t
             drop_held()
             matcher = Matcher([(k, t) for k, t, _ in shared.value], share)
             for batch in batches:
-                clean = [not matcher.find(normal(x.as_py() or "")) for x in batch.column(at)]
+                clean = [not matcher.find(bounded(normal(x.as_py() or ""))) for x in batch.column(at)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, schema)

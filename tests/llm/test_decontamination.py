@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from conftest import SF
 
 from footing.llm import decontamination as dc
@@ -28,36 +29,47 @@ def edited(rng, text, edits):
     return "".join(t)
 
 
-def test_against_plain_distance(spark):
+@pytest.mark.parametrize("most", [1, dc.SPARE])
+def test_against_plain_distance(spark, most):
+    """The plain rule (k + 1 pieces, one hit) and its refinement both find every pair, at its distance and place."""
     rng = random.Random(4)
     make = lambda n: "".join(rng.choice("abcde ") for _ in range(n))
     items = [dc.normal(make(n)) for n in (12, 25, 40, 60, 90)]
     docs = []
     for k in range(60):
         item = rng.choice(items)
-        docs.append((k, make(80) + " " + edited(rng, item, rng.randrange(0, len(item) // 6 + 1)) + " " + make(80)))
+        docs.append((k, make(80) + " \u0130, " + edited(rng, item, rng.randrange(0, len(item) // 6 + 1)).upper() + " " + make(80)))
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r for r in dc.find_items(frame, bench, block_chars=100).collect()}
+    got = {(r["doc_id"], r["item_id"]): r for r in dc.find_items(frame, bench, block_chars=100, most=most).collect()}
     want = {}
     for k, text in docs:
         for i, item in enumerate(items):
-            d = nearest(item, dc.normal(text))
+            d = nearest(dc.bounded(item), dc.bounded(dc.normal(text)))
             if d <= int(dc.SHARE * len(item)):
                 want[k, i] = d
     assert {k: r["distance"] for k, r in got.items()} == want and len(want) > 20
     for (k, i), r in got.items():
-        assert nearest(dc.normal(docs[k][1])[r["start"] : r["end"]], items[i]) <= r["distance"]
+        cut = docs[k][1][r["start"] : r["end"]]
+        assert nearest(dc.bounded(items[i]), dc.bounded(dc.normal(cut))) == r["distance"]
+        assert abs(len(dc.normal(cut)) - len(items[i])) <= 12  # whole words at its ends
+
+
+def test_items_are_whole_words(spark):
+    docs = spark.createDataFrame([(1, "concatenate"), (2, "a cat."), (3, "the cats")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Cat")], "item_id long, text string")
+    rows = dc.find_items(docs, bench).collect()
+    assert [(r["doc_id"], r["start"], r["end"], r["item_chars"]) for r in rows] == [(2, 2, 5, 3)]
 
 
 def test_query_finds_exact_passages_and_little_else(spark):
-    docs = {r["doc_id"]: dc.normal(r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    items = {r["item_id"]: dc.normal(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    items = {r["item_id"]: dc.bounded(dc.normal(r["text"])) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     rows = op7_decontamination(spark, SF).collect()
-    exact = {(d, i) for d, t in docs.items() for i, x in items.items() if x in t}
-    assert exact <= {(r["doc_id"], r["item_id"]) for r in rows}
+    exact = {(d, i) for d, t in docs.items() for i, x in items.items() if x in dc.bounded(dc.normal(t))}
+    assert exact and exact <= {(r["doc_id"], r["item_id"]) for r in rows}
     for r in rows:
-        assert r["distance"] == nearest(items[r["item_id"]], docs[r["doc_id"]][max(0, r["start"] - 5) : r["end"] + 5])
+        assert r["distance"] == nearest(items[r["item_id"]], dc.bounded(dc.normal(docs[r["doc_id"]][r["start"] : r["end"]])))
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
