@@ -38,6 +38,9 @@ from footing.llm.words import WordIndex, mix, shingles
 SPARE = 1.15
 #: Candidate sets up to which their ids are broadcast (16 bytes each); beyond, a shuffle join.
 BROADCAST_IDS = 500_000
+#: A key is hot when more than this share of all rows hold it; found on the rows of every SAMPLED-th node by hash, with so
+#: many rows of it there at least.
+HOT, SAMPLED, HOT_LEAST = 1 / 2000, 64, 100
 #: Members of a group that one task compares with each other by their bit sketches.
 BLOCK = 2048
 #: Nearest neighbours of each set that a round verifies, before all that are left are.
@@ -223,13 +226,32 @@ def jaccard_components(docs: DataFrame, width: int = 5, bounds: Bounds = Bounds(
     return filled.unionByName(empty)
 
 
+def _hot_keys(keys: DataFrame) -> list[int]:
+    """Keys that more than HOT of the rows hold, as the rows of one node in SAMPLED tell; at most 1 / HOT.
+
+    How rows are dealt depends on it, no result does.
+    """
+    some = keys.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).select("key")
+    counts = durable(some.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "sampled-keys")
+    size = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where((F.col("n") > HOT * size) & (F.col("n") >= HOT_LEAST)).orderBy(F.desc("n"), "key").limit(int(1 / HOT))
+    return sorted(r["key"] for r in found.select("key").collect())
+
+
 def _linked(sketches: DataFrame, source: DataFrame, width: int, bounds: Bounds) -> DataFrame:
     """node, label: the components of all links between sets, of nodes that have links."""
     each = sketches.select("node", F.posexplode("keys").alias("k", "own"), "filled", "allowed")
     keys = each.select("node", F.get("filled", F.col("k")).alias("filled"), F.get("allowed", F.col("k")).alias("allowed"), F.explode("own").alias("key"))
+    hot = _hot_keys(keys)
+    is_hot = F.col("key").isin(hot) if hot else F.lit(False)
+    # a key's rows meet in one task; those of a hot key do not: it is counted with map-side combining, and its rows stay where they are
     by_key = Window.partitionBy("key")
-    shared = keys.withColumns({"low": F.min("node").over(by_key), "high": F.max("node").over(by_key), "seen": F.count(F.lit(1)).over(by_key)}).where("low <> high")
-    shared = durable(shared.groupBy("key", "node", "filled", "allowed").agg(F.first("seen").alias("seen")), "shared")
+    met = keys.where(~is_hot).withColumns({"low": F.min("node").over(by_key), "high": F.max("node").over(by_key), "seen": F.count(F.lit(1)).over(by_key)}).where("low <> high")
+    met = met.drop("low", "high")
+    if hot:
+        counts = keys.where(is_hot).groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("seen")).where("low <> high")
+        met = met.unionByName(keys.where(is_hot).join(F.broadcast(counts.select("key", "seen")), "key").select(*met.columns))  # at most 1 / HOT keys
+    shared = durable(met.groupBy("key", "node", "filled", "allowed").agg(F.first("seen").alias("seen")), "shared")
     # exact filters: enough shared words, and of them the rarest
     plan = Window.partitionBy("node", "filled", "allowed")
     ranked = shared.withColumn("n_shared", F.count(F.lit(1)).over(plan)).where(F.col("n_shared") >= F.col("filled") - F.col("allowed"))

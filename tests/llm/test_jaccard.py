@@ -115,3 +115,15 @@ def test_bit_sketch_bounds_the_difference():
 def test_odd_rows(spark, odd_docs, no_docs):
     assert rows(jaccard.jaccard_components(odd_docs)) == brute(odd_docs.collect())
     assert jaccard.jaccard_components(no_docs).count() == 0
+
+
+def test_hot_keys_change_nothing(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plain = rows(jaccard.jaccard_components(docs))
+    monkeypatch.setattr(jaccard, "HOT", 1e-5)
+    monkeypatch.setattr(jaccard, "SAMPLED", 2)
+    monkeypatch.setattr(jaccard, "HOT_LEAST", 2)
+    seen = []
+    inner = jaccard._hot_keys
+    monkeypatch.setattr(jaccard, "_hot_keys", lambda keys: seen.append(inner(keys)) or seen[-1])
+    assert rows(jaccard.jaccard_components(docs)) == plain and len(seen[0]) > 20
