@@ -48,14 +48,15 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 
 
 def written() -> int:
-    """How many tables there are now: what :func:`release` may keep."""
+    """How many tables :func:`durable` has written that still exist."""
     return len(_WRITTEN)
 
 
-def release(keep: int = 0) -> None:
-    """Delete the tables that :func:`durable` wrote, but the first ``keep``; call when their readers are done."""
-    while len(_WRITTEN) > keep:
-        spark, path = _WRITTEN.pop()
+def release(first: int = 0, last: int | None = None) -> None:
+    """Delete the tables that :func:`durable` wrote, the first-th to the last-th; call when their readers are done."""
+    gone = _WRITTEN[first:last]
+    del _WRITTEN[first:last]
+    for spark, path in gone:
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footing.llm import chat, decontamination, html, jaccard, language_model, licenses, packing, quality, sharding, toxicity
+from footing.llm import pipeline as stages
 from footing.llm.common import fold, table
 
 
@@ -73,9 +74,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES = {
