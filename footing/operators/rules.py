@@ -28,6 +28,8 @@ KINDS = (
 MONEY_KINDS = frozenset({"charge", "group_subtotal", "section_subtotal", "invoice_subtotal", "tax", "grand_total", "column_total", "adjustment", "net_due", "restatement"})
 BODY = "body"
 BLANK = "blank"
+#: Stands for the kind of a row whose rule an anchor names.
+NAMED = "@rule"
 
 
 @dataclass(frozen=True)
@@ -41,6 +43,7 @@ class Context:
     seen_header: Column
     seen_header_on_page: Column
     header_line: Column
+    previous_marker: Column  # name of the zone marker that the last line before this one was, on any page
 
     def seen(self, flag: str) -> Column:
         """Whether an earlier line of the document matches the flag's pattern."""
@@ -51,12 +54,14 @@ class Context:
 class Anchor:
     """Accept a line only after a row of ``kinds``, stepping back over rows of ``skip``.
 
-    ``first_only``: a line that would be accepted itself also stops the next one.
+    ``first_only``: a line that would be accepted itself also stops the next one.  ``rules``: rows of
+    these rules anchor as well, though their kind is stepped over.
     """
 
     kinds: frozenset[str]
     skip: frozenset[str] = frozenset()
     first_only: bool = False
+    rules: frozenset[str] = frozenset()
 
 
 @dataclass(frozen=True)
@@ -131,7 +136,7 @@ def with_context(lines: DataFrame, header: str | None = None, flags: dict[str, s
 
 
 def _context() -> Context:
-    return Context(*[F.col(c) for c in ("line", "zone", "next_line", "previous_line", "seen_header", "seen_header_on_page", "header_line")])
+    return Context(*[F.col(c) for c in ("line", "zone", "next_line", "previous_line", "seen_header", "seen_header_on_page", "header_line", "previous_marker")])
 
 
 def _applies(rule: Rule) -> Column:
@@ -157,6 +162,9 @@ def classify(lines: DataFrame, rules: Sequence[Rule], zones: Sequence[Zone] = ()
     kind whose amount cannot be read; it concerns that document alone.
     """
     base = with_context(with_zones(lines, zones), header, flags)
+    marks = F.array(*[F.lit(z.name) for z in zones]) if zones else F.array().cast("array<string>")
+    last = F.last(F.when(~F.col("is_blank"), F.coalesce("marker", F.lit(-1))), ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, -1))
+    base = base.withColumn("previous_marker", F.when(last >= 0, F.get(marks, last)))
     plain = [k for k, r in enumerate(rules) if r.anchor is None]
     chain: Column = F.lit(None).cast("int")
     for k in reversed(plain):
@@ -168,15 +176,17 @@ def classify(lines: DataFrame, rules: Sequence[Rule], zones: Sequence[Zone] = ()
     for k, rule in enumerate(rules):
         if rule.anchor is None:
             continue
-        rows = rows.withColumn("_kind", kind())
+        named = [n for n, r in enumerate(rules) if r.name in rule.anchor.rules]
+        rows = rows.withColumn("_kind", F.when(F.col("rule_no").isin(named), F.lit(NAMED)).otherwise(kind()) if named else kind())
+        anchors = [*rule.anchor.kinds, NAMED]
         wanted = live & _applies(rule) & (F.col("rule_no").isNull() | (F.col("rule_no") > k))
         rows = rows.withColumn("_wanted", wanted)
         skipped = F.col("_kind").isin(BLANK, *rule.anchor.skip)
         if rule.anchor.first_only:
             seen = F.last(F.when(~skipped | F.col("_wanted"), F.struct("_wanted", "_kind")), ignorenulls=True).over(earlier)
-            good = ~seen["_wanted"] & seen["_kind"].isin(*rule.anchor.kinds)
+            good = ~seen["_wanted"] & seen["_kind"].isin(*anchors)
         else:
-            good = F.last(F.when(~skipped & ~F.col("_wanted"), F.col("_kind")), ignorenulls=True).over(earlier).isin(*rule.anchor.kinds)
+            good = F.last(F.when(~skipped & ~F.col("_wanted"), F.col("_kind")), ignorenulls=True).over(earlier).isin(*anchors)
         rows = rows.withColumn("_good", F.coalesce(good, F.lit(False)))
         rows = rows.withColumn("rule_no", F.when(F.col("_wanted") & F.col("_good"), k).otherwise(F.col("rule_no")))
     rows = rows.withColumn("kind", kind())
@@ -188,7 +198,6 @@ def classify(lines: DataFrame, rules: Sequence[Rule], zones: Sequence[Zone] = ()
     else:
         rows = rows.withColumn("kind", F.when(F.col("kind") == BLANK, "unclassified").otherwise(F.col("kind")))
     names = F.array(*[F.lit(r.name) for r in rules])
-    marks = F.array(*[F.lit(z.name) for z in zones]) if zones else F.array().cast("array<string>")
     rule_name = F.coalesce(F.get(marks, F.col("marker")), F.get(names, F.col("rule_no")))
     fields, nums = _extract(rules)
     rows = rows.withColumns({"rule": rule_name, "fields": fields, "nums": nums})

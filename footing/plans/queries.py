@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from footing.functions import money as M
 from footing.functions import text as T
 from footing.operators import discover, folds, ladder, profiles, rules, sinks, state
-from footing.plans import invoices
+from footing.plans import invoices, printed
 from footing.shipping import ship
 from footing.sources import documents as D
 
@@ -518,3 +518,28 @@ def invoice_line_items(spark, sf_dir):
 def classify_sequential_fallback(spark, sf_dir):
     lines = invoices.printed(table(spark, sf_dir, "lineitem"))
     return rules.classify_in_order(lines, invoices.RULES, invoices.ZONES).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- every layout, printed from orders and read back
+
+
+def _layout_query(name: str, depth: tuple[int, int], texts: tuple[str, ...], size: str, *, amount: str = "v", identity: str = "CAST(k AS VARCHAR)") -> None:
+    """Registers layout_<name>: rungs passed when all closes and when a total is off; what an item's texts measure, in SQL."""
+
+    def read(spark, sf_dir):
+        return printed.read_back(table(spark, sf_dir, "lineitem"), name, texts)
+
+    read.__name__ = f"layout_{name}"
+    query(f"""
+WITH x AS (SELECT l_orderkey k, CAST(l_partkey AS VARCHAR) p, l_returnflag f, CAST(l_extendedprice AS DECIMAL(18,2)) v FROM lineitem)
+SELECT k AS doc_id, {identity} AS identity, k % 10 <> 3 AS verified, CAST(CASE WHEN k % 10 = 3 THEN {depth[1]} ELSE {depth[0]} END AS BIGINT) AS depth,
+       count(*) AS items, CAST(sum({amount}) AS DECIMAL(18,2)) AS computed_total, CAST(sum({size}) AS BIGINT) AS size FROM x GROUP BY k
+""")(read)
+
+
+_layout_query("rate_table", (2, 1), ("description", "rate"), "length('Part ' || p) + 4", identity="CAST(k + 100000 AS VARCHAR)")
+_layout_query("two_fees", (4, 2), ("county", "reference", "last_name"), "length('Kings' || p || '7' || 'DOE')", amount="v + 4.50")
+_layout_query("unit_rates", (6, 5), ("description", "unit"), "length('Part ' || p || '| Ref #: ' || p || 'EA')")
+_layout_query("sections", (4, 3), ("dept", "employee", "material", "description"), "length('FLAG ' || f || '0001' || 'X100' || 'PART ' || p || ' WRAP/' || p)")
+_layout_query("summary_and_detail", (14, 13), ("search_id", "description"), "length(p || 'Part ' || p || ' LOS ANGELES, CA')", amount="v + 3.00")
+_layout_query("regrouped", (10, 9), ("service_group", "service_name", "gl_code"), "length('County ' || f || 'Part ' || p || '50130-004')")
