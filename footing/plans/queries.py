@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from footing.functions import money as M
 from footing.functions import text as T
 from footing.operators import discover, folds, ladder, profiles, rules, sinks, state
-from footing.plans import invoices, printed
+from footing.plans import invoices, layouts, printed
 from footing.shipping import ship
 from footing.sources import documents as D
 
@@ -469,6 +469,35 @@ def triage_verdicts(spark, sf_dir):
     return state.triage(v.where("seq % 3 <> 0"), v.where("seq % 3 = 0")).select("seq", "verdict", "reason")
 
 
+def _settled_sql(batch: str, history: str, rest: int) -> str:
+    """Verdicts of one batch in SQL, as ``batch``, against the table ``history`` (identity, sha, total)."""
+    return f"""
+, {batch}_w AS (SELECT v.*, lag(v.sha) OVER w AS psha, lag(v.total) OVER w AS ptotal, h.sha AS hsha, h.total AS htotal FROM v LEFT JOIN {history} h ON v.identity = h.identity WHERE seq % 3 = {rest} WINDOW w AS (PARTITION BY v.identity ORDER BY seq)),
+{batch}_k AS (SELECT *, coalesce(psha, hsha) AS ksha, CASE WHEN psha IS NOT NULL THEN ptotal ELSE htotal END AS ktotal FROM {batch}_w),
+{batch} AS (SELECT seq, identity, sha, total, CASE WHEN trim(identity) = '' THEN 'changed' WHEN ksha IS NULL THEN 'new' WHEN ksha = sha THEN 'duplicate' ELSE 'changed' END AS verdict,
+  CASE WHEN trim(identity) = '' THEN 'no identity' WHEN ksha IS NOT NULL AND ksha <> sha THEN CASE WHEN ktotal IS NOT DISTINCT FROM total THEN 'same total, other bytes' ELSE 'totals differ' END END AS reason FROM {batch}_k)"""
+
+
+@query(
+    _VERSIONS_SQL
+    + ", h0 AS (SELECT identity, max_by(sha, seq) AS sha, max_by(total, seq) AS total FROM v WHERE seq % 3 = 0 AND trim(identity) <> '' GROUP BY 1)"
+    + _settled_sql("b1", "h0", 1)
+    + ", h1 AS (SELECT * FROM h0 UNION ALL SELECT identity, sha, total FROM b1 WHERE verdict = 'new')"
+    + _settled_sql("b2", "h1", 2)
+    + "SELECT 1 AS run, seq, verdict, reason FROM b1 UNION ALL SELECT 2, seq, verdict, reason FROM b2"
+)
+def incremental_runs(spark, sf_dir):
+    """Two batches after a history: what the first records, the second knows; every document is recorded or reported."""
+    v = _versions(spark, sf_dir)
+    history, out = v.where("seq % 3 = 0"), []
+    for run in (1, 2):
+        new, rest = state.settle(v.where(F.col("seq") % 3 == run), history)
+        history = history.unionByName(new.select(*history.columns))
+        every = new.select("seq", F.lit("new").alias("verdict"), F.lit(None).cast("string").alias("reason")).unionByName(rest.select("seq", "verdict", "reason"))
+        out.append(every.select(F.lit(run).alias("run"), "*"))
+    return out[0].unionByName(out[1])
+
+
 @query(_VERSIONS_SQL + "SELECT seq, identity FROM v WHERE seq % 2 = 1 AND identity NOT IN (SELECT identity FROM v WHERE seq % 2 = 0)")
 def new_only_append(spark, sf_dir):
     v = _versions(spark, sf_dir)
@@ -543,3 +572,32 @@ _layout_query("unit_rates", (6, 5), ("description", "unit"), "length('Part ' ||
 _layout_query("sections", (4, 3), ("dept", "employee", "material", "description"), "length('FLAG ' || f || '0001' || 'X100' || 'PART ' || p || ' WRAP/' || p)")
 _layout_query("summary_and_detail", (14, 13), ("search_id", "description"), "length(p || 'Part ' || p || ' LOS ANGELES, CA')", amount="v + 3.00")
 _layout_query("regrouped", (10, 9), ("service_group", "service_name", "gl_code"), "length('County ' || f || 'Part ' || p || '50130-004')")
+
+
+def _section_records(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    out = layouts.run(printed.sections(printed.Orders(table(spark, sf_dir, "lineitem"))), layouts.SECTIONS)
+    facts = sinks.document_facts(out["rows"], out["results"])
+    return sinks.records(out["verdicts"], out["heads"], out["items"], facts, "sections"), facts, out["verdicts"]
+
+
+@query("""
+WITH x AS (SELECT l_orderkey k, l_returnflag f, CAST(l_extendedprice AS DECIMAL(18,2)) v FROM lineitem),
+     s AS (SELECT k, sum(v) v, count(*) n, count(DISTINCT f) fs, string_agg(DISTINCT 'FLAG ' || f, ', ' ORDER BY 'FLAG ' || f) depts, CASE WHEN k % 10 = 3 THEN 0.01 ELSE 0.00 END AS off FROM x GROUP BY 1)
+SELECT CAST(k AS VARCHAR) AS invoice_number, '01/02/2024' AS invoice_date, CASE WHEN off > 0 THEN 'reconciliation failed' ELSE 'verified' END AS status, 2 AS pages, CAST(n AS INTEGER) AS line_items,
+  CAST(v AS DECIMAL(18,2)) AS computed_total, CAST(v + off AS DECIMAL(18,2)) AS printed_subtotal, CAST(1.00 AS DECIMAL(18,2)) AS tax, CAST(v + off + 1.00 AS DECIMAL(18,2)) AS printed_total,
+  CAST(-off AS DECIMAL(18,2)) AS delta, (2 * fs + 3 - CAST(off > 0 AS INTEGER)) || '/' || (2 * fs + 3) AS checks, CAST(CASE WHEN off > 0 THEN 3 ELSE 4 END AS INTEGER) AS depth, depts AS departments,
+  '' AS service_ticket, '' AS customer_ref, '' AS user_id, '' AS sold_to, '' AS payer, '' AS payment_terms, '' AS sort_number, '' AS route, '' AS ocr, CAST(k AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS notes FROM s
+""")
+def fact_rows(spark, sf_dir):
+    """The 25 columns of the fact row but the time of the run."""
+    records_, facts, verdicts = _section_records(spark, sf_dir)
+    return sinks.invoices(records_, facts, verdicts).drop("extracted_at", "verified", "flagged")
+
+
+@query("""
+WITH x AS (SELECT l_orderkey k, l_partkey p, l_returnflag f, CAST(l_quantity AS BIGINT) q, CAST(l_extendedprice AS DECIMAL(18,2)) v FROM lineitem)
+SELECT CAST(k AS VARCHAR) AS invoice_number, '01/02/2024' AS invoice_date, 'FLAG ' || f AS department, '0001' AS employee, 'X100' AS material, 'PART ' || p || ' WRAP/' || p AS description,
+  '' AS variant, '01' AS freq, 'F' AS exch, CAST(q AS VARCHAR) AS qty, '1.25' AS unit_price, v AS line_total, 'Y' AS taxable, 1 AS page FROM x
+""")
+def denormalised_items(spark, sf_dir):
+    return sinks.invoice_items(_section_records(spark, sf_dir)[0])

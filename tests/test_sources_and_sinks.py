@@ -1,4 +1,9 @@
-from footing.operators import ladder, sinks
+import re
+from decimal import Decimal
+
+from pyspark.sql import functions as F
+
+from footing.operators import ladder, sinks, state
 from footing.plans import invoices
 from footing.sources import documents as D
 from footing.streaming.incremental import run_new
@@ -36,15 +41,27 @@ def test_state_files_may_be_missing(spark, tmp_path):
     assert D.read_bindings(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_records_and_summary(spark):
+def test_records_and_summary(spark, tmp_path):
     lines = invoices.printed(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("l_orderkey < 40"))
     rows = invoices.classified(lines)
     results = ladder.reconcile(rows, invoices.CHECKS)
     verdicts = ladder.verdicts(rows, results)
     identities = verdicts.selectExpr("doc_id", "concat('no-', doc_id) identity", "sha2(cast(doc_id as string), 256) sha256")
-    records = sinks.records(verdicts, identities, sinks.line_items(rows, ("description", "quantity")), "made")
+    facts = sinks.document_facts(rows, results)
+    records = sinks.records(verdicts, identities, sinks.line_items(rows, ("description", "quantity")), facts, "made")
+    assert [f"{f.name} {f.dataType.simpleString()}" for f in records.schema] == [x.strip() for x in re.split(r",(?= )", D.RECORDS)]
     n, bad = verdicts.count(), verdicts.where("not verified").count()
-    assert records.count() == n and sinks.invoices(records).where("flagged").count() == bad
+    assert records.count() == n and sinks.invoices(records, facts, verdicts).where("flagged").count() == bad
+    assert len(sinks.invoices(records, facts, verdicts).columns) == 27 and len(sinks.invoice_items(records).columns) == 14
+    # a record that is read back is the same, and its total is known to triage
+    path = str(tmp_path / "history")
+    records.write.json(path)
+    back = D.read_records(spark, path)
+    assert sorted(map(str, back.drop("extracted_at").collect())) == sorted(map(str, records.drop("extracted_at").collect()))
+    again = state.triage(back.withColumn("seq", F.lit(1)), back.withColumn("seq", F.lit(0)))
+    assert {r["verdict"] for r in again.collect()} == {"duplicate"}
+    other = state.triage(back.withColumns({"seq": F.lit(1), "sha256": F.lit("x")}), back.withColumn("seq", F.lit(0)))
+    assert {r["reason"] for r in other.collect()} == {"same total, other bytes"}
     assert all(r["line_items"][0]["description"].startswith("Part ") for r in records.collect())
     summary = sinks.run_summary(verdicts).first()
     assert (summary["n"], summary["verified"], summary["shallow"]) == (n, n - bad, 0)
@@ -64,3 +81,19 @@ def test_incremental_runs_add_only_what_is_new(spark, tmp_path):
     spark.createDataFrame([("b", "yy"), ("c", "zzz")], schema).write.mode("append").parquet(source)
     run_new(spark, source, schema, extract, target, check).awaitTermination()
     assert sorted(r["identity"] for r in spark.read.parquet(target).collect()) == ["a", "b", "c"]
+
+
+def test_incremental_runs_lose_nothing(spark, tmp_path):
+    source, target, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    schema = "identity string, sha256 string, printed_total decimal(18,2), seq long"
+    one = Decimal("1.00")
+    spark.createDataFrame([("", "a", None, 1), (" ", "b", None, 2), ("X", "c", one, 3), ("X", "d", one, 4), ("Y", "e", Decimal("0.00"), 5)], schema).write.parquet(source)
+    run_new(spark, source, schema, lambda d: d, target, check).awaitTermination()
+    spark.createDataFrame([("", "f", None, 1), ("Y", "g", None, 2), ("Y", "e", Decimal("0.00"), 0), ("Z", "h", one, 4)], schema).write.mode("append").parquet(source)
+    run_new(spark, source, schema, lambda d: d, target, check).awaitTermination()
+    assert sorted((r["identity"], r["sha256"]) for r in spark.read.parquet(target).collect()) == [("X", "c"), ("Y", "e"), ("Z", "h")]
+    aside = sorted((r["sha256"], r["verdict"], r["reason"]) for r in spark.read.parquet(target + "-exceptions").collect())
+    assert aside == [
+        ("a", "changed", "no identity"), ("b", "changed", "no identity"), ("d", "changed", "same total, other bytes"),
+        ("e", "duplicate", None), ("f", "changed", "no identity"), ("g", "changed", "totals differ"),
+    ]
