@@ -65,8 +65,17 @@ def _class_table() -> np.ndarray:
 CLASSES = _class_table()
 
 
+class _Classes(dict):
+    def __missing__(self, char: str) -> int:
+        self[char] = out = int(CLASSES[char.encode()[0]])
+        return out
+
+
+_CLASS = _Classes()
+
+
 def _class(char: str) -> int:
-    return int(CLASSES[char.encode()[0]])
+    return _CLASS[char]
 
 
 def character_counts(docs: DataFrame, text: str = "text") -> list[tuple[int, int]]:
@@ -113,6 +122,7 @@ class Decoder:
 
     def __post_init__(self) -> None:
         self.lengths = sorted({len(w) for w in self.lexicon})
+        self.after = [row for rows in self.model for row in rows]  # by the two classes before, as one number
 
     def options(self, word: str, meant: bool = False, broken: bool = False) -> list[list[tuple[str, float]]]:
         """The lattice: per character what it may stand for, with the channel's log-probability.
@@ -142,19 +152,23 @@ class Decoder:
 
         At most SIGNS ** 2 states a character; paths are links to what lies before.
         """
-        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        after = self.after
+        best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for own in self.options(word, meant, broken):
-            following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-            for (a, b), (score, done) in best.items():
+            following: dict[int, tuple[float, tuple | None]] = {}
+            for state, (score, done) in best.items():
+                gains, shifted = after[state], state % SIGNS * SIGNS
                 for letter, cost in own:
-                    to, gain, path = (a, b), score + cost, done
                     if letter:
-                        c = _class(letter)
-                        to, gain, path = (b, c), gain + self.model[a][b][c], (done, letter)
-                    if to not in following or gain > following[to][0]:
+                        c = _CLASS[letter]
+                        to, gain, path = shifted + c, score + cost + gains[c], (done, letter)
+                    else:
+                        to, gain, path = state, score + cost, done
+                    known = following.get(to)
+                    if known is None or gain > known[0]:
                         following[to] = (gain, path)
             best = following
-        path = max(best.items(), key=lambda x: (x[1][0] + self.model[x[0][0]][x[0][1]][0]))[1][1]
+        path = max(best.items(), key=lambda x: x[1][0] + after[x[0]][0])[1][1]
         out = []
         while path:
             path, letter = path
@@ -202,13 +216,17 @@ class Decoder:
         Signs at its edges may be letters or not: it is restored with them and without.
         """
         bare = chunk.strip(_EDGE)
-        out = _LETTERS.findall(bare)
+        out = [bare] if bare.isalpha() else _LETTERS.findall(bare)
         for c in {bare, chunk.strip(_PLAIN_EDGE)}:
+            once = _REPEATED.sub(r"\1", c)
+            if c.isalpha():
+                if once != c:  # the channel's repeats, and whatever the model thinks of double letters
+                    out += [self.restore(c), once]
+                continue
             apart = _SPELLED.search(c) and _LETTERS.search(c)
             if apart or _SUSPECT.search(c):
                 out += {self.restore(c), self.restore(c, meant=True)}
-                once = _REPEATED.sub(r"\1", c)
-                if once != c:  # the channel's repeats, whatever the model thinks of double letters
+                if once != c:
                     out += _LETTERS.findall(once) if once.isalpha() else [self.restore(once, meant=True)]
                 if apart:
                     out += self.spelled(c, False) | self.spelled(c, True)
@@ -220,18 +238,18 @@ class Decoder:
         A run is read as one word, and as the words that it parts into.
         """
         out, run = [], []
-        for c in [*chunks, "--"]:
+        for c in [*chunks, "ab"]:
             if len(c) > 1 and not (c[0].isalnum() and c[-1].isalnum()):
                 c = c.strip(_EDGE) or c
             if len(c) == 1:
                 run.append(c)
-                continue
-            if len(run) >= 3 and len(set(run)) > 1:
-                out += self.parted("".join(filter(str.isalpha, run)))
-                for meant in (False, True):
-                    whole = self.restore("".join(run), meant)
-                    out += {whole, *self.parted(whole), *self.spelled(" ".join(run), meant)}
-            run = []
+            elif run:
+                if len(run) >= 3 and len(set(run)) > 1:
+                    out += self.parted("".join(filter(str.isalpha, run)))
+                    for meant in (False, True):
+                        whole = self.restore("".join(run), meant)
+                        out += {whole, *self.parted(whole), *self.spelled(" ".join(run), meant)}
+                run = []
         return out
 
 
@@ -246,10 +264,24 @@ class Scorer:
 
     def __init__(self, decoder: Decoder, weights: dict[str, float], nothing: float) -> None:
         self.decoder, self.weights, self.nothing, self.cache = decoder, weights, nothing, {}
+        self.whole = {f[1:]: w for f, w in weights.items() if f[0] == "="}
+        self.stems = {f[1:]: w for f, w in weights.items() if f[0] == "^"}
+        self.lengths = sorted({len(x) for x in self.stems})
 
     def _best(self, words: Iterable[str]) -> float:
-        get = self.weights.get
-        return max((get(f, -math.inf) for w in words for f in features(w)), default=-math.inf)
+        """The largest weight among the words' :func:`features`."""
+        whole, stem, best = self.whole.get, self.stems.get, -math.inf
+        for w in words:
+            own = whole(w)
+            if own is not None and own > best:
+                best = own
+            for k in self.lengths:
+                if len(w) <= k:
+                    break
+                own = stem(w[:k])
+                if own is not None and own > best:
+                    best = own
+        return best
 
     def found(self, text: str) -> list[float]:
         """Weights of the distinct chunks that have any, the largest first."""
