@@ -55,13 +55,16 @@ class Anchor:
     """Accept a line only after a row of ``kinds``, stepping back over rows of ``skip``.
 
     ``first_only``: a line that would be accepted itself also stops the next one.  ``rules``: rows of
-    these rules anchor as well, though their kind is stepped over.
+    these rules anchor as well, though their kind is stepped over.  ``through``: lines that
+    these anchored rules would accept are stepped over too, for rules that accept under one condition
+    and follow each other in any order.
     """
 
     kinds: frozenset[str]
     skip: frozenset[str] = frozenset()
     first_only: bool = False
     rules: frozenset[str] = frozenset()
+    through: frozenset[str] = frozenset()
 
 
 @dataclass(frozen=True)
@@ -182,6 +185,10 @@ def classify(lines: DataFrame, rules: Sequence[Rule], zones: Sequence[Zone] = ()
         wanted = live & _applies(rule) & (F.col("rule_no").isNull() | (F.col("rule_no") > k))
         rows = rows.withColumn("_wanted", wanted)
         skipped = F.col("_kind").isin(BLANK, *rule.anchor.skip)
+        for n, r in enumerate(rules):
+            if r.name in rule.anchor.through:
+                rows = rows.withColumn(f"_through{n}", live & _applies(r) & (F.col("rule_no").isNull() | (F.col("rule_no") >= n)))
+                skipped = skipped | F.col(f"_through{n}")
         if rule.anchor.first_only:
             seen = F.last(F.when(~skipped | F.col("_wanted"), F.struct("_wanted", "_kind")), ignorenulls=True).over(earlier)
             good = ~seen["_wanted"] & seen["_kind"].isin(*anchors)

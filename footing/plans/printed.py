@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from footing.functions.money import AMOUNT
 from footing.plans import layouts
+from footing.plans.two_templates import TWO_TEMPLATES
 
 L = F.lit
 
@@ -144,13 +145,42 @@ def regrouped(o: Orders) -> DataFrame:
     return together(rows)
 
 
+def two_templates(o: Orders) -> DataFrame:
+    """Orders whose number ends in 7 print a second invoice total: containers."""
+    number, two = F.col("k") + 1_000_000, _amount("2.00")
+    wide = " " * 25
+    rows = page_of(o.sums, 1, ("ACCOUNT NUMBER   INVOICE",), ("  123456  SUMMARY  01/31/26",), ("   ", number, "   $", shown(F.col("s") + two), "   ____"), ("   9999999   $7.00   Need invoice",), ("  $1.00  $2.00  $3.00  $4.00",))
+    rows += page_of(o.sums, 2, ("   Sample Detail",), ("  123456  ", number, "  01/31/26  2",), ("     SS#    SAMPLE ID/ACCESSION #    REFERENCE # / DATE       DONOR / DESCRIPTION     AMOUNT",), ("ACCOUNT: 55 Some Account",))
+    at = F.ascii("f") * 100
+    rows.append(line(o.flags, 2, at, "LOCATION: L", F.col("f")))
+    item = at + F.col("n") * 3
+    rows.append(line(o.items, 2, item, "123-45-6789   ID", F.col("p"), "   ", F.col("p") + 1_000_000_000, "   ABCDEFGHIJKL   01/02/24   DOE JOHN"))
+    rows.append(line(o.items, 2, item + 1, "          MCEL"))
+    rows.append(line(o.items, 2, item + 2, wide, "D", F.col("p"), " Part ", F.col("p"), "    $", shown("v")))
+    rows.append(line(o.flags, 2, at + 99, "LOCATION TOTAL: L", F.col("f"), "   SAMPLES: ", F.col("c"), "   $", shown("s")))
+    rows += page_of(o.sums, 3, ("ACCOUNT TOTAL: 55   SAMPLES: ", F.col("c"), "   $", shown("s")), ("      TOTAL SAMPLES BILLED: ", F.col("c"), "   $", shown("s")))
+    rows += page_of(o.sums, 4, ("   Charges for Products",), ("   ITEM   DESCRIPTION   QUANTITY   UNIT PRICE   AMOUNT",), ("SHIPPED TO: 55  PO9",), ("Some Street",), ("P1 Cup    2    $1.00    $2.00",), ("    ORDER TOTAL:   $2.00",), ("    TOTAL PRODUCT CHARGES:   $2.00",))
+    rows += page_of(o.sums, 5, ("   Current Period Summary",), ("    TEST   DESCRIPTION   TESTS   SAMPLES   AMOUNT",), ("ACCOUNT: 55 Some Account",))
+    rows.append(line(o.flags, 5, at, "LOCATION: L", F.col("f")))
+    codes = o.items.groupBy("k", "f", "p").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
+    rows.append(line(codes, 5, at + F.col("n"), wide, "D", F.col("p"), " Part ", F.col("p"), "    ", F.col("c")))
+    rows.append(line(o.flags, 5, at + 99, "LOCATION TOTAL: L", F.col("f"), "   ", F.col("c"), "   $", shown("s")))
+    rows += page_of(
+        o.sums, 6, ("ACCOUNT TOTAL: 55   TOTAL SAMPLES: ", F.col("c"), "   $", shown("s")), ("ACCOUNT: 55   TOTAL PRODUCT CHARGES   $2.00",), (wide, "TOTAL SAMPLES: ", F.col("c"), "   $", shown("s")),
+        ("    INVOICE TOTAL   $", shown(F.col("s") + F.col("off") + two)),
+    )
+    rows.append(line(o.sums.where("k % 10 = 7"), 6, 9, "    INVOICE TOTAL   $1.00"))
+    return together(rows)
+
+
+LAYOUTS = layouts.LAYOUTS | {"two_templates": TWO_TEMPLATES}
 #: Layout -> how it is printed.
-PRINTED: dict[str, Callable[[Orders], DataFrame]] = {f.__name__: f for f in (rate_table, two_fees, unit_rates, sections, summary_and_detail, regrouped)}
+PRINTED: dict[str, Callable[[Orders], DataFrame]] = {f.__name__: f for f in (rate_table, two_fees, unit_rates, sections, summary_and_detail, regrouped, two_templates)}
 
 
 def read_back(lineitem: DataFrame, name: str, texts: tuple[str, ...]) -> DataFrame:
     """doc_id, identity, verified, depth, items, computed_total, size (characters of the items' ``texts``) of printed invoices."""
-    out = layouts.run(PRINTED[name](Orders(lineitem)), layouts.LAYOUTS[name])
+    out = layouts.run(PRINTED[name](Orders(lineitem)), LAYOUTS[name])
     size = sum((F.length(F.coalesce(t, L(""))) for t in texts), L(0))
     items = out["items"].groupBy("doc_id").agg(F.sum(size).alias("size"))
     verdict = out["verdicts"].select("doc_id", "verified", "depth", "items", "computed_total")

@@ -601,3 +601,15 @@ SELECT CAST(k AS VARCHAR) AS invoice_number, '01/02/2024' AS invoice_date, 'FLAG
 """)
 def denormalised_items(spark, sf_dir):
     return sinks.invoice_items(_section_records(spark, sf_dir)[0])
+
+
+@query("""
+WITH x AS (SELECT l_orderkey k, CAST(l_partkey AS VARCHAR) p, l_returnflag f, CAST(l_extendedprice AS DECIMAL(18,2)) v FROM lineitem)
+SELECT k AS doc_id, (k + 1000000) || '|123456' AS identity, k % 10 NOT IN (3, 7) AS verified, CAST(CASE k % 10 WHEN 7 THEN 0 WHEN 3 THEN 15 ELSE 16 END AS BIGINT) AS depth,
+  count(*) + 1 AS items, CAST(sum(v) + 2.00 AS DECIMAL(18,2)) AS computed_total,
+  CAST(sum(length('55' || 'Some Account' || 'L' || f || 'D' || p || 'Part ' || p || 'ID' || p || ' MCEL' || '1000000000' || 'ABCDEFGHIJKL' || 'DOE JOHN')) + length('55' || 'PO9' || 'P1' || 'Cup' || '1.00') AS BIGINT) AS size
+FROM x GROUP BY k
+""")
+def layout_two_templates(spark, sf_dir):
+    texts = ("account_number", "account_name", "location", "purchase_order", "code", "description", "unit_price", "sample_id", "accession", "reference", "donor", "patient_detail")
+    return printed.read_back(table(spark, sf_dir, "lineitem"), "two_templates", texts)

@@ -1,4 +1,5 @@
 from footing.plans import layouts as L
+from footing.plans.two_templates import TWO_TEMPLATES, cells_from_right
 from footing.sources.documents import to_lines, to_pages
 
 RATE = """Some Vendor                         PAY HERE
@@ -178,3 +179,54 @@ def test_a_changed_figure_is_caught(spark):
     lines = to_lines(to_pages(spark.createDataFrame([(1, UNITS.replace("5.00/EA    2    10.00", "5.00/EA    2    10.01"))], "doc_id long, text string")))
     v = L.run(lines, L.UNIT_RATES)["verdicts"].first()
     assert not v["verified"] and v["reasons"] == ["requester_subtotal fail", "invoice_subtotal fail"]
+
+
+GRID = """   ACCOUNT NUMBER   INVOICE
+  04110000  82574192  01/31/26
+   82574192   $105.50   ______
+  $1.00CR  $2.00  $3.00  $4.00  DUE  $9.00
+   * * *  PRIOR PERIODS SUMMARY  *
+  01/02/26  PAYMENT   50.00CR
+   PRIOR PERIOD BALANCE   7.00
+   * * *  CURRENT PERIOD ACTIVITY  *
+   DATE      ITEM/PATIENT      NUMBER        DESCRIPTION        CODES   AMOUNT
+  01/05/26   DOE, ANN          K123456789    708008  Panel one       *1A    50.00
+             0
+                               D13480  Panel two       1A    25.50
+             0590616994        D13481  Panel three       1A    10.00
+  01/06/26   ROE, BOB          K99    708008  Panel one       2B    20.00
+   Current Period Subtotal   105.50
+   CURRENT PERIOD TOTAL   105.50"""
+
+
+def test_two_templates_grid(spark):
+    v, items, head = run(spark, GRID, TWO_TEMPLATES)
+    assert v["depth"] == 3 and head["identity"] == "82574192|04110000"
+    assert [(i["donor"], i["accession"], i["code"], i["lab_code"], i["patient_detail"], str(i["amount"])) for i in items] == [
+        ("DOE, ANN", "K123456789", "708008", "1A", "0 0590616994", "50.00"),
+        ("DOE, ANN", "K123456789", "D13480", "1A", "", "25.50"),
+        ("DOE, ANN", "K123456789", "D13481", "1A", "", "10.00"),
+        ("ROE, BOB", "K99", "708008", "2B", "", "20.00"),
+    ]
+
+
+def test_a_container_is_refused(spark):
+    lines = to_lines(to_pages(spark.createDataFrame([(1, GRID + GRID[GRID.index("\n  01/06/26") :])], "doc_id long, text string")))
+    out = L.run(lines, TWO_TEMPLATES)
+    v = out["verdicts"].first()
+    assert not v["verified"] and v["depth"] == 0 and {r["status"] for r in out["results"].collect()} == {"not_applicable"}
+    assert [r["rule"] for r in out["rows"].where("kind = 'unclassified'").collect()] == ["container_document"]
+
+
+def test_cells_from_right(spark):
+    cases = {
+        "A MARTINEZ C  1234567890  ABCDEFGHIJ12": ("A MARTINEZ C", "1234567890", "ABCDEFGHIJ12"),
+        "1234567890  ABCDEFGHIJ12": ("", "1234567890", "ABCDEFGHIJ12"),
+        "ID1  1234567890": ("ID1", "1234567890", ""),
+        "1234567890": ("", "1234567890", ""),
+        "SOMEONE": ("SOMEONE", "", ""),
+        "X  Y  1234567890  ABCDEFGHIJ12": ("X Y", "1234567890", "ABCDEFGHIJ12"),
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r["t"]: (r["sample_id"], r["accession"], r["reference"]) for r in df.select("t", *[c.alias(n) for n, c in cells_from_right(df["t"]).items()]).collect()}
+    assert got == cases
