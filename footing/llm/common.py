@@ -1,17 +1,14 @@
-"""Helpers shared by the corpus operators: reading tables, durable tables, text columns."""
+"""Helpers shared by the corpus operators: reading tables, durable tables (:mod:`footing.tables`), text columns."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footing.shipping import ship
+from footing.tables import durable, release, shared_dir, written
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+__all__ = ["durable", "fold", "release", "shared_dir", "table", "text_bytes", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,53 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines see: ``spark.checkpoint.dir``.
-
-    A local session (tests), where driver and executors are one machine, gets a temporary
-    one if the setting is unset; on a cluster that is an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        path = "file://" + tempfile.mkdtemp(prefix="footing-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here.
-
-    Unlike a cached or locally checkpointed frame, it survives the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def written() -> int:
-    """How many tables :func:`durable` has written that still exist."""
-    return len(_WRITTEN)
-
-
-def release(first: int = 0, last: int | None = None) -> None:
-    """Delete the tables that :func:`durable` wrote, the first-th to the last-th; call when their readers are done."""
-    gone = _WRITTEN[first:last]
-    del _WRITTEN[first:last]
-    for spark, path in gone:
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone; its folder is temporary then
-            continue
-
-
-atexit.register(release)
-
-
 def text_bytes(col: str | Column) -> Column:
     """UTF-8 bytes of a text; null counts as empty."""
     col = F.col(col) if isinstance(col, str) else col
