@@ -42,8 +42,8 @@ def test_changed_texts_against_whole_common_subsequence(spark):
     for k, text, name in rows:
         template, body = licenses.words(licenses.TEMPLATES[name].encode()), licenses.words(text.encode())
         want = lcs(template, body)
-        if want >= 0.8 * len(template) and len(template) > 12:
-            assert abs(found[k, name]["matched_words"] - want) <= 1
+        if want >= 0.8 * len(template):
+            assert abs(found[k, name]["matched_words"] - want) <= (1 if len(template) < 60 else 3)
     assert all((3 * t, name) in found for t, name in enumerate(licenses.TEMPLATES))
 
 
@@ -52,3 +52,32 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert licenses.scan_licenses(no_docs).count() == 0
     twice = spark.createDataFrame([(None, "Released under the MIT License. " * 2)], "doc_id long, text string")
     assert [r["license"] for r in licenses.scan_licenses(twice).collect()] == ["MIT/notice"] * 2
+
+
+def test_every_change_of_one_word_in_a_short_notice(spark):
+    """A notice of five words or more with any one word changed, left out or another put in keeps four fifths and is found."""
+    rows = []
+    for name, template in licenses.TEMPLATES.items():
+        own = template.split()
+        if len(licenses.words(template.encode())) <= licenses.SHORT:
+            for k in range(len(own)):
+                for new in ([], ["other"], [own[k], "more"]):
+                    text = "before it " + " ".join(own[:k] + new + own[k + 1 :]) + " after it"
+                    rows.append((len(rows), text, name))
+    found = {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, license string")).collect()}
+    checked = 0
+    for k, text, name in rows:
+        template = licenses.words(licenses.TEMPLATES[name].encode())
+        if lcs(template, licenses.words(text.encode())) >= 0.8 * len(template):
+            assert (k, name) in found, (name, text)
+            checked += 1
+    assert checked > 100
+
+
+def test_index_is_winnowed_and_the_band_bounded(spark):
+    built = licenses.Index(licenses.TEMPLATES)
+    runs = sum(len(w) - licenses.RUN + 1 for w in built.words if len(w) > licenses.SHORT)
+    assert len(licenses.TEMPLATES) >= 20 and sum(map(len, built.parts[0][3].values())) < 0.8 * runs
+    # pieces of a license strewn over a long text: no alignment over the whole of it
+    text = " filler ".join(licenses.TEMPLATES["MIT"].split()[k : k + 5] and " ".join(licenses.TEMPLATES["MIT"].split()[k : k + 5]) for k in range(0, 150, 5)) * 50
+    assert licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() >= 1
