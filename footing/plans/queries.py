@@ -575,7 +575,7 @@ _layout_query("regrouped", (10, 9), ("service_group", "service_name", "gl_code")
 
 
 def _section_records(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    out = layouts.run(printed.sections(printed.Orders(table(spark, sf_dir, "lineitem"))), layouts.SECTIONS)
+    out = _section_run(spark, sf_dir)
     facts = sinks.document_facts(out["rows"], out["results"])
     return sinks.records(out["verdicts"], out["heads"], out["items"], facts, "sections"), facts, out["verdicts"]
 
@@ -613,3 +613,67 @@ FROM x GROUP BY k
 def layout_two_templates(spark, sf_dir):
     texts = ("account_number", "account_name", "location", "purchase_order", "code", "description", "unit_price", "sample_id", "accession", "reference", "donor", "patient_detail")
     return printed.read_back(table(spark, sf_dir, "lineitem"), "two_templates", texts)
+
+
+def _section_run(spark, sf_dir) -> dict[str, DataFrame]:
+    return layouts.run(printed.sections(printed.Orders(table(spark, sf_dir, "lineitem"))), layouts.SECTIONS)
+
+
+@query("""
+WITH o AS (SELECT DISTINCT l_orderkey k FROM lineitem),
+c(check_no, "check") AS (VALUES (0, 'employee_subtotal'), (1, 'section_subtotal'), (2, 'invoice_subtotal'), (3, 'grand_total'), (4, 'restatement'))
+SELECT check_no, "check", CASE WHEN check_no = 4 THEN 'n/a' WHEN check_no = 2 AND k % 10 = 3 THEN 'FAIL' ELSE 'PASS' END AS state, count(*) AS n FROM o CROSS JOIN c GROUP BY 1, 2, 3
+""")
+def check_states(spark, sf_dir):
+    return sinks.sample_report(_section_run(spark, sf_dir)["results"]).groupBy("check_no", "check", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT DISTINCT l_orderkey AS doc_id, 'invoice_subtotal' AS "check", CAST(-0.01 AS DECIMAL(18,2)) AS delta, 'computed is short' AS hint, CAST(NULL AS VARCHAR) AS match_kind FROM lineitem WHERE l_orderkey % 10 = 3
+""")
+def diagnosed_failures(spark, sf_dir):
+    out = _section_run(spark, sf_dir)
+    return ladder.diagnose(out["results"], out["rows"]).select("doc_id", "check", "delta", "hint", "match_kind")
+
+
+# ---- functions on their own
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(18,2)) AS value, CAST(NULL AS DECIMAL(18,2)) AS strict FROM lineitem WHERE contains(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), '1')")
+def lenient_amounts(spark, sf_dir):
+    """Amounts whose ones a scan printed as letters."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.format_number(F.col("l_extendedprice").cast(AMOUNT), 2).alias("t")).where(F.col("t").contains("1"))
+    scanned = F.translate("t", "1", "l")
+    return items.select("l_orderkey", "l_linenumber", M.parse_money(scanned, lenient=True).alias("value"), M.parse_money(scanned).alias("strict"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag IN ('R', 'A') THEN -CAST(l_extendedprice AS DECIMAL(18,2)) ELSE CAST(l_extendedprice AS DECIMAL(18,2)) END AS value FROM lineitem")
+def credit_signs(spark, sf_dir):
+    v = F.col("l_extendedprice").cast(AMOUNT)
+    text = F.when(F.col("l_returnflag") == "R", F.concat(v.cast("string"), F.lit(" CR"))).when(F.col("l_returnflag") == "A", F.concat(F.lit("("), v.cast("string"), F.lit(")"))).otherwise(v.cast("string"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", M.credit(v, text).alias("value"))
+
+
+def _hits_sql(words: tuple[str, ...]) -> str:
+    return " + ".join(f"CAST(contains(upper(line), '{w}') AS INTEGER)" for w in words)
+
+
+@query(_LINES_SQL + f"""
+, s AS (SELECT CASE WHEN length(regexp_replace(line, '^\\s+|\\s+$', '', 'g')) >= 12 THEN {_hits_sql(T.HEADER_HINTS)} ELSE 0 END AS header, {_hits_sql(T.ANCHORS)} AS anchors, {_hits_sql(discover.COLUMN_HINTS)} AS columns FROM l)
+SELECT header, anchors >= 2 AS anchored, columns, count(*) AS n FROM s GROUP BY 1, 2, 3
+""")
+def line_vocabulary(spark, sf_dir):
+    """Lines by how many words of each vocabulary they hold."""
+    line = F.col("line")
+    rows = _lines(spark, sf_dir).select(T.header_score(line).alias("header"), T.has_anchors(line).alias("anchored"), T.count_in(line, discover.COLUMN_HINTS).alias("columns"))
+    return rows.groupBy("header", "anchored", "columns").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH x AS (SELECT l_orderkey k, l_linenumber n, repeat(' ', CAST(l_linenumber AS INTEGER) * 3) || 'QTY' || repeat(' ', CAST(l_quantity AS INTEGER)) || 'TOTAL' AS line FROM lineitem)
+SELECT k, n, ((instr(line, 'QTY') - 1) // 5 * 5) || ',' || ((instr(line, 'TOTAL') - 1) // 5 * 5) AS places FROM x WHERE (instr(line, 'QTY') - 1) // 5 <> (instr(line, 'TOTAL') - 1) // 5
+""")
+def column_buckets(spark, sf_dir):
+    line = F.concat(F.expr("repeat(' ', int(l_linenumber) * 3)"), F.lit("QTY"), F.expr("repeat(' ', int(l_quantity))"), F.lit("TOTAL"))
+    placed = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), T.buckets(line).alias("b")).where(F.size("b") > 1)
+    return placed.select("k", "n", F.array_join(F.transform("b", lambda x: x.cast("string")), ",").alias("places"))
