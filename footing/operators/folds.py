@@ -35,6 +35,26 @@ def last_but(skip: Sequence[str], value: Column, w: Window, kind: str = "kind")
     return F.last(F.when(~F.col(kind).isin(*skip), value), ignorenulls=True).over(before(w))
 
 
+def last_of_on_page(kinds: Sequence[str], value: Column, w: Window, kind: str = "kind") -> Column:
+    """The same, NULL if that row stands on another page."""
+    found = last_of(kinds, F.struct(F.col("page").alias("page"), value.alias("value")), w, kind)
+    return F.when(found["page"] == F.col("page"), found["value"])
+
+
+def filled(line: Column, keys: Sequence[str] = ("doc_id", "page"), order: Sequence[str] = ("page", "line_no"), steps: int = 1) -> Column:
+    """The line ``steps`` non-blank lines further down the page (up, if negative), NULL beyond its edge.
+
+    For non-blank rows: blank ones must be filtered out before.
+    """
+    w = ordered(keys, order)
+    return F.lead(line, steps).over(w) if steps > 0 else F.lag(line, -steps).over(w)
+
+
+def raw_line(line: Column, keys: Sequence[str] = ("doc_id", "page"), order: Sequence[str] = ("page", "line_no"), steps: int = 1) -> Column:
+    """The line ``steps`` lines further down the page as it stands, blank ones included."""
+    return filled(line, keys, order, steps)
+
+
 def sections(closed: Column, w: Window) -> Column:
     """Section number: goes up after each row that closes one."""
     return F.coalesce(F.sum(closed.cast("int")).over(before(w)), F.lit(0))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from footing.functions.money import AMOUNT
 from footing.plans import layouts
-from footing.plans.two_templates import TWO_TEMPLATES
+from footing.plans.registry import layout
 
 L = F.lit
 
@@ -173,14 +173,13 @@ def two_templates(o: Orders) -> DataFrame:
     return together(rows)
 
 
-LAYOUTS = layouts.LAYOUTS | {"two_templates": TWO_TEMPLATES}
 #: Layout -> how it is printed.
 PRINTED: dict[str, Callable[[Orders], DataFrame]] = {f.__name__: f for f in (rate_table, two_fees, unit_rates, sections, summary_and_detail, regrouped, two_templates)}
 
 
 def read_back(lineitem: DataFrame, name: str, texts: tuple[str, ...]) -> DataFrame:
     """doc_id, identity, verified, depth, items, computed_total, size (characters of the items' ``texts``) of printed invoices."""
-    out = layouts.run(PRINTED[name](Orders(lineitem)), LAYOUTS[name])
+    out = layouts.run(PRINTED[name](Orders(lineitem)), layout(name))
     size = sum((F.length(F.coalesce(t, L(""))) for t in texts), L(0))
     items = out["items"].groupBy("doc_id").agg(F.sum(size).alias("size"))
     verdict = out["verdicts"].select("doc_id", "verified", "depth", "items", "computed_total")

@@ -30,6 +30,11 @@ def scan_folder(spark: SparkSession, folder: str, suffix: str = "pdf") -> DataFr
     return files.select(name.alias("doc_id"), "path", "content", F.sha2("content", 256).alias("sha256"))
 
 
+def by_name(files: DataFrame) -> DataFrame:
+    """doc_id and path of scanned files, sorted by name; their contents are not moved."""
+    return files.select("doc_id", "path").orderBy("doc_id", "path")
+
+
 def parse_metadata(text: Column) -> Column:
     """map of "key: value" lines; parted at the first colon, the later of equal keys wins."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.contains(":"))
@@ -77,6 +82,28 @@ def to_pages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     return pages.withColumn("page", F.col("page") + 1)
 
 
+def checked_pages(docs: DataFrame, page_counts: DataFrame, single: DataFrame, text: str = "text") -> DataFrame:
+    """Pages of the documents whose parts are as many as ``page_counts`` (doc_id, page_count) says.
+
+    Where they are not, form feeds do not tell pages apart: that document's pages come from
+    ``single`` (doc_id, page, text), extracted page by page.  Documents without a count are taken as they are.
+    """
+    pages = to_pages(docs, text)
+    parts = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    off = parts.join(page_counts, "doc_id").where(F.col("n") != F.col("page_count")).select("doc_id")
+    return pages.join(off, "doc_id", "left_anti").unionByName(single.join(off, "doc_id", "left_semi").select("doc_id", "page", "text"))
+
+
+#: What an extractor that knows places returns beside the text of a page.
+PAGE_SIZE = "struct<width:double,height:double>"
+WORDS = "array<struct<text:string,x0:double,y0:double,x1:double,y1:double>>"
+
+
+def words_in_band(words: Column, low: float, high: float) -> Column:
+    """The words whose middle lies in [low, high) across the page."""
+    return F.filter(words, lambda w: ((w["x0"] + w["x1"]) / 2 >= low) & ((w["x0"] + w["x1"]) / 2 < high))
+
+
 def to_lines(pages: DataFrame) -> DataFrame:
     """doc_id, page, line_no (from 0), line.  Order is data: keep page and line_no."""
     return pages.select("doc_id", "page", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("line_no", "line"))
@@ -107,6 +134,28 @@ def unusable_reason(text: Column, chars_per_page: Column) -> Column:
     )
 
 
+def escalate(first: DataFrame, second: DataFrame | None = None) -> DataFrame:
+    """doc_id, text, reason: each document by its text layer, else by recognition, else with the reason why not.
+
+    ``first``: doc_id, text, chars_per_page of the text layers.  ``second``: the same and error of
+    recognised texts, None where recognition is not allowed.  One failing document stops no other.
+    """
+    why = unusable_reason(F.col("text"), F.col("chars_per_page"))
+    judged = first.select("doc_id", "text", why.alias("reason"))
+    if second is None:
+        return judged.withColumn("reason", F.concat("reason", F.lit("; recognition was not allowed")))
+    again = second.select("doc_id", F.col("text").alias("new"), F.col("error"), F.when(F.col("text").isNotNull(), why).alias("still"))
+    both = judged.join(again, "doc_id", "left")
+    failed = F.col("new").isNull()
+    reason = (
+        F.when(F.col("reason").isNull(), F.lit(None).cast("string"))
+        .when(failed, F.concat("reason", F.lit("; recognition failed: "), F.coalesce("error", F.lit("not tried"))))
+        .when(F.col("still").isNotNull(), F.concat("reason", F.lit("; recognition gave no usable text either")))
+    )
+    text = F.when(F.col("reason").isNull() | failed, F.col("text")).otherwise(F.col("new"))
+    return both.select("doc_id", text.alias("text"), reason.alias("reason"))
+
+
 def whole_text(lines: DataFrame) -> DataFrame:
     """doc_id, text: lines joined again in their order."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("page", "line_no", "line"))), lambda x: x["line"])
@@ -119,7 +168,19 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bindings(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, BINDINGS)
+    """Bindings from JSON lines, or from one JSON document that maps signatures to them under "specs"."""
+    lines = _json(spark, path, BINDINGS)
+    if lines.limit(1).count() == 0:
+        return lines
+    whole = spark.read.text(path, wholetext=True)
+    held = F.from_json("value", "specs map<string, struct<spec:string, bound_at:string, notes:string>>")["specs"]
+    mapped = whole.select(F.explode(held).alias("signature", "x")).select("signature", "x.*")
+    return lines.where("signature is not null").unionByName(mapped)
+
+
+def write_bindings(bindings: DataFrame, path: str) -> None:
+    """Replace the small table of bindings; what is read from ``path`` itself must be durable first."""
+    bindings.select(*[c.split()[0] for c in BINDINGS.split(", ")]).coalesce(1).write.mode("overwrite").json(path)
 
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:

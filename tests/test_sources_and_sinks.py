@@ -1,10 +1,12 @@
 import re
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
-from footing.operators import ladder, sinks, state
+from footing.operators import folds, ladder, sinks, state
 from footing.plans import invoices
+from footing.plans.registry import LAYOUTS, layout
 from footing.sources import documents as D
 from footing.streaming.incremental import run_new
 
@@ -97,3 +99,56 @@ def test_incremental_runs_lose_nothing(spark, tmp_path):
         ("a", "changed", "no identity"), ("b", "changed", "no identity"), ("d", "changed", "same total, other bytes"),
         ("e", "duplicate", None), ("f", "changed", "no identity"), ("g", "changed", "totals differ"),
     ]
+
+
+def test_pages_are_checked_against_their_number(spark):
+    docs = spark.createDataFrame([(1, "a\fb\f"), (2, "one\ftwo"), (3, "x")], "doc_id long, text string")
+    counts = spark.createDataFrame([(1, 2), (2, 1)], "doc_id long, page_count int")
+    single = spark.createDataFrame([(2, 1, "one two"), (1, 1, "no")], "doc_id long, page int, text string")
+    got = sorted(map(tuple, D.checked_pages(docs, counts, single).collect()))
+    assert got == [(1, 1, "a"), (1, 2, "b"), (2, 1, "one two"), (3, 1, "x")]
+
+
+def test_words_in_a_band_and_files_by_name(spark, tmp_path):
+    df = spark.createDataFrame([([("a", 0.0, 0.0, 2.0, 1.0), ("b", 2.0, 0.0, 4.0, 1.0), ("c", 4.0, 0.0, 6.0, 1.0)],)], f"w {D.WORDS}")
+    assert [x["text"] for x in df.select(D.words_in_band(df["w"], 1.0, 3.0).alias("x")).first()["x"]] == ["a"]
+    for name in ("b.pdf", "a.PDF", "c.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    assert [r["doc_id"] for r in D.by_name(D.scan_folder(spark, str(tmp_path))).collect()] == ["a.PDF", "b.pdf"]
+
+
+def test_escalation(spark):
+    good = "INVOICE TOTAL " * 30
+    first = spark.createDataFrame([(1, good, 500.0), (2, "", 0.0), (3, "", 0.0), (4, "", 0.0)], "doc_id long, text string, chars_per_page double")
+    second = spark.createDataFrame([(2, good, 500.0, None), (3, None, None, "too many pages"), (4, "words " * 99, 500.0, None)], "doc_id long, text string, chars_per_page double, error string")
+    got = {r["doc_id"]: (r["text"], r["reason"]) for r in D.escalate(first, second).collect()}
+    assert got[1] == (good, None) and got[2] == (good, None)
+    assert got[3][1] == "no usable text layer; recognition failed: too many pages"
+    assert got[4][1] == "no usable text layer; recognition gave no usable text either"
+    assert {r["doc_id"] for r in D.escalate(first).where("reason is not null").collect()} == {2, 3, 4}
+
+
+def test_bindings_as_lines_or_one_document(spark, tmp_path):
+    one, lines = str(tmp_path / "one.json"), str(tmp_path / "lines")
+    (tmp_path / "one.json").write_text('{\n "specs": {\n  "ab": {"spec": "x", "bound_at": "t", "notes": ""},\n  "cd": {"spec": "y", "bound_at": "t", "notes": "n"}\n }\n}\n')
+    read = lambda path: sorted((r["signature"], r["spec"]) for r in D.read_bindings(spark, path).collect())
+    assert read(one) == [("ab", "x"), ("cd", "y")]
+    D.write_bindings(D.read_bindings(spark, one), lines)
+    assert read(lines) == [("ab", "x"), ("cd", "y")]
+    seen = spark.createDataFrame([("ab", "z", "t2", ""), ("ef", "z", "t2", ""), ("ef", "w", "t1", "")], D.BINDINGS)
+    bound = state.bind(D.read_bindings(spark, lines), seen)
+    assert sorted((r["signature"], r["spec"]) for r in bound.collect()) == [("ab", "x"), ("cd", "y"), ("ef", "w")]
+
+
+def test_looks_along_a_page(spark):
+    rows = [(1, 1, 0, "head", "h"), (1, 1, 1, "row", "a"), (1, 2, 0, "row", "b"), (1, 2, 1, "row", "c"), (1, 2, 2, "row", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, page int, line_no int, kind string, line string")
+    w = folds.ordered(["doc_id"], ["page", "line_no"])
+    out = df.select("line", folds.last_of_on_page(["head"], F.col("line"), w).alias("on_page"), folds.filled(F.col("line"), steps=2).alias("second"), folds.filled(F.col("line"), steps=-1).alias("up"))
+    assert [tuple(r) for r in out.orderBy("line").collect()] == [("a", "h", None, "h"), ("b", None, "d", None), ("c", None, None, "b"), ("d", None, None, "c"), ("h", None, None, None)]
+
+
+def test_unknown_layouts_are_an_error():
+    assert len(LAYOUTS) == 7 and layout("sections").name == "sections"
+    with pytest.raises(LookupError, match="no layout 'none'"):
+        layout("none")
