@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footing.llm import chat, decontamination, html, jaccard, language_model, licenses, packing, quality, sharding, toxicity
+from footing.llm import chat, decontamination, html, jaccard, language_model, licenses, merkle, packing, quality, sharding, toxicity, yinyang
 from footing.llm import pipeline as stages
-from footing.llm.common import fold, table
+from footing.llm.common import durable, fold, table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,23 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op12_yinyang_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = durable(yinyang.integer_vectors(table(spark, sf_dir, "embeddings")), "vectors")
+    return yinyang.with_totals(yinyang.cluster_vectors(vectors, yinyang.first_by_hash(vectors), rounds=3))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = lambda text: merkle.leaf_digest([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text])
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(fold("doc_id") == 0, fields(lowered)).alias("tampered")
+    manifest = merkle.build_manifest(docs, "source", ["doc_id"], fields(F.col("text")), [F.col("doc_id"), tampered])
+    found = merkle.with_paths(manifest).select("row.doc_id", F.col("hash").alias("leaf"), "subroot", "root", "path", "row.tampered")
+    proof = merkle.digest(merkle.siblings(F.col("path")))
+    back = found.withColumns({"proof_sha256": proof, "folded_root": merkle.folded(F.col("path"), F.coalesce("tampered", "leaf"))})
+    return back.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, sf_dir)
 
@@ -90,10 +107,21 @@ QUERIES = {
         op8_quality_rules,
         op9_toxicity,
         op10_jaccard_join,
+        op12_yinyang_clustering,
+        op13_merkle_manifest,
         pipeline,
     )
 }
 
+# One assignment of every vector to its nearest centroid, and the centroids' move, in SQL.
+_ASSIGN = """
+a{0} AS MATERIALIZED (SELECT vec_id, v, arg_min({{'num': num, 'd': d}}, (d, num)) AS b
+  FROM (SELECT k.vec_id, k.v, m.num, list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - m.v[i]) * (k.v[i] - m.v[i])))::BIGINT AS d FROM kept k, c{0} m) GROUP BY vec_id, v)"""
+_MOVE = """
+c{1} AS MATERIALIZED (SELECT o.num, coalesce(m.v, o.v) AS v FROM c{0} o LEFT JOIN (
+  SELECT num, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS v FROM (
+    SELECT b.num AS num, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{0}, range(1, 65) t(i) GROUP BY b.num, i) GROUP BY num) m ON m.num = o.num)"""
+
 # The other operators rest on a tokenizer, hashes, a trained model or an alignment, which SQL
 # does not have; their tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
@@ -107,5 +135,58 @@ l AS (SELECT a, b FROM c JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE
 t AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(d, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.d, t.b FROM r JOIN t ON r.m = t.a)
 SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, (SELECT min(m) FROM r WHERE d = doc_id) AS component_id FROM s
+""",
+    "op12_yinyang_clustering": rf"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS num, v FROM (SELECT v, sha256('1:' || vec_id) AS h FROM kept ORDER BY h LIMIT 16)),
+{"".join(f"{_ASSIGN.format(k)},{_MOVE.format(k, k + 1)}," for k in range(3))}{_ASSIGN.format(3)}
+SELECT a.vec_id, CAST(a.b.num AS INTEGER) AS cluster, a.b.d AS distance, CAST(sum(a.b.d) OVER (PARTITION BY a.b.num) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM a3 a JOIN c3 ON c3.num = a.b.num
+""",
+    "op13_merkle_manifest": r"""
+WITH RECURSIVE
+crc(t) AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))),
+docs AS MATERIALIZED (
+  SELECT doc_id, source, lang, n_chars, text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[CAST(xor(c % 256, b) AS INTEGER) + 1])), 4294967295) % 5 = 0 AS touched
+  FROM documents, crc),
+leaves AS MATERIALIZED (
+  SELECT doc_id, source, touched, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS changed
+  FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM docs)),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+tree(source, lvl, pos, n, h) AS (
+  SELECT source, 0, pos, n, leaf FROM placed
+  UNION ALL
+  SELECT source, max(lvl) + 1, pos // 16, (max(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY source, pos // 16),
+roots AS MATERIALIZED (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+top(lvl, pos, n, h) AS (
+  SELECT 0, pos, n, h FROM roots
+  UNION ALL
+  SELECT max(lvl) + 1, pos // 16, (max(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY pos // 16),
+kids AS MATERIALIZED (SELECT source, lvl, pos // 16 AS up, list(h ORDER BY pos) AS hs FROM tree WHERE n > 1 GROUP BY source, lvl, pos // 16),
+topkids AS MATERIALIZED (SELECT lvl, pos // 16 AS up, list(h ORDER BY pos) AS hs FROM top WHERE n > 1 GROUP BY lvl, pos // 16),
+climb(doc_id, source, lvl, pos, n, h, proof) AS (
+  SELECT doc_id, source, 0, pos, n, CASE WHEN touched THEN changed ELSE leaf END, '' FROM placed
+  UNION ALL
+  SELECT c.doc_id, c.source, c.lvl + 1, c.pos // 16, (c.n + 15) // 16,
+    sha256(array_to_string(k.hs[1:c.pos % 16], '') || c.h || array_to_string(k.hs[c.pos % 16 + 2:], '')),
+    c.proof || array_to_string(k.hs[1:c.pos % 16], '') || array_to_string(k.hs[c.pos % 16 + 2:], '')
+  FROM climb c JOIN kids k ON k.source IS NOT DISTINCT FROM c.source AND k.lvl = c.lvl AND k.up = c.pos // 16 WHERE c.n > 1),
+mid AS MATERIALIZED (SELECT c.doc_id, c.source, r.pos, r.n, c.h, c.proof, r.h AS subroot FROM climb c JOIN roots r ON r.source IS NOT DISTINCT FROM c.source WHERE c.n = 1),
+ascend(doc_id, lvl, pos, n, h, proof, subroot) AS (
+  SELECT doc_id, 0, pos, n, h, proof, subroot FROM mid
+  UNION ALL
+  SELECT c.doc_id, c.lvl + 1, c.pos // 16, (c.n + 15) // 16,
+    sha256(array_to_string(k.hs[1:c.pos % 16], '') || c.h || array_to_string(k.hs[c.pos % 16 + 2:], '')),
+    c.proof || array_to_string(k.hs[1:c.pos % 16], '') || array_to_string(k.hs[c.pos % 16 + 2:], ''), c.subroot
+  FROM ascend c JOIN topkids k ON k.lvl = c.lvl AND k.up = c.pos // 16 WHERE c.n > 1),
+whole AS (SELECT h AS root FROM top WHERE n = 1)
+SELECT p.doc_id, p.leaf, a.subroot, w.root, sha256(a.proof) AS proof_sha256, a.h AS folded_root, a.h = w.root AS verified
+FROM ascend a JOIN placed p USING (doc_id), whole w WHERE a.n = 1
 """,
 }
