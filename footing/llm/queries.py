@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footing.llm import chat, decontamination, html, jaccard, language_model, licenses, merkle, packing, quality, sharding, toxicity, yinyang
+from footing.llm import chat, decontamination, html, jaccard, language_model, licenses, merkle, packing, quality, sharding, tokenfiles, toxicity, yinyang
 from footing.llm import pipeline as stages
-from footing.llm.common import durable, fold, table
+from footing.llm.common import durable, fold, shared_dir, table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    import public_tokenizers
+
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    tokenfiles.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return tokenfiles.read_tokens(spark, path).drop("ids")
+
+
 def op12_yinyang_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = durable(yinyang.integer_vectors(table(spark, sf_dir, "embeddings")), "vectors")
     return yinyang.with_totals(yinyang.cluster_vectors(vectors, yinyang.first_by_hash(vectors), rounds=3))
@@ -107,6 +117,7 @@ QUERIES = {
         op8_quality_rules,
         op9_toxicity,
         op10_jaccard_join,
+        op11_token_files,
         op12_yinyang_clustering,
         op13_merkle_manifest,
         pipeline,
