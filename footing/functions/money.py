@@ -5,6 +5,8 @@ An amount has a decimal part; "no amount" is NULL and never zero.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,23 @@ def _plain(digits: Column) -> Column:
     return F.when(only_commas & (mark == ",") & (F.length(tail) != 2), joined).otherwise(F.concat(whole, F.lit("."), tail))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: White space of any script (the Unicode property), which :func:`strip` takes off.
+WHITE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITE))
+
+
+#: What nearly all amounts look like; their commas are taken out and they are numbers.
+_COMMON = r"^(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)\.[0-9]{2}$"
+
+
 def parse_money(token: Column, lenient: bool = False, min_decimals: int = 2) -> Column:
     """decimal(18,2), or NULL where the token is not one amount.
 
@@ -45,14 +64,16 @@ def parse_money(token: Column, lenient: bool = False, min_decimals: int = 2) ->
     single decimal.  A minus anywhere makes it negative, or a pair of brackets; one
     bracket does not.
     """
-    text = F.regexp_replace(token, r"(?U)^\s+|\s+$", "")
-    if lenient:
-        text = F.translate(text, ONE_LIKE, "1" * len(ONE_LIKE))
     pattern = amount_pattern(min_decimals)
-    part = lambda k: F.regexp_extract(text, pattern, k)
-    value = _plain(part(4)).try_cast(AMOUNT)
-    minus = (part(2) != "") | (part(3) != "") | (part(5) != "") | ((part(1) != "") & (part(6) != ""))
-    return F.when(text.rlike(pattern), F.when(minus, (-value).cast(AMOUNT)).otherwise(value))
+
+    def read(text: Column) -> Column:
+        part = lambda k: F.regexp_extract(text, pattern, k)
+        value = let(part(4), lambda digits: _plain(digits).try_cast(AMOUNT))
+        minus = (part(2) != "") | (part(3) != "") | (part(5) != "") | ((part(1) != "") & (part(6) != ""))
+        signed = let(value, lambda v: F.when(minus, (-v).cast(AMOUNT)).otherwise(v))
+        return F.when(text.rlike(_COMMON), F.translate(text, ",", "").try_cast(AMOUNT)).when(text.rlike(pattern), signed)
+
+    return let(F.translate(strip(token), ONE_LIKE, "1" * len(ONE_LIKE)) if lenient else strip(token), read)
 
 
 def looks_like_money(token: Column, lenient: bool = False, min_decimals: int = 2) -> Column:
@@ -84,7 +105,10 @@ def money_tokens(line: Column, lenient: bool = False, min_decimals: int = 2) ->
 
 def amounts(line: Column, lenient: bool = False, min_decimals: int = 2) -> Column:
     """array<decimal(18,2)>: the amounts of a line without their places."""
-    return F.filter(F.transform(_words(line), lambda x: parse_money(x, lenient, min_decimals)), lambda x: x.isNotNull())
+    words = _words(line)
+    if not lenient:  # a mark between digits is what no amount lacks
+        words = F.when(line.rlike("[0-9][.,][0-9]"), F.filter(words, lambda x: x.rlike("[0-9][.,][0-9]"))).when(line.isNotNull(), F.array().cast("array<string>"))
+    return F.filter(F.transform(words, lambda x: parse_money(x, lenient, min_decimals)), lambda x: x.isNotNull())
 
 
 def last_money(line: Column, lenient: bool = False, min_decimals: int = 2) -> Column:
@@ -102,8 +126,8 @@ def decimal_field(text: Column) -> Column:
 
     More than two decimals would be rounded by a cast; such a field is NULL.
     """
-    bare = F.regexp_replace(F.regexp_replace(text, "[,$]", ""), r"(?U)^\s+|\s+$", "")
-    return F.when(bare.rlike(r"^[+-]?([0-9]+(\.[0-9]{0,2})?|\.[0-9]{1,2})$"), bare.try_cast(AMOUNT))
+    number = r"^[+-]?([0-9]+(\.[0-9]{0,2})?|\.[0-9]{1,2})$"
+    return let(strip(F.translate(text, ",$", "")), lambda bare: F.when(bare.rlike(number), bare.try_cast(AMOUNT)))
 
 
 def credit(value: Column, text: Column) -> Column:

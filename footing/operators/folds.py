@@ -87,9 +87,14 @@ def fold_wrapped(df: DataFrame, keys: Sequence[str], order: Sequence[str], is_he
     return numbered.groupBy(*keys, "_head").agg(F.min(F.struct(*order)).alias("at"), F.array_join(parts, separator).alias(text), F.count(F.lit(1)).alias("n_lines")).drop("_head")
 
 
+def glued(text: Column, piece: Column) -> Column:
+    """A text with the next piece of a wrapped cell: up to two characters without a blank, longer ones with one."""
+    return F.when(text == "", piece).when(F.length(piece) <= 2, F.concat(text, piece)).otherwise(F.concat(text, F.lit(" "), piece))
+
+
 def glue(parts: Column) -> Column:
-    """Joins wrapped cells: pieces of up to two characters without a blank, longer ones with one."""
-    return F.aggregate(parts, F.lit(""), lambda a, x: F.when(a == "", x).when(F.length(x) <= 2, F.concat(a, x)).otherwise(F.concat(a, F.lit(" "), x)))
+    """Joins wrapped cells piece by piece, see :func:`glued`."""
+    return F.aggregate(parts, F.lit(""), glued)
 
 
 def pair_by_place(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Sequence[str], same: str) -> DataFrame:
@@ -124,3 +129,14 @@ def cut_at(df: DataFrame, keys: Sequence[str], order: Sequence[str], marker: Col
     at = F.struct(*order)
     first = F.min(F.when(marker, at)).over(Window.partitionBy(*keys))
     return df.withColumn("_until", first).where(F.col("_until").isNull() | (at < F.col("_until"))).drop("_until")
+
+
+def fields_with(forced: dict[str, Column], absent: dict[str, Column] | None = None, fields: str = "fields") -> Column:
+    """A row's fields with some set: ``forced`` ones always, ``absent`` ones where there is none; NULL sets nothing.
+
+    Which names may be set is known beforehand, so every value is computed once.
+    """
+    names = dict.fromkeys([*forced, *(absent or {})])
+    value = lambda n: F.coalesce(*[c.cast("string") for c in (forced.get(n), F.try_element_at(fields, F.lit(n)), (absent or {}).get(n)) if c is not None])
+    new = F.create_map(*[x for n in names for x in (F.lit(n), value(n))])
+    return F.map_filter(F.map_concat(F.map_filter(fields, lambda k, v: ~k.isin(*names)), new), lambda k, v: v.isNotNull())

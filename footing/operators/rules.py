@@ -9,16 +9,17 @@ rule sets that say ``sequential``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from footing.functions.literals import Prefilter
 from footing.functions.money import AMOUNT, decimal_field, last_money, parse_money
-from footing.functions.text import is_blank, strip
+from footing.functions.text import column_cuts, is_blank, let, strip
+from footing.operators.scans import Scan, carried, scan
 
 # What a line can be.
 KINDS = (
@@ -44,6 +45,7 @@ class Context:
     seen_header_on_page: Column
     header_line: Column
     previous_marker: Column  # name of the zone marker that the last line before this one was, on any page
+    cuts: Column  # places and widths of the header's labels (:func:`footing.functions.text.column_cuts`)
 
     def seen(self, flag: str) -> Column:
         """Whether an earlier line of the document matches the flag's pattern."""
@@ -72,7 +74,8 @@ class Rule:
     """pattern (searched for, groups by number) or predicate; then zones, guard and anchor.
 
     fields: name -> group number or expression of the context, for texts; nums the same for
-    amounts.  A money kind without an "amount" gets the line's last amount.
+    amounts.  cells: a map of further texts in one expression, for fields that share their work.
+    A money kind without an "amount" gets the line's last amount.
     """
 
     name: str
@@ -84,6 +87,7 @@ class Rule:
     anchor: Anchor | None = None
     fields: dict[str, int | Callable[[Context], Column]] = field(default_factory=dict)
     nums: dict[str, int | Callable[[Context], Column]] = field(default_factory=dict)
+    cells: Callable[[Context], Column] | None = None
 
     def __post_init__(self) -> None:
         if (self.pattern is None) == (self.predicate is None):
@@ -102,51 +106,60 @@ class Zone:
     kind: str = "section_header"
 
 
-def _order(*more: str) -> Window:
-    return Window.partitionBy("doc_id", *more).orderBy("page", "line_no")
+def with_zones(lines: DataFrame, zones: Sequence[Zone], block: int | None = None) -> DataFrame:
+    """Adds marker (the zone marker's number, if the line is one) and zone; never reset at pages."""
+    return scan(_marked(lines, zones, None), {"zone": carried(F.col("_zone"))}, block).withColumn("zone", F.coalesce("zone", F.lit(BODY))).drop("_zone")
 
 
-def with_zones(lines: DataFrame, zones: Sequence[Zone]) -> DataFrame:
-    """Adds marker (the zone marker's number, if the line is one) and zone; never reset at pages."""
+def _marked(lines: DataFrame, zones: Sequence[Zone], literals: Prefilter | None) -> DataFrame:
+    """Adds marker and _zone, the zone that the line opens."""
     chain: Column = F.lit(None).cast("int")
     names = F.lit(None).cast("string")
     for k in reversed(range(len(zones))):
-        hit = F.col("line").rlike(zones[k].pattern)
-        chain, names = F.when(hit, k).otherwise(chain), F.when(hit, zones[k].zone).otherwise(names)
-    upto = _order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return lines.withColumn("marker", chain).withColumn("zone", F.coalesce(F.last(names, ignorenulls=True).over(upto), F.lit(BODY)))
+        hit = _match(zones[k].pattern, literals)
+        chain, names = F.when(hit, k).otherwise(chain), F.when(F.col("marker") == k, zones[k].zone).otherwise(names)
+    return lines.withColumn("marker", chain).withColumn("_zone", names)
+
 
+def _match(pattern: str, literals: Prefilter | None) -> Column:
+    return F.col("line").rlike(pattern) if literals is None else literals.match(F.col("line"), pattern)
 
-def with_context(lines: DataFrame, header: str | None = None, flags: dict[str, str] | None = None) -> DataFrame:
+
+def with_context(lines: DataFrame, header: str | None = None, flags: dict[str, str] | None = None, block: int | None = None) -> DataFrame:
     """Adds the neighbouring non-blank lines of the page, the table header before, and the flags."""
-    blank = is_blank(F.col("line"))
-    text = F.when(~blank, F.col("line"))
-    page = _order("page")
-    before, after = page.rowsBetween(Window.unboundedPreceding, -1), page.rowsBetween(1, Window.unboundedFollowing)
-    head = F.col("line").rlike(header).cast("int") if header else F.lit(0)
-    earlier = _order().rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumns(
-        {
-            "is_blank": blank,
-            "previous_line": F.last(text, ignorenulls=True).over(before),
-            "next_line": F.first(text, ignorenulls=True).over(after),
-            "seen_header": F.coalesce(F.max(head).over(earlier), F.lit(0)) == 1,
-            "seen_header_on_page": F.coalesce(F.max(head).over(before), F.lit(0)) == 1,
-            "header_line": F.last(F.when(head == 1, F.col("line")), ignorenulls=True).over(earlier),
-        }
-        | {f"flag_{k}": F.coalesce(F.max(F.col("line").rlike(p)).over(earlier), F.lit(False)) for k, p in (flags or {}).items()}
-    )
+    return _scanned(_looked_at(lines, header, flags, (), None), flags or {}, {}, (), block).drop("cuts")
+
+
+def _looked_at(lines: DataFrame, header: str | None, flags: dict[str, str] | None, labels: Sequence[str], literals: Prefilter | None) -> DataFrame:
+    """What each line says by itself: blank, header (with its columns' places), flags."""
+    head = _match(header, literals) if header else F.lit(False)
+    cuts = column_cuts(F.col("line"), labels) if labels else F.lit(None).cast("array<int>")
+    own = {"is_blank": is_blank(F.col("line")), "_is_header": F.coalesce(head, F.lit(False))} | {f"_flag_{k}": _match(p, literals) for k, p in (flags or {}).items()}
+    return lines.withColumns(own).withColumns({"_text": F.when(~F.col("is_blank"), F.col("line")), "_head": F.when(F.col("_is_header"), F.struct(F.col("line").alias("line"), cuts.alias("cuts")))})
+
+
+def _scanned(lines: DataFrame, flags: dict[str, str], more: dict[str, Scan], drop: Sequence[str], block: int | None) -> DataFrame:
+    scans = {
+        "_header": carried(F.col("_head"), upto=False),
+        "seen_header_on_page": Scan("seen", F.col("_is_header"), page=True),
+        "previous_line": Scan("last", F.col("_text"), page=True),
+        "next_line": Scan("next", F.col("_text"), page=True),
+    }
+    scans |= {f"flag_{k}": Scan("seen", F.col(f"_flag_{k}")) for k in flags} | more
+    out = scan(lines, scans, block).withColumns({"seen_header": F.col("_header").isNotNull(), "header_line": F.col("_header.line"), "cuts": F.col("_header.cuts")})
+    return out.drop("_is_header", "_text", "_head", "_header", *[f"_flag_{k}" for k in flags], *drop)
 
 
 def _context() -> Context:
-    return Context(*[F.col(c) for c in ("line", "zone", "next_line", "previous_line", "seen_header", "seen_header_on_page", "header_line", "previous_marker")])
+    return Context(*[F.col(c) for c in ("line", "zone", "next_line", "previous_line", "seen_header", "seen_header_on_page", "header_line", "previous_marker", "cuts")])
 
 
-def _applies(rule: Rule) -> Column:
+def _applies(rule: Rule, literals: Prefilter | None) -> Column:
     ctx = _context()
-    hit = ctx.line.rlike(rule.pattern) if rule.pattern is not None else rule.predicate(ctx.line)
-    if rule.zones:
+    hit = F.lit(True)
+    if rule.zones:  # what costs least comes first
         hit = hit & ctx.zone.isin(*rule.zones)
+    hit = hit & (_match(rule.pattern, literals) if rule.pattern is not None else rule.predicate(ctx.line))
     if rule.guard is not None:
         hit = hit & F.coalesce(rule.guard(ctx), F.lit(False))
     return F.coalesce(hit, F.lit(False))
@@ -157,45 +170,56 @@ def _kind_of(number: Column, rules: Sequence[Rule]) -> Column:
     return F.coalesce(F.get(kinds, number), F.lit("unclassified"))
 
 
-def classify(lines: DataFrame, rules: Sequence[Rule], zones: Sequence[Zone] = (), header: str | None = None, blank_is_ignorable: bool = True, flags: dict[str, str] | None = None) -> DataFrame:
+def classify(
+    lines: DataFrame, rules: Sequence[Rule], zones: Sequence[Zone] = (), header: str | None = None, blank_is_ignorable: bool = True, flags: dict[str, str] | None = None,
+    labels: Sequence[str] = (), block: int | None = None, prefilter: bool = True,
+) -> DataFrame:
     """doc_id, page, line_no, raw, zone, kind, rule, fields, nums, row_error of every line.
 
     Zone markers come first, then blank lines (dropped, or unclassified if not ignorable),
     then the first rule that applies; all else is unclassified.  row_error marks a money
     kind whose amount cannot be read; it concerns that document alone.
+
+    ``labels`` are those of the header whose columns rules cut by (``Context.cuts``).  ``block`` scans long documents
+    in blocks (:mod:`footing.operators.scans`), and ``prefilter`` runs a pattern only on lines that hold what it
+    requires (:mod:`footing.functions.literals`); neither changes a row.
     """
-    base = with_context(with_zones(lines, zones), header, flags)
+    literals = Prefilter([z.pattern for z in zones] + [r.pattern for r in rules if r.pattern is not None] + ([header] if header else []) + list((flags or {}).values())) if prefilter else None
+    base = lines.select("doc_id", "page", "line_no", "line")
+    if literals:
+        base = base.withColumns(literals.columns(F.col("line")))
+    base = _looked_at(_marked(base, zones, literals), header, flags, labels, literals)
     marks = F.array(*[F.lit(z.name) for z in zones]) if zones else F.array().cast("array<string>")
-    last = F.last(F.when(~F.col("is_blank"), F.coalesce("marker", F.lit(-1))), ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, -1))
-    base = base.withColumn("previous_marker", F.when(last >= 0, F.get(marks, last)))
+    more = {"zone": carried(F.col("_zone")), "_last_marker": carried(F.when(~F.col("is_blank"), F.coalesce("marker", F.lit(-1))), upto=False)}
+    base = _scanned(base, flags or {}, more, ["_zone"], block)
+    base = base.withColumns({"zone": F.coalesce("zone", F.lit(BODY)), "previous_marker": F.when(F.col("_last_marker") >= 0, F.get(marks, F.col("_last_marker")))}).drop("_last_marker")
     plain = [k for k, r in enumerate(rules) if r.anchor is None]
     chain: Column = F.lit(None).cast("int")
     for k in reversed(plain):
-        chain = F.when(_applies(rules[k]), k).otherwise(chain)
+        chain = F.when(_applies(rules[k], literals), k).otherwise(chain)
     live = F.col("marker").isNull() & ~F.col("is_blank")
     rows = base.withColumn("rule_no", F.when(live, chain))
     kind = lambda: F.when(F.col("marker").isNotNull(), F.lit("section_header")).when(F.col("is_blank"), F.lit(BLANK)).otherwise(_kind_of(F.col("rule_no"), rules))
-    earlier = _order().rowsBetween(Window.unboundedPreceding, -1)
     for k, rule in enumerate(rules):
         if rule.anchor is None:
             continue
         named = [n for n, r in enumerate(rules) if r.name in rule.anchor.rules]
         rows = rows.withColumn("_kind", F.when(F.col("rule_no").isin(named), F.lit(NAMED)).otherwise(kind()) if named else kind())
         anchors = [*rule.anchor.kinds, NAMED]
-        wanted = live & _applies(rule) & (F.col("rule_no").isNull() | (F.col("rule_no") > k))
+        wanted = live & _applies(rule, literals) & (F.col("rule_no").isNull() | (F.col("rule_no") > k))
         rows = rows.withColumn("_wanted", wanted)
         skipped = F.col("_kind").isin(BLANK, *rule.anchor.skip)
         for n, r in enumerate(rules):
             if r.name in rule.anchor.through:
-                rows = rows.withColumn(f"_through{n}", live & _applies(r) & (F.col("rule_no").isNull() | (F.col("rule_no") >= n)))
+                rows = rows.withColumn(f"_through{n}", live & _applies(r, literals) & (F.col("rule_no").isNull() | (F.col("rule_no") >= n)))
                 skipped = skipped | F.col(f"_through{n}")
         if rule.anchor.first_only:
-            seen = F.last(F.when(~skipped | F.col("_wanted"), F.struct("_wanted", "_kind")), ignorenulls=True).over(earlier)
-            good = ~seen["_wanted"] & seen["_kind"].isin(*anchors)
+            rows = scan(rows, {"_seen": carried(F.when(~skipped | F.col("_wanted"), F.struct("_wanted", "_kind")), upto=False)}, block)
+            good = ~F.col("_seen._wanted") & F.col("_seen._kind").isin(*anchors)
         else:
-            good = F.last(F.when(~skipped & ~F.col("_wanted"), F.col("_kind")), ignorenulls=True).over(earlier).isin(*anchors)
-        rows = rows.withColumn("_good", F.coalesce(good, F.lit(False)))
-        rows = rows.withColumn("rule_no", F.when(F.col("_wanted") & F.col("_good"), k).otherwise(F.col("rule_no")))
+            rows = scan(rows, {"_seen": carried(F.when(~skipped & ~F.col("_wanted"), F.col("_kind")), upto=False)}, block)
+            good = F.col("_seen").isin(*anchors)
+        rows = rows.withColumn("rule_no", F.when(F.col("_wanted") & F.coalesce(good, F.lit(False)), k).otherwise(F.col("rule_no"))).drop("_seen", "_kind", "_wanted")
     rows = rows.withColumn("kind", kind())
     if zones:
         marked = F.array(*[F.lit(z.kind) for z in zones])
@@ -215,7 +239,7 @@ def classify(lines: DataFrame, rules: Sequence[Rule], zones: Sequence[Zone] = ()
 def _value(rule: Rule, what: int | Callable[[Context], Column]) -> Column:
     if callable(what):
         return what(_context())
-    return F.nullif(strip(F.regexp_extract("line", rule.pattern, what)), F.lit(""))
+    return let(strip(F.regexp_extract("line", rule.pattern, what)), lambda x: F.nullif(x, F.lit("")))
 
 
 def _extract(rules: Sequence[Rule]) -> tuple[Column, Column]:
@@ -225,67 +249,79 @@ def _extract(rules: Sequence[Rule]) -> tuple[Column, Column]:
     filled = lambda m: F.map_filter(m, lambda k, v: v.isNotNull())
     for k in reversed(range(len(rules))):
         rule, mine = rules[k], F.col("rule_no") == k
+        own = []
         if rule.fields:
-            pairs = [x for name, what in rule.fields.items() for x in (F.lit(name), _value(rule, what).cast("string"))]
-            texts = F.when(mine, filled(F.create_map(*pairs))).otherwise(texts)
+            own.append(F.create_map(*[x for name, what in rule.fields.items() for x in (F.lit(name), _value(rule, what).cast("string"))]))
+        if rule.cells is not None:
+            own.append(rule.cells(_context()))
+        if own:
+            texts = F.when(mine, filled(F.map_concat(*own) if len(own) > 1 else own[0])).otherwise(texts)
         nums = dict(rule.nums)
         if rule.kind in MONEY_KINDS and "amount" not in nums:
             nums["amount"] = lambda ctx: last_money(ctx.line)
         if nums:
             pairs = []
             for name, what in nums.items():
-                value = _value(rule, what)
-                if not callable(what):
-                    value = F.coalesce(parse_money(value), decimal_field(value))
+                value = what(_context()) if callable(what) else let(F.regexp_extract("line", rule.pattern, what), lambda x: F.coalesce(parse_money(x), decimal_field(x)))
                 pairs += [F.lit(name), value.cast(AMOUNT)]
             numbers = F.when(mine, filled(F.create_map(*pairs))).otherwise(numbers)
     return texts, numbers
 
 
-def classify_in_order(lines: DataFrame, rules: Sequence[Rule], zones: Sequence[Zone] = (), guards: dict[str, Callable[[dict], bool]] | None = None) -> DataFrame:
+def classify_in_order(
+    lines: DataFrame, rules: Sequence[Rule], zones: Sequence[Zone] = (), guards: dict[str, Callable[[dict], bool]] | None = None, header: str | None = None, flags: dict[str, str] | None = None,
+    block: int | None = None,
+) -> DataFrame:
     """doc_id, page, line_no, kind, rule by one fold over each document's lines.
 
-    Each line sees how all before it were classified.  Rules must have patterns; guards by
-    rule name get {line, zone, next_line, previous_line}.
+    Each line sees how all before it were classified.  Which rules its own text, its zone, its neighbours and
+    native guards allow is found natively for all lines; the fold gets numbers of rules only, and chooses.  It is
+    linear: each anchored rule remembers the last kind that matters to it.  ``guards``: rule name -> function of {line, zone,
+    next_line, previous_line, kinds}; kinds are those of the document's lines so far.  Such guards need the lines
+    themselves in the fold.  Rules must not have ``through`` anchors.
     """
-    compiled = [(r, re.compile(r.pattern)) for r in rules]
-    markers = [(z, re.compile(z.pattern)) for z in zones]
+    if any(r.anchor is not None and r.anchor.through for r in rules):
+        raise ValueError("anchors that reach through other rules are for classify()")
     tests = guards or {}
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page", "line_no"])
-        zone, done, out = BODY, [], []
-        rows = list(pdf.itertuples(index=False))
-        for at, row in enumerate(rows):
-            marker = next((z for z, p in markers if p.search(row.line)), None)
-            if marker:
-                zone = marker.zone
-                done.append(marker.kind)
-                out.append((row.doc_id, row.page, row.line_no, marker.kind, marker.name))
-                continue
-            if not row.line.strip():
-                continue
-            near = [x.line for x in rows if x.page == row.page and x.line.strip()]
-            here = [k for k, x in enumerate(x for x in rows if x.page == row.page and x.line.strip()) if x is row][0]
-            state = {"line": row.line, "zone": zone, "previous_line": near[here - 1] if here else None, "next_line": near[here + 1] if here + 1 < len(near) else None}
+    literals = Prefilter([z.pattern for z in zones] + [r.pattern for r in rules if r.pattern is not None])
+    own = lines.select("doc_id", "page", "line_no", "line").withColumns(literals.columns(F.col("line")))
+    more = {"zone": carried(F.col("_zone")), "_last_marker": carried(F.when(~F.col("is_blank"), F.coalesce("marker", F.lit(-1))), upto=False)}
+    base = _scanned(_looked_at(_marked(own, zones, literals), header, flags, (), literals), flags or {}, more, ["_zone"], block)
+    marks = F.array(*[F.lit(z.name) for z in zones]) if zones else F.array().cast("array<string>")
+    base = base.withColumns({"zone": F.coalesce("zone", F.lit(BODY)), "previous_marker": F.when(F.col("_last_marker") >= 0, F.get(marks, F.col("_last_marker")))})
+    allowed = F.array_compact(F.array(*[F.when(_applies(r, literals), F.lit(k)) for k, r in enumerate(rules)]))
+    texts = ["line", "zone", "previous_line", "next_line"] if tests else []
+    given = base.where(~F.col("is_blank")).select("doc_id", "page", "line_no", F.coalesce("marker", F.lit(-1)).alias("marker"), F.when(F.col("marker").isNull(), allowed).otherwise(F.array().cast("array<int>")).alias("allowed"), *texts)
+    anchored = [k for k, r in enumerate(rules) if r.anchor is not None]
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("page", "ascending"), ("line_no", "ascending")])
+        markers, choices = table.column("marker").to_pylist(), table.column("allowed").to_pylist()
+        states = table.select(texts).to_pylist() if tests else None
+        last: dict[int, str | None] = dict.fromkeys(anchored)
+        kinds: list[str] = []
+        names: list[str | None] = []
+        for n, (marker, ways) in enumerate(zip(markers, choices)):
             hit = None
-            for rule, pattern in compiled:
-                if not pattern.search(row.line) or (rule.zones and zone not in rule.zones):
+            for k in ways:
+                if rules[k].name in tests and not tests[rules[k].name](states[n] | {"kinds": kinds}):
                     continue
-                if rule.name in tests and not tests[rule.name](state):
+                if k in last and last[k] not in rules[k].anchor.kinds and last[k] != NAMED:
                     continue
-                if rule.anchor is not None:
-                    last = next((k for k in reversed(done) if k not in rule.anchor.skip or (rule.anchor.first_only and k == rule.kind)), None)
-                    if last not in rule.anchor.kinds:
-                        continue
-                hit = rule
+                hit = k
                 break
-            done.append(hit.kind if hit else "unclassified")
-            out.append((row.doc_id, row.page, row.line_no, done[-1], hit.name if hit else None))
-        return pd.DataFrame(out, columns=["doc_id", "page", "line_no", "kind", "rule"])
-
-    kind = lines.schema["doc_id"].dataType.simpleString()
-    return lines.select("doc_id", "page", "line_no", "line").groupBy("doc_id").applyInPandas(fold, f"doc_id {kind}, page int, line_no int, kind string, rule string")
+            kinds.append(zones[marker].kind if marker >= 0 else rules[hit].kind if hit is not None else "unclassified")
+            names.append(zones[marker].name if marker >= 0 else rules[hit].name if hit is not None else None)
+            for k in anchored:
+                anchor = rules[k].anchor
+                if names[-1] in anchor.rules:
+                    last[k] = NAMED
+                elif kinds[-1] not in anchor.skip or (anchor.first_only and hit == k):
+                    last[k] = kinds[-1]
+        return table.select(["doc_id", "page", "line_no"]).append_column("kind", pa.array(kinds, pa.string())).append_column("rule", pa.array(names, pa.string()))
+
+    types = [f"{f.name} {f.dataType.simpleString()}" for f in given.select("doc_id", "page", "line_no").schema]
+    return given.groupBy("doc_id").applyInArrow(fold, ", ".join([*types, "kind string", "rule string"]))
 
 
 def kind_counts(rows: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from footing.functions.money import AMOUNT
 from footing.plans import layouts
 from footing.plans.registry import layout
+from footing.tables import durable
 
 L = F.lit
 
@@ -32,7 +33,8 @@ class Orders:
 
     def __init__(self, lineitem: DataFrame) -> None:
         item = lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("f"), F.col("l_partkey").alias("p"), F.col("l_quantity").cast("long").alias("q"), F.col("l_extendedprice").cast(AMOUNT).alias("v"))
-        self.items = item.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("f", "p", "v", "q")))
+        # every kind of line reads them
+        self.items = durable(item.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("f", "p", "v", "q"))), "items")
         off = F.when(F.col("k") % 10 == 3, _amount("0.01")).otherwise(_amount("0.00"))
         sums = lambda *by: self.items.groupBy(*by).agg(F.sum("v").cast(AMOUNT).alias("s"), F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
         self.sums = sums("k").withColumn("off", off)
@@ -179,7 +181,7 @@ PRINTED: dict[str, Callable[[Orders], DataFrame]] = {f.__name__: f for f in (rat
 
 def read_back(lineitem: DataFrame, name: str, texts: tuple[str, ...]) -> DataFrame:
     """doc_id, identity, verified, depth, items, computed_total, size (characters of the items' ``texts``) of printed invoices."""
-    out = layouts.run(PRINTED[name](Orders(lineitem)), layout(name))
+    out = layouts.run(durable(PRINTED[name](Orders(lineitem)), "printed"), layout(name))
     size = sum((F.length(F.coalesce(t, L(""))) for t in texts), L(0))
     items = out["items"].groupBy("doc_id").agg(F.sum(size).alias("size"))
     verdict = out["verdicts"].select("doc_id", "verified", "depth", "items", "computed_total")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from footing.functions import money as M
 from footing.functions import text as T
-from footing.operators import discover, folds, ladder, profiles, rules, sinks, state
-from footing.plans import invoices, layouts, printed
+from footing.operators import commits, discover, folds, ladder, profiles, rules, scans, sinks, state
+from footing.plans import dispatch, invoices, layouts, printed
 from footing.shipping import ship
 from footing.sources import documents as D
+from footing.tables import durable, shared_dir
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -430,13 +433,13 @@ WITH t AS (SELECT l_suppkey s, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)))
 
 @query(_FITS_SQL + "SELECT * FROM f")
 def cross_search_closes(spark, sf_dir):
-    lines = _made_invoices(spark, sf_dir)
+    lines = durable(_made_invoices(spark, sf_dir), "lines")
     return discover.search(lines, discover.total_candidates(lines)).select("doc_id", "strategy", "aggregate", "total_label", "computed", "n_rows")
 
 
 @query(_FITS_SQL + "SELECT strategy, aggregate, count(DISTINCT doc_id) AS n, count(DISTINCT doc_id) = (SELECT count(*) FROM t) AS unanimous FROM f GROUP BY 1, 2")
 def consensus_unanimous(spark, sf_dir):
-    lines = _made_invoices(spark, sf_dir)
+    lines = durable(_made_invoices(spark, sf_dir), "lines")
     found = discover.search(lines, discover.total_candidates(lines))
     return discover.consensus(found, lines).select("strategy", "aggregate", "n", "unanimous")
 
@@ -543,7 +546,11 @@ def invoice_line_items(spark, sf_dir):
     return sinks.line_items(rows, ("description", "quantity")).groupBy("doc_id", "amount").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""
+WITH o AS (SELECT count(DISTINCT l_orderkey) m, count(*) n, count(DISTINCT (l_orderkey, l_returnflag)) f FROM lineitem)
+SELECT kind, CASE kind WHEN 'charge' THEN n WHEN 'continuation' THEN n WHEN 'restatement' THEN f ELSE m END AS n
+FROM o, (VALUES ('charge'), ('continuation'), ('restatement'), ('column_header'), ('section_header'), ('header_field'), ('invoice_subtotal'), ('tax'), ('grand_total'), ('row_count')) k(kind)
+""")
 def classify_sequential_fallback(spark, sf_dir):
     lines = invoices.printed(table(spark, sf_dir, "lineitem"))
     return rules.classify_in_order(lines, invoices.RULES, invoices.ZONES).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
@@ -616,7 +623,7 @@ def layout_two_templates(spark, sf_dir):
 
 
 def _section_run(spark, sf_dir) -> dict[str, DataFrame]:
-    return layouts.run(printed.sections(printed.Orders(table(spark, sf_dir, "lineitem"))), layouts.SECTIONS)
+    return layouts.run(durable(printed.sections(printed.Orders(table(spark, sf_dir, "lineitem"))), "printed"), layouts.SECTIONS)
 
 
 @query("""
@@ -636,6 +643,101 @@ def diagnosed_failures(spark, sf_dir):
     return ladder.diagnose(out["results"], out["rows"]).select("doc_id", "check", "delta", "hint", "match_kind")
 
 
+# ---- documents of one piece, mixed folders, histories
+
+
+@query("""
+WITH e AS (SELECT event_id, event_type, CAST(value AS DECIMAL(18,2)) v, row_number() OVER (ORDER BY event_id) - 1 AS r FROM events),
+s AS (SELECT event_id,
+  coalesce(last_value(CASE event_type WHEN 'purchase' THEN 'bought' WHEN 'signup' THEN 'fresh' END IGNORE NULLS) OVER upto, 'body') AS zone,
+  coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 END) OVER earlier, 0) AS section,
+  sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER upto AS grp,
+  last_value(CASE WHEN event_type = 'purchase' THEN v END IGNORE NULLS) OVER earlier AS bought,
+  last_value(CASE WHEN event_type <> 'view' THEN event_type END IGNORE NULLS) OVER earlier AS kind,
+  first_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER later AS click
+  FROM e WINDOW upto AS (ORDER BY r ROWS UNBOUNDED PRECEDING), earlier AS (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), later AS (ORDER BY r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+SELECT event_id, zone, CAST(section AS BIGINT) AS section, CAST(grp AS BIGINT) AS grp, bought, kind, click FROM s
+""")
+def giant_document_scan(spark, sf_dir):
+    """All events as one document, scanned in blocks: no block waits for another."""
+    ev = table(spark, sf_dir, "events").select("event_id", F.lit(1).alias("doc_id"), F.lit(1).alias("page"), F.col("event_id").alias("line_no"), F.col("event_type").alias("line"), F.col("value").cast(AMOUNT).alias("v"))
+    line = F.col("line")
+    ways = {
+        "zone": scans.carried(F.when(line == "purchase", "bought").when(line == "signup", "fresh")), "section": scans.counted(line == "purchase", upto=False), "grp": scans.counted(line == "click"),
+        "bought": scans.carried(F.when(line == "purchase", F.col("v")), upto=False), "kind": scans.carried(F.when(line != "view", line), upto=False), "click": scans.Scan("next", F.when(line == "click", F.col("event_id"))),
+    }
+    out = scans.scan(ev, ways, block=4096)
+    return out.select("event_id", F.coalesce("zone", F.lit("body")).alias("zone"), F.col("section").cast("long"), F.col("grp").cast("long"), "bought", "kind", "click")
+
+
+@query("SELECT (SELECT v FROM (SELECT CAST(o_totalprice AS DECIMAL(18,2)) v, row_number() OVER (ORDER BY CAST(o_totalprice AS DECIMAL(18,2))) - 1 r, count(*) OVER () n FROM orders) WHERE r = n // 2) AS median, (SELECT max(v) FROM (SELECT CAST(l_extendedprice AS DECIMAL(18,2)) v, row_number() OVER (ORDER BY CAST(l_extendedprice AS DECIMAL(18,2))) - 1 r, count(*) OVER () n FROM lineitem) WHERE r = n * 99 // 100) AS high")
+def order_statistics(spark, sf_dir):
+    """A median and a 99th percentile of whole columns, exact, by rounds of histograms."""
+    total = table(spark, sf_dir, "orders").select(F.col("o_totalprice").cast(AMOUNT).alias("v"))
+    price = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").cast(AMOUNT).alias("v"))
+    high = profiles.order_statistic(price, "v", lambda n: n * 99 // 100)
+    return profiles.upper_median(total, "v").select("median", F.lit(high).cast(AMOUNT).alias("high"))
+
+
+MIXED = ("rate_table", "sections", "unit_rates", "summary_and_detail")
+
+
+@query("""
+WITH x AS (SELECT l_orderkey k, count(*) n, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) v FROM lineitem GROUP BY 1)
+SELECT k AS doc_id, CASE k % 5 WHEN 0 THEN 'rate_table' WHEN 1 THEN 'sections' WHEN 2 THEN 'unit_rates' END AS spec, k % 10 <> 3 AS verified,
+  CASE WHEN k % 5 = 3 THEN 'bound to another layout' WHEN k % 5 = 4 THEN 'no layout is bound' END AS cause, CASE WHEN k % 5 < 3 THEN v END AS computed_total FROM x WHERE k % 5 < 3
+UNION ALL SELECT k, NULL, NULL, CASE WHEN k % 5 = 3 THEN 'bound to another layout' ELSE 'no layout is bound' END, NULL FROM x WHERE k % 5 > 2
+""")
+def mixed_folder(spark, sf_dir):
+    """Documents of five kinds in one folder: three are read by their layouts, one is bound elsewhere, one is not known."""
+    items = table(spark, sf_dir, "lineitem")
+    kinds = (*MIXED, "two_fees")
+    part = lambda k, name: printed.PRINTED[name](printed.Orders(items.where(F.col("l_orderkey") % 5 == k)))
+    lines = durable(printed.together([part(k, name) for k, name in enumerate(kinds)]), "folder")
+    heads = durable(profiles.header_rows(lines).select("doc_id", T.signature(F.lit("? / ?"), F.col("column_row")).alias("signature"), F.lit(True).alias("usable_text")), "profiles")
+    # the signature of each kind's first document is bound, but for the last kind
+    first = heads.groupBy((F.col("doc_id") % 5).alias("k")).agg(F.min_by("signature", "doc_id").alias("signature")).where(F.col("k") < 4)
+    bindings = first.select("signature", F.get(F.array(*[F.lit(n) for n in MIXED]), F.col("k").cast("int")).alias("spec"))
+    routes, refused = dispatch.route(heads, bindings, MIXED[:3])
+    done = dispatch.extract(lines, routes, MIXED[:3]).select("doc_id", "spec", "verified", F.lit(None).cast("string").alias("cause"), "computed_total")
+    return done.unionByName(refused.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("spec"), F.lit(None).cast("boolean").alias("verified"), "cause", F.lit(None).cast(AMOUNT).alias("computed_total")))
+
+
+@query(_VERSIONS_SQL + """
+, b AS (SELECT identity, sha, seq, seq % 3 AS part, row_number() OVER (PARTITION BY identity ORDER BY seq % 3 DESC, seq DESC) r FROM v WHERE trim(identity) <> '')
+SELECT identity, sha AS sha256, CAST(part + 1 AS BIGINT) AS batch FROM b WHERE r = 1
+""")
+def ordered_history(spark, sf_dir):
+    """Three batches committed one after the other, read back: of each identity the one written last."""
+    path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    v = _versions(spark, sf_dir)
+    for k in range(3):
+        commits.write_batch(spark, path, f"b{k}", {"records": v.where(F.col("seq") % 3 == k).orderBy("seq").drop("seq")})
+    return state.latest(commits.read_committed(spark, path, "records")).select("identity", "sha256", F.col("seq.batch").alias("batch"))
+
+
+@query(_VERSIONS_SQL + "SELECT seq, identity FROM v WHERE seq % 4 = 1 AND identity NOT IN (SELECT identity FROM v WHERE seq % 4 <> 1)")
+def bucketed_anti_join(spark, sf_dir):
+    """New identities against a history of three committed batches that is laid out by identity."""
+    path = f"{shared_dir(spark)}/buckets-{uuid.uuid4().hex}"
+    v = _versions(spark, sf_dir)
+    for k in (0, 2, 3):
+        commits.write_batch(spark, path, f"b{k}", {"records": v.where(F.col("seq") % 4 == k)}, {"records": "identity"})
+    return commits.unseen(spark, path, "records", v.where("seq % 4 = 1")).select("seq", "identity")
+
+
+@query("""
+SELECT l_orderkey AS doc_id, label, CAST(CASE label WHEN 'Part' THEN sum(length('P' || l_partkey)) ELSE sum(length(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR))) END AS BIGINT) AS size, count(*) AS n
+FROM lineitem, (VALUES ('Part'), ('Qty')) k(label) GROUP BY 1, 2
+""")
+def words_by_column(spark, sf_dir):
+    """Words placed on pages of printed rows, dealt to columns by their middles."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")) - 1).cast("int").alias("line_no"), F.concat(F.rpad(F.concat(F.lit("P"), F.col("l_partkey").cast("string")), 20, " "), F.col("l_quantity").cast("long").cast("string"), F.lit("      rest")).alias("line"))
+    columns = items.select("doc_id").distinct().select("doc_id", F.explode(F.array(F.struct(F.lit("Part").alias("label"), F.lit(0.0).alias("low"), F.lit(120.0).alias("high")), F.struct(F.lit("Qty").alias("label"), F.lit(120.0).alias("low"), F.lit(140.0).alias("high")))).alias("c")).select("doc_id", "c.*")
+    cells = D.words_in_columns(D.placed_words(items), columns)
+    return cells.groupBy("doc_id", "label").agg(F.sum(F.length("text")).alias("size"), F.count(F.lit(1)).alias("n"))
+
+
 # ---- functions on their own
 
 

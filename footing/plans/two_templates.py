@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from footing.functions import text as T
 from footing.functions.money import AMOUNT, parse_money
+from footing.operators import folds
 from footing.operators.ladder import Check
 from footing.operators.rules import BODY, Anchor, Context, Rule, Zone
 from footing.plans.layouts import MONEY, Layout
@@ -225,13 +226,7 @@ def _text(key: str) -> Column:
 
 
 def _with_fields(rows: DataFrame, forced: dict[str, Column], absent: dict[str, Column]) -> DataFrame:
-    """Sets fields: ``forced`` ones always, ``absent`` ones where the row has none; NULL sets nothing."""
-    made = lambda d: F.map_filter(F.create_map(*[x for k, v in d.items() for x in (F.lit(k), v.cast("string"))]), lambda k, v: v.isNotNull()) if d else F.expr("cast(map() as map<string,string>)")
-    extra = made(forced)
-    kept = F.map_filter("fields", lambda k, v: ~F.map_contains_key(extra, k))
-    held = F.map_concat(kept, extra)
-    more = F.map_filter(made(absent), lambda k, v: ~F.map_contains_key(held, k))
-    return rows.withColumn("fields", F.map_concat(held, more))
+    return rows.withColumn("fields", folds.fields_with(forced, absent))
 
 
 def _zone_keys(rows: DataFrame) -> DataFrame:
@@ -272,11 +267,10 @@ def _carry_samples(rows: DataFrame) -> DataFrame:
     out = rows.withColumn("_h", F.sum(head.cast("int")).over(upto))
     whole = Window.partitionBy("doc_id", "_h")
     wrap = F.min(F.when((F.col("kind") == "continuation") & (F.col("zone") == DETAIL), F.struct("page", "line_no", _text("text").alias("text"), _text("target").alias("target")))).over(whole)
-    out = out.withColumn("_wrap", wrap).withColumn("_sample", F.max(F.when(is_sample, F.to_json("fields"))).over(whole))
-    sample = F.from_json("_sample", "map<string,string>")
+    out = out.withColumn("_wrap", wrap).withColumn("_sample", F.first(F.when(is_sample, F.col("fields")), ignorenulls=True).over(whole))
 
     def cell(name: str) -> Column:
-        own = F.coalesce(F.try_element_at(sample, F.lit(name)), F.lit(""))
+        own = F.coalesce(F.try_element_at("_sample", F.lit(name)), F.lit(""))
         return F.when(F.col("_wrap.target") == name, F.trim(F.concat(own, F.lit(" "), F.col("_wrap.text")))).otherwise(own)
 
     mine = F.col("_sample").isNotNull() & (F.col("zone") == DETAIL)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from footing.functions.text import READABLE, annotation_only, density, has_anchors, is_blank
+from footing.functions.text import READABLE, annotation_only, density, has_anchors, is_blank, offsets
 
 RECORDS = (
     "identity string, spec string, source string, sha256 string, extracted_at string, page_count int, ocr_applied boolean, verified boolean, "
@@ -104,6 +104,30 @@ def words_in_band(words: Column, low: float, high: float) -> Column:
     return F.filter(words, lambda w: ((w["x0"] + w["x1"]) / 2 >= low) & ((w["x0"] + w["x1"]) / 2 < high))
 
 
+def placed_words(lines: DataFrame, step: float = 6.0, height: float = 12.0) -> DataFrame:
+    """doc_id, page, width, words: pages of fixed-pitch print as an extractor that knows places would give them.
+
+    A word starts at its offset times ``step``; a line is ``height`` high.  A page is as wide as its longest line.
+    """
+    tokens = F.filter(F.split("line", r"\s+"), lambda w: w != "")
+    word = lambda w, at: F.struct(w.alias("text"), (at * step).alias("x0"), (F.col("line_no") * height).alias("y0"), ((at + F.length(w)) * step).alias("x1"), ((F.col("line_no") + 1) * height).alias("y1"))
+    rows = lines.select("doc_id", "page", "line_no", (F.length("line") * step).alias("width"), F.zip_with(tokens, offsets(F.col("line")), word).alias("words"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "words"))), lambda r: r["words"])
+    return rows.groupBy("doc_id", "page").agg(F.max("width").alias("width"), F.flatten(ordered).alias("words"))
+
+
+def words_in_columns(pages: DataFrame, columns: DataFrame) -> DataFrame:
+    """doc_id, page, label, y0, text: the words of each column and line, by the place of their middles.
+
+    ``pages``: doc_id, page, words.  ``columns``: doc_id, label, low, high, intervals [low, high) across every page of a document.
+    Words and intervals meet by document; of overlapping columns a word is in each, outside all in none.
+    """
+    each = pages.select("doc_id", "page", F.explode("words").alias("w")).select("doc_id", "page", "w.*", ((F.col("w.x0") + F.col("w.x1")) / 2).alias("_middle"))
+    met = each.join(columns.select("doc_id", "label", "low", "high"), "doc_id").where((F.col("_middle") >= F.col("low")) & (F.col("_middle") < F.col("high")))
+    words = F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"])
+    return met.groupBy("doc_id", "page", "label", "y0").agg(F.array_join(words, " ").alias("text"))
+
+
 def to_lines(pages: DataFrame) -> DataFrame:
     """doc_id, page, line_no (from 0), line.  Order is data: keep page and line_no."""
     return pages.select("doc_id", "page", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("line_no", "line"))
@@ -163,7 +187,10 @@ def whole_text(lines: DataFrame) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The history, in the order written; empty where there is none yet."""
+    """A history of JSON lines; empty where there is none yet.
+
+    A Spark read has no order: histories that need one are written and read by :mod:`footing.operators.commits`.
+    """
     return _json(spark, path, RECORDS)
 
 

@@ -17,9 +17,7 @@ def duck():
     return con
 
 
-#: Whole layouts take long to plan, at any scale: the smaller one will do.
-PLANNED = {n for n in QUERIES if n.startswith("layout_")} - {"layout_signature_clusters"} | {"fact_rows", "denormalised_items", "check_states", "diagnosed_failures"}
-CASES = [(n, sf) for n in sorted(QUERIES) for sf in SCALES if sf == SCALES[0] or n not in PLANNED]
+CASES = [(n, sf) for n in sorted(QUERIES) for sf in SCALES]
 
 
 @pytest.mark.parametrize(("name", "sf"), CASES)
