@@ -36,11 +36,11 @@ from footing.llm.words import WordIndex, mix, shingles
 
 #: Parts beyond the pigeonhole bound, so that empty parts do not use it up.
 SPARE = 1.15
-#: Candidate sets up to which their ids are broadcast (16 bytes each); beyond, a shuffle join.
+#: Candidate sets up to which their ids are broadcast (24 bytes each); beyond, a shuffle join.
 BROADCAST_IDS = 500_000
-#: A key is hot when more than this share of all rows hold it; found on the rows of every SAMPLED-th node by hash, with so
-#: many rows of it there at least.
-HOT, SAMPLED, HOT_LEAST = 1 / 2000, 64, 100
+#: A key is hot when more than this share of all rows hold it, or this many whatever their share; found on the rows of every
+#: SAMPLED-th node by hash, with so many rows of it there at least.  The hottest BROADCAST_IDS are told apart at most.
+HOT, HOT_ROWS, SAMPLED, HOT_LEAST = 1 / 2000, 2_000_000, 64, 100
 #: Members of a group that one task compares with each other by their bit sketches.
 BLOCK = 2048
 #: Nearest neighbours of each set that a round verifies, before all that are left are.
@@ -94,7 +94,7 @@ def words_of(tokens: np.ndarray, level: int, bounds: Bounds) -> tuple[np.ndarray
     return keys, len(first), allowed
 
 
-SKETCH = "doc_id long, n long, node long, levels array<int>, filled array<int>, allowed array<int>, keys array<array<long>>"
+SKETCH = "doc_id long, text_key long, n long, node long, levels array<int>, filled array<int>, allowed array<int>, keys array<array<long>>"
 
 
 def _tokens(body: bytes, index: WordIndex, width: int) -> np.ndarray:
@@ -136,8 +136,8 @@ def _sketch(width: int, bounds: Bounds):
             lists = pa.ListArray.from_arrays(pa.array(outer, pa.int32()), inner)
             small = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(levels, small), pa.array(filled, small), pa.array(allowed, small), lists],
-                names=["doc_id", "n", "node", "levels", "filled", "allowed", "keys"],
+                [pa.array(ids, pa.int64()), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(levels, small), pa.array(filled, small), pa.array(allowed, small), lists],
+                names=["doc_id", "text_key", "n", "node", "levels", "filled", "allowed", "keys"],
             )
 
     return run
@@ -213,7 +213,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, bounds: Bounds = Bounds(
     id that links reach; null ids are passed over, and a component of null ids alone has
     null.  Repeated rows each have a row; no rows give none; other columns are not looked at.
     """
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("body"))
+    body = text_bytes(text)
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("body"), F.xxhash64(body).alias("text_key"))
     sketches = durable(source.mapInArrow(_sketch(width, bounds), SKETCH), "sketches")
     members = sketches.select("doc_id", "n", "node")
     classes = durable(members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")), "classes")
@@ -226,16 +227,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, bounds: Bounds = Bounds(
     return filled.unionByName(empty)
 
 
-def _hot_keys(keys: DataFrame) -> list[int]:
-    """Keys that more than HOT of the rows hold, as the rows of one node in SAMPLED tell; at most 1 / HOT.
+def _hot_keys(keys: DataFrame) -> DataFrame | None:
+    """Keys that more than HOT of the rows, or HOT_ROWS rows, hold, as the rows of one node in SAMPLED tell; None if there are none.
 
     How rows are dealt depends on it, no result does.
     """
     some = keys.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).select("key")
     counts = durable(some.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "sampled-keys")
     size = counts.agg(F.sum("n")).first()[0] or 0
-    found = counts.where((F.col("n") > HOT * size) & (F.col("n") >= HOT_LEAST)).orderBy(F.desc("n"), "key").limit(int(1 / HOT))
-    return sorted(r["key"] for r in found.select("key").collect())
+    least = max(HOT_LEAST, min(HOT * size, HOT_ROWS / SAMPLED))
+    hot = durable(counts.where(F.col("n") > least).orderBy(F.desc("n"), "key").limit(BROADCAST_IDS).select("key"), "hot-keys")
+    return hot if hot.take(1) else None
 
 
 def _linked(sketches: DataFrame, source: DataFrame, width: int, bounds: Bounds) -> DataFrame:
@@ -243,14 +245,15 @@ def _linked(sketches: DataFrame, source: DataFrame, width: int, bounds: Bounds)
     each = sketches.select("node", F.posexplode("keys").alias("k", "own"), "filled", "allowed")
     keys = each.select("node", F.get("filled", F.col("k")).alias("filled"), F.get("allowed", F.col("k")).alias("allowed"), F.explode("own").alias("key"))
     hot = _hot_keys(keys)
-    is_hot = F.col("key").isin(hot) if hot else F.lit(False)
+    cold = keys if hot is None else keys.join(F.broadcast(hot), "key", "left_anti")
     # a key's rows meet in one task; those of a hot key do not: it is counted with map-side combining, and its rows stay where they are
     by_key = Window.partitionBy("key")
-    met = keys.where(~is_hot).withColumns({"low": F.min("node").over(by_key), "high": F.max("node").over(by_key), "seen": F.count(F.lit(1)).over(by_key)}).where("low <> high")
+    met = cold.withColumns({"low": F.min("node").over(by_key), "high": F.max("node").over(by_key), "seen": F.count(F.lit(1)).over(by_key)}).where("low <> high")
     met = met.drop("low", "high")
-    if hot:
-        counts = keys.where(is_hot).groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("seen")).where("low <> high")
-        met = met.unionByName(keys.where(is_hot).join(F.broadcast(counts.select("key", "seen")), "key").select(*met.columns))  # at most 1 / HOT keys
+    if hot is not None:
+        of_hot = keys.join(F.broadcast(hot), "key")
+        counts = of_hot.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("seen")).where("low <> high")
+        met = met.unionByName(keys.join(F.broadcast(counts.select("key", "seen")), "key").select(*met.columns))  # at most BROADCAST_IDS keys
     shared = durable(met.groupBy("key", "node", "filled", "allowed").agg(F.first("seen").alias("seen")), "shared")
     # exact filters: enough shared words, and of them the rarest
     plan = Window.partitionBy("node", "filled", "allowed")
@@ -382,11 +385,12 @@ def _across(rest: DataFrame, sketched: DataFrame, bounds: Bounds, most: int | No
 
 def _candidate_sets(sketches: DataFrame, nodes: DataFrame, source: DataFrame, width: int) -> DataFrame:
     """node, tokens: the whole sets of the nodes, each from one document that has it."""
-    chosen = sketches.select("node", "doc_id").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("chosen"))
-    chosen = durable(chosen, "chosen")
-    # the ids alone are broadcast, and only if few; else texts are shuffled once
+    own = sketches.select("node", F.struct("doc_id", "text_key").alias("row")).join(nodes, "node", "left_semi")
+    chosen = durable(own.groupBy("node").agg(F.min("row").alias("row")).select("node", F.col("row.doc_id").alias("chosen"), F.col("row.text_key").alias("chosen_key")), "chosen")
+    # ids and text hashes alone are broadcast, and only if few; else texts are shuffled once.  A row without an id, or with another's, is
+    # told by its text, so that rows that share an id do not meet each other's sets
     small = F.broadcast if chosen.count() <= BROADCAST_IDS else (lambda x: x)
-    rows = source.join(small(chosen), source["doc_id"].eqNullSafe(chosen["chosen"])).select("node", "body")
+    rows = source.join(small(chosen), (source["text_key"] == chosen["chosen_key"]) & source["doc_id"].eqNullSafe(chosen["chosen"])).select("node", "body")
     return durable(rows.mapInArrow(_sets(width), "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
 
 

@@ -8,11 +8,12 @@ the driver.  There the configuration program
 
 is solved by multiplicative weights: lengths carry weights, a bounded knapsack dynamic program
 prices the best pattern through every length under the present weights, and covered lengths
-lose weight.  Patterns of the fractional solution that are worth its mean or more under the dual
-solution are rounded up while the counts last; what is left is the next program, at every
-size of the input, until no pattern is left.  Only then best fit places the rest, a few sequences.  The plan,
-whose size depends on the capacity only, is broadcast; pieces look up their place by rank among
-the pieces of their length.
+lose weight, until the solution is within a gap of the dual bound.  The fractional solution is
+rounded in several ways: patterns that are worth a share of its mean or more under the dual solution are rounded up, or down, while
+the counts last; what is left is the next program, a few times or until no pattern is left; best fit places
+the rest.  The rounding with the fewest sequences stands; one that keeps no pattern is among them, so that
+there are never more than plain best fit needs.  The plan, whose size depends on the capacity only, is
+broadcast; pieces look up their place by rank among the pieces of their length.
 """
 
 from __future__ import annotations
@@ -214,16 +215,18 @@ class Fillings:
 
 #: Share of a length's count below which a program leaves it to the next one.
 LITTLE = 0.02
+#: Sequences beyond the dual bound, as a share of it, at which the weights stop.
+GAP = 0.002
 
 
-def solve_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 12, step: float = 0.5) -> tuple[dict[tuple, float], np.ndarray]:
+def solve_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 40, step: float = 0.5) -> tuple[dict[tuple, float], np.ndarray]:
     """Patterns ((index, pieces), ...) with how often each is used, fractional, and the dual solution.
 
     Multiplicative weights: a length weighs its share of a sequence, less the more of it is
     covered.  Each round prices a pattern through every length and uses it for ``step`` of what its
     scarcest length has left, so that no count is exceeded.  The dual solution is the best of
     the rounds' weights, scaled so that no pattern is worth more than one: what all counts are worth
-    is a lower bound on the sequences.
+    is a lower bound on the sequences.  Rounds end when what is left over adds less than GAP to it.
     """
     left, chosen, dual = counts.astype(float), {}, np.zeros(len(lengths))
     for _ in range(rounds):
@@ -244,25 +247,81 @@ def solve_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds
             chosen[key] = chosen.get(key, 0.0) + size
             for j, n in shape.items():
                 left[j] -= size * n
+        bound = float((dual * counts).sum())
+        if sum(chosen.values()) + float((dual * left).sum()) <= (1 + GAP) * bound and float((left * lengths).sum()) < GAP * capacity * bound:
+            break
     return chosen, dual
 
 
-def best_fit(left: dict[int, int], capacity: int) -> list[dict[int, int]]:
-    """Patterns of one sequence each: every piece, longest first, into the fullest that takes it."""
-    rooms: list[tuple[int, int]] = []
-    out: list[dict[int, int]] = []
+def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """(pattern, sequences): every piece, longest first, into the fullest that takes it.
+
+    Sequences of one content are handled together: the fullest that takes a piece goes on taking
+    pieces of its length until none fits, so each of a kind takes the same number.
+    """
+    rooms: list[int] = []  # ascending
+    kinds: dict[int, list[tuple[dict[int, int], int]]] = {}
+
+    def keep(room: int, pattern: dict[int, int], times: int) -> None:
+        if room not in kinds:
+            insort(rooms, room)
+            kinds[room] = []
+        kinds[room].append((pattern, times))
+
     for length in sorted(left, reverse=True):
-        for _ in range(left[length]):
-            k = bisect_left(rooms, (length, -1))
-            room, nth = rooms.pop(k) if k < len(rooms) else (capacity, len(out))
-            if nth == len(out):
-                out.append({})
-            out[nth][length] = out[nth].get(length, 0) + 1
-            insort(rooms, (room - length, nth))
-    return out
+        n = left[length]
+        while n:
+            at = bisect_left(rooms, length)
+            if at < len(rooms):
+                room = rooms[at]
+                pattern, times = kinds[room].pop()
+                if not kinds[room]:
+                    del kinds[room]
+                    rooms.pop(at)
+            else:
+                room, pattern, times = capacity, {}, -(-n // (capacity // length))
+            per = room // length
+            full = min(times, n // per)
+            if full:
+                keep(room - per * length, pattern | {length: pattern.get(length, 0) + per}, full)
+            n -= full * per
+            if full < times:  # fewer pieces are left than the next one holds
+                if n:
+                    keep(room - n * length, pattern | {length: n}, 1)
+                if times - full - bool(n):
+                    keep(room, pattern, times - full - bool(n))
+                n = 0
+    return [x for own in kinds.values() for x in own if x[0]]
+
+
+def _round_off(left: dict[int, int], capacity: int, rounds: int, floor: float, up: bool, programs: int | None) -> list[tuple[dict[int, int], int]]:
+    """(pattern, sequences) of one way to round: patterns worth ``floor`` of the mean, up or down, for so many programs, then best fit."""
+    left, out, done = dict(left), [], 0
+    while (programs is None or done < programs) and any(left.values()):
+        done += 1
+        live = sorted(k for k, n in left.items() if n)
+        chosen, dual = solve_program(np.asarray(live), np.asarray([left[k] for k in live]), capacity, rounds)
+        worth = {key: float(sum(dual[i] * n for i, n in key)) for key in chosen}
+        mean = sum(x * worth[key] for key, x in chosen.items()) / max(sum(chosen.values()), 1e-9)
+        before = len(out)
+        for key, x in sorted(chosen.items(), key=lambda s: -s[1]):
+            if worth[key] < floor * mean - 1e-9:
+                continue  # poor patterns only fill up the fractional solution; their pieces are for the next program
+            times = min(int(x) + up, *(int(left[live[i]] // n) for i, n in key))
+            if times:
+                out.append(({live[i]: n for i, n in key}, times))
+                for i, n in key:
+                    left[live[i]] -= n * times
+        if len(out) == before:
+            break
+    return out + best_fit({k: n for k, n in left.items() if n}, capacity)
+
+
+#: Ways to round a solution: share of the mean worth that a pattern must have, up or down, programs (None: until no pattern is left).
+WAYS = ((1.0, True, None), (1.0, False, 1), (1.0, False, 3), (0.0, False, 1), (0.0, False, 0))
 
 
-def plan_bins(histogram: dict[int, int], capacity: int, rounds: int = 12) -> list[tuple[int, int, int, int, int, int]]:
+def plan_bins(histogram: dict[int, int], capacity: int, rounds: int = 40) -> list[tuple[int, int, int, int, int, int]]:
     """Rows (length, rank_from, rank_to, per_bin, first_bin, offset): where ranks of a length go.
 
     The ranks [rank_from, rank_to) of ``length`` fill bins from ``first_bin`` on, ``per_bin``
@@ -272,34 +331,22 @@ def plan_bins(histogram: dict[int, int], capacity: int, rounds: int = 12) -> lis
     rank = dict.fromkeys(left, 0)
     rows: list[tuple[int, int, int, int, int, int]] = []
     bins = 0
-
-    def use(pattern: dict[int, int], times: int) -> None:
-        nonlocal bins
+    whole = [({capacity: 1}, left.pop(capacity))] if left.get(capacity) else []
+    least = -(-sum(k * n for k, n in left.items()) // capacity)
+    best: list[tuple[dict[int, int], int]] | None = None
+    for floor, up, programs in WAYS:
+        found = _round_off(left, capacity, rounds, floor, up, programs)
+        if best is None or sum(n for _, n in found) < sum(n for _, n in best):
+            best = found
+        if sum(n for _, n in best) <= least:
+            break  # no sequence is less than full but one
+    for pattern, times in whole + best:
         offset = 0
         for length, per in sorted(pattern.items(), reverse=True):
             rows.append((length, rank[length], rank[length] + per * times, per, bins, offset))
             rank[length] += per * times
-            left[length] -= per * times
             offset += per * length
         bins += times
-
-    if left.get(capacity):
-        use({capacity: 1}, left[capacity])
-    before = -1
-    while bins != before and any(left.values()):
-        before = bins
-        live = sorted(k for k, n in left.items() if n)
-        chosen, dual = solve_program(np.asarray(live), np.asarray([left[k] for k in live]), capacity, rounds)
-        worth = {key: float(sum(dual[i] * n for i, n in key)) for key in chosen}
-        mean = sum(x * worth[key] for key, x in chosen.items()) / max(sum(chosen.values()), 1e-9)
-        for key, x in sorted(chosen.items(), key=lambda s: -s[1]):
-            if worth[key] < mean - 1e-9:
-                continue  # poor patterns only fill up the fractional solution; their pieces are for the next program
-            times = min(int(x) + 1, *(int(left[live[i]] // n) for i, n in key))
-            if times:
-                use({live[i]: n for i, n in key}, times)
-    for pattern in best_fit(left, capacity):
-        use(pattern, 1)
     return rows
 
 
@@ -316,7 +363,7 @@ def _blocks(plan: list[tuple[int, int, int, int, int, int]], histogram: dict[int
     return size, [(r[0], k, *r[1:]) for r in plan for k in range(r[1] // size[r[0]], (r[2] - 1) // size[r[0]] + 1)]
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 2048, rounds: int = 12) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 2048, rounds: int = 40) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ids_crc32, ...); see the module's text.
 
     Pieces must not be longer than capacity and be durable: they are read three times.
@@ -351,7 +398,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, rounds: int = 12) -> Da
     return placed.select(*[c for c in keyed.columns if c != "_pack_bucket"], sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, rounds: int = 12, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, rounds: int = 40, keep_ids: bool = False) -> DataFrame:
     """Tokenise (null text: empty), cut what is longer than capacity, and pack.  Other columns are not looked at.
 
     Every document, the empty one too, has at least its end id, so it is a piece.

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 from conftest import DOCS, SF
+from pyspark.sql import functions as F
 
 from footing.llm import jaccard
 from footing.llm.queries import op10_jaccard_join
@@ -126,4 +127,36 @@ def test_hot_keys_change_nothing(spark, monkeypatch):
     seen = []
     inner = jaccard._hot_keys
     monkeypatch.setattr(jaccard, "_hot_keys", lambda keys: seen.append(inner(keys)) or seen[-1])
-    assert rows(jaccard.jaccard_components(docs)) == plain and len(seen[0]) > 20
+    assert rows(jaccard.jaccard_components(docs)) == plain and seen[0].count() > 20
+
+
+def test_rows_without_ids_take_no_longer(spark):
+    """Near copies whose ids are null or shared: the same links, and each text read as often as with ids of its own."""
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*words[:57], f"x{k}", *words[58:]]) for k in range(300)]
+    whole = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for ids in (F.lit(None).cast("long"), F.lit(7).cast("long"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id"))):
+        docs = whole.withColumn("doc_id", ids)
+        got = jaccard.jaccard_components(docs).collect()
+        assert len(got) == 300 and len({r["component_id"] for r in got}) == 1
+        assert got[0]["component_id"] == min((r["doc_id"] for r in docs.collect() if r["doc_id"] is not None), default=None)
+
+
+def test_a_text_is_read_once_for_each_set(spark, monkeypatch):
+    """Whichever ids rows have, as many rows reach the sets' reader as there are texts that stand for one."""
+    docs = spark.createDataFrame([(None, f"a b c d e f g h i j k l m n o p q r s t u v w x y{k % 5}") for k in range(200)], "doc_id long, text string")
+    source = docs.select("doc_id", F.col("text").cast("binary").alias("body"), F.xxhash64(F.col("text").cast("binary")).alias("text_key"))
+    sketches = source.mapInArrow(jaccard._sketch(5, jaccard.Bounds()), jaccard.SKETCH)
+    nodes = sketches.select("node").distinct()
+    read = source.join(sketches.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("r")), F.col("r.text_key") == F.col("text_key")).count()
+    assert nodes.count() == 5 and read == 200 and jaccard._candidate_sets(sketches, nodes, source, 5).count() == 5
+
+
+def test_absolute_bound_of_hot_keys(spark, monkeypatch):
+    """However large the input, a key of more rows than the bound is told apart."""
+    keys = spark.range(200_000).select(F.when(F.col("id") % 100 == 0, 1).otherwise(F.col("id") + 2).alias("key"), F.col("id").alias("node"))
+    monkeypatch.setattr(jaccard, "HOT", 0.9)
+    monkeypatch.setattr(jaccard, "HOT_LEAST", 5)
+    assert jaccard._hot_keys(keys) is None
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 640)
+    assert [r["key"] for r in jaccard._hot_keys(keys).collect()] == [1]

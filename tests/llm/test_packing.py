@@ -1,6 +1,10 @@
 import zlib
 
+from bisect import bisect_left, insort
+from collections import Counter
+
 import numpy as np
+import pytest
 import public_tokenizers
 from conftest import SF
 from tokenizers import Tokenizer
@@ -78,7 +82,7 @@ def test_program_against_best_fit_and_the_bound(spark):
         histogram = {k: n * times for k, n in own.items()}
         bins = sequences(packing.plan_bins(histogram, 2048))
         bound = -(-sum(k * n for k, n in histogram.items()) // 2048)
-        assert bins <= len(packing.best_fit(histogram, 2048))
+        assert bins <= sum(n for _, n in packing.best_fit(histogram, 2048))
         assert bins <= bound * 1.001 + 1
     # lengths over a third of the capacity: here the bound is not the sum of the lengths
     rng = np.random.default_rng(5)
@@ -87,7 +91,40 @@ def test_program_against_best_fit_and_the_bound(spark):
     counts = np.asarray([histogram[k] for k in live])
     bound = (packing.solve_program(live, counts, 100, 40)[1] * counts).sum()
     bins = sequences(packing.plan_bins(histogram, 100))
-    assert bound <= bins <= len(packing.best_fit(histogram, 100))
+    assert bound <= bins <= sum(n for _, n in packing.best_fit(histogram, 100))
+
+
+def plain_best_fit(histogram, capacity):
+    """Piece by piece, the longest first, into the fullest sequence that takes it."""
+    rooms, n = [], 0
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            k = bisect_left(rooms, length)
+            room = rooms.pop(k) if k < len(rooms) else capacity
+            n += room == capacity
+            insort(rooms, room - length)
+    return n
+
+
+HISTOGRAMS = {
+    "uniform, few": lambda rng: rng.integers(1, 2049, 2000), "uniform, many": lambda rng: rng.integers(1, 2049, 20_000), "six lengths": lambda rng: rng.choice([1367, 1025, 684, 683, 342, 341], 10_000),
+    "middling": lambda rng: rng.integers(500, 1101, 5000), "log-normal": lambda rng: np.clip(rng.lognormal(6.5, 1, 10_000), 1, 2048).astype(int), "one length": lambda rng: np.full(5000, 700), "tiny": lambda rng: rng.integers(1, 2049, 3),
+}
+
+
+@pytest.mark.parametrize("name", HISTOGRAMS)
+def test_never_more_than_best_fit(name):
+    histogram = dict(Counter(HISTOGRAMS[name](np.random.default_rng(7)).tolist()))
+    want = plain_best_fit(histogram, 2048)
+    assert sum(n for _, n in packing.best_fit(histogram, 2048)) == want
+    assert -(-sum(k * n for k, n in histogram.items()) // 2048) <= sequences(packing.plan_bins(histogram, 2048)) <= want
+
+
+def test_counts_of_a_large_corpus_take_no_longer():
+    """A hundred million pieces a length: the plan's size depends on the lengths alone."""
+    histogram = {int(k): 100_000_000 for k in np.random.default_rng(2).integers(1, 2049, 300)}
+    rows = packing.plan_bins(histogram, 2048)
+    assert len(rows) < 50_000 and sequences(rows) >= sum(k * n for k, n in histogram.items()) // 2048
 
 
 def test_only_little_is_left_to_best_fit(spark, monkeypatch):
