@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -72,6 +73,9 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|
 _SPACE = re.compile(r"\s+")
 CONTAINERS = (BLOCK | {"td", "th"}) - {"p"}
 _ROOT = re.compile(r"<(?:article|main)", re.I | re.A)
+#: What a form that wraps a whole page holds, and forms' ends.
+_PARTS = re.compile(r"<(?:article|main|nav|header|footer|aside|h1)(?=[\s/>])", re.I | re.A)
+_FORM_END = re.compile(r"</form(?=[\s/>]|\Z)", re.I | re.A)
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I | re.A) for name in RAW}
 
 
@@ -105,6 +109,21 @@ def _unwanted(name: str, attributes: dict[str, str], inside: bool) -> bool:
     return name not in ("html", "body", "article", "main") and bool(marks & MARKS) and not marks & OWN
 
 
+def _wrapping(page: str):
+    """Whether a form that starts at a place wraps parts of the page, which no form that is filled in has.
+
+    Places are found once, so that many forms, closed or not, cost no more than the page is long.
+    """
+    parts = [m.start() for m in _PARTS.finditer(page)]
+    ends = [m.start() for m in _FORM_END.finditer(page)]
+
+    def wraps(at: int) -> bool:
+        k, e = bisect_left(parts, at), bisect_left(ends, at)
+        return k < len(parts) and (e == len(ends) or parts[k] < ends[e])
+
+    return wraps
+
+
 def _markup(page: str) -> Iterator[tuple[str, str, int]]:
     """(text before, tag, place after it) of every tag, comment or declaration; last the rest with no tag.
 
@@ -136,7 +155,10 @@ def parse(page: str, templates: frozenset[int] = frozenset(), host: str = "", ro
     Without an article or main element the whole body counts as the article.  So it does where
     they are only named in scripts, comments or other elements' names, or stand in a dropped
     element: the page is then read again.  Plain blocks are not deleted when no other text is left.
+    A form that wraps parts of the page (its headers, its article) is no form, as server-side pages put
+    one around all they have; what is filled in within it is still left out.
     """
+    wraps = None
     if rooted is None:
         rooted = _ROOT.search(page) is not None
     opened = False
@@ -232,7 +254,10 @@ def parse(page: str, templates: frozenset[int] = frozenset(), host: str = "", ro
         places[name].append(len(stack))
         if name in CONTAINERS:
             places["*"].append(len(stack))
-        stack.append(_Open(name, top.dropped or _unwanted(name, attributes, inside), inside, bool(attributes), parts, len(blocks), name == "a"))
+        if name == "form" and wraps is None:
+            wraps = _wrapping(page)
+        around = name == "form" and wraps(at)
+        stack.append(_Open(name, top.dropped or _unwanted("div" if around else name, attributes, inside), inside, bool(attributes), parts, len(blocks), name == "a"))
         opened |= name in ("article", "main") and not stack[-1].dropped
     close_to(1)
     flush()
@@ -262,8 +287,8 @@ class Often:
     plain_share: float = 0.95
 
 
-def site_templates(pages: DataFrame, often: Often = Often()) -> DataFrame:
-    """host, hashes: the subtrees that recur on a host's pages, as :class:`Often` says.
+def recurring(pages: DataFrame, often: Often = Often()) -> DataFrame:
+    """host, hash: the subtrees that recur on a host's pages, as :class:`Often` says.
 
     Pages of one host with the same blocks count once.  Pages without a host have no
     templates; null and empty pages count as one page without blocks.
@@ -286,8 +311,30 @@ def site_templates(pages: DataFrame, often: Often = Often()) -> DataFrame:
     totals = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
     n, plain = F.col("n"), F.col("hash").bitwiseAND(F.lit(1)) == 1
     recurs = F.when(plain, (n >= often.plain_least) & (n >= F.col("pages") * often.plain_share)).otherwise((n >= F.col("pages") * often.share) | (n >= often.enough))
-    found = counts.where("hash <> 0").join(totals, "host").where(recurs)
-    return durable(found.groupBy("host").agg(F.collect_list("hash").alias("hashes")), "templates")
+    return durable(counts.where("hash <> 0").join(totals, "host").where(recurs).select("host", "hash"), "templates")
+
+
+def site_templates(pages: DataFrame, often: Often = Often()) -> DataFrame:
+    """host, hashes: :func:`recurring` as one list a host, for hosts whose lists are known to be small."""
+    return recurring(pages, often).groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+
+
+def _own_templates(hosted: DataFrame, templates: DataFrame) -> DataFrame:
+    """key, hashes: of each page the templates among its own subtrees, so that no list is longer than a page.
+
+    Pages are told by a hash of what they hold; equal pages share a row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[*parse(page.as_py(), host=host)[1]] for host, page in zip(batch.column(1).to_pylist(), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["key", "host", "hashes"])
+
+    each = hosted.where("host <> ''").select("key", "host", "html").mapInArrow(run, "key long, host string, hashes array<long>")
+    subtrees = each.select("key", "host", F.explode("hashes").alias("hash")).distinct()
+    return subtrees.join(templates, ["host", "hash"]).groupBy("key").agg(F.collect_list("hash").alias("hashes"))
+
+
 
 
 def extract_pages(pages: DataFrame, often: Often = Often()) -> DataFrame:
@@ -298,18 +345,22 @@ def extract_pages(pages: DataFrame, often: Often = Often()) -> DataFrame:
     have the empty text.  Null ids and urls stay; repeated rows each have a row; columns
     other than page_id, url and html are not looked at.
     """
-    templates = site_templates(pages, often)
-    known = templates.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    # broadcast only when small; beyond that the join shuffles, and AQE splits hot hosts
-    side = F.broadcast(templates) if known <= BROADCAST_HASHES else templates
-    joined = _hosted(pages).join(side, "host", "left").select("page_id", "url", "host", "html", "hashes")
+    templates, hosted = recurring(pages, often), _hosted(pages)
+    shared = templates.count() <= BROADCAST_HASHES
+    if shared:
+        # all hosts' lists together are small: one a host goes to every task
+        lists = templates.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+        joined = hosted.join(F.broadcast(lists), "host", "left").select("page_id", "url", "host", "html", "hashes")
+    else:
+        keyed = hosted.withColumn("key", F.xxhash64("host", "html"))
+        joined = keyed.join(_own_templates(keyed, templates), "key", "left").select("page_id", "url", "host", "html", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, frozenset[int]] = {}
         for batch in batches:
             texts = []
             for k, host in enumerate(batch.column(2).to_pylist()):
-                if host not in kept:
+                if host not in kept or not shared:
                     if len(kept) > 10_000:
                         kept.clear()
                     kept[host] = frozenset(batch.column(4)[k].as_py() or ())

@@ -4,6 +4,8 @@ import time
 
 from conftest import SF
 
+from pyspark.sql import functions as F
+
 from footing.llm import html
 from footing.llm.queries import op5_html_extraction
 
@@ -147,3 +149,42 @@ def test_hostile_pages_take_linear_time():
     began = time.time()
     html.parse("<a " * 200_000)
     assert time.time() - began < 1
+
+
+def test_a_form_around_the_page_is_no_form():
+    page = (
+        "<html><body><form id=aspnetForm action=x><input type=hidden value=1><nav>Site</nav><h1>Title</h1><p>Real text.</p>"
+        "<form><label>Search</label><input></form><div><p>More.</p></div><button>Send</button><footer>Legal</footer></form></body></html>"
+    )
+    blocks, _ = html.parse(page)
+    assert "Title" in blocks and "Real text." in blocks and not {"Site", "Legal", "Send", "Search"} & set(blocks)
+    # a form that is filled in has no such parts
+    assert html.parse("<body><p>Text.</p><form><p>Your name</p><input></form></body>")[0] == ["Text."]
+    # in an article, too, and never closed
+    assert html.parse("<form><article><p>Inside.</p></article>")[0] == ["Inside."]
+
+
+def test_many_open_forms_take_no_time():
+    import time
+
+    began = time.time()
+    html.parse("<form>" * 20_000 + "<p>x</p>" + "<nav>" * 2000)
+    assert time.time() - began < 5
+
+
+def test_templates_by_page_equal_templates_by_host(spark, monkeypatch):
+    """A large host with as many templates as it likes: no list is longer than a page, and texts are the same."""
+    rows = []
+    for k in range(600):
+        section = f"<div class=box{k % 10}><a href=/s{k % 10}>Section {k % 10}</a> words of it</div>"
+        rows.append((k, f"http://big.example/{k}", f"<html><body><div><a href=/>Home</a></div>{section}<p>Text {k} of its own.</p></body></html>"))
+    rows += [(1000 + k, None, None) for k in range(3)] + [(2000, "http://small.example/", "<p>alone</p>"), rows[5]]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    shared = sorted(map(tuple, html.extract_pages(pages).collect()), key=str)
+    monkeypatch.setattr(html, "BROADCAST_HASHES", 0)
+    assert sorted(map(tuple, html.extract_pages(pages).collect()), key=str) == shared
+    assert dict((r[0], r[2]) for r in shared)[17] == "Text 17 of its own."
+    templates = html.recurring(pages)
+    assert templates.where("host = 'big.example'").count() >= 10
+    keyed = html._hosted(pages).withColumn("key", F.xxhash64("host", "html"))
+    assert html._own_templates(keyed, templates).agg(F.max(F.size("hashes"))).first()[0] <= 4
