@@ -175,13 +175,28 @@ def two_templates(o: Orders) -> DataFrame:
     return together(rows)
 
 
+def statement_grid(o: Orders) -> DataFrame:
+    """The second template of two: a patient's first charge bears its cells, further ones a piece of its number, which wraps."""
+    number = F.col("k") + 1_000_000
+    rows = page_of(o.sums, 1, ("ACCOUNT NUMBER   INVOICE NUMBER   DATE",), ("  123456  ", number, "  01/31/26  1",), ("   9999999   $7.00   Need invoice",), ("   ", number, "   $", shown("s"), "   ____"))
+    rows += page_of(o.sums, 2, ("   *  *  *   CURRENT PERIOD ACTIVITY   *  *  *",), ("  DATE     ITEM/PATIENT      NUMBER     DESCRIPTION      CODES    AMOUNT",))
+    items = o.items.withColumn("r", F.row_number().over(Window.partitionBy("k", "f").orderBy("n")))
+    at = F.ascii("f") * 100 + F.col("n") * 2
+    charge = ("D", F.col("p"), " Part ", F.col("p"))
+    rows.append(line(items.where("r = 1"), 2, at, "  01/02/24 DOE JOHN   ACC", F.col("f"), "   ", *charge, "    *MB    ", shown("v")))
+    rows.append(line(items.where("r > 1"), 2, at, " " * 11, F.rpad(F.concat(L("X"), F.col("p").cast("string")), 18, " "), *charge, "    MB    ", shown("v")))
+    rows.append(line(items.where("r > 1"), 2, at + 1, " " * 11, "Y", F.col("p")))
+    rows += page_of(o.sums, 3, ("     Current Period Subtotal    ", shown("s")), ("     CURRENT PERIOD TOTAL    ", shown(F.col("s") + F.col("off"))))
+    return together(rows)
+
+
 #: Layout -> how it is printed.
 PRINTED: dict[str, Callable[[Orders], DataFrame]] = {f.__name__: f for f in (rate_table, two_fees, unit_rates, sections, summary_and_detail, regrouped, two_templates)}
 
 
-def read_back(lineitem: DataFrame, name: str, texts: tuple[str, ...]) -> DataFrame:
+def read_back(lineitem: DataFrame, name: str, texts: tuple[str, ...], how: Callable[[Orders], DataFrame] | None = None) -> DataFrame:
     """doc_id, identity, verified, depth, items, computed_total, size (characters of the items' ``texts``) of printed invoices."""
-    out = layouts.run(durable(PRINTED[name](Orders(lineitem)), "printed"), layout(name))
+    out = layouts.run(durable((how or PRINTED[name])(Orders(lineitem)), "printed"), layout(name))
     size = sum((F.length(F.coalesce(t, L(""))) for t in texts), L(0))
     items = out["items"].groupBy("doc_id").agg(F.sum(size).alias("size"))
     verdict = out["verdicts"].select("doc_id", "verified", "depth", "items", "computed_total")

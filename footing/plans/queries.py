@@ -622,6 +622,20 @@ def layout_two_templates(spark, sf_dir):
     return printed.read_back(table(spark, sf_dir, "lineitem"), "two_templates", texts)
 
 
+@query("""
+WITH x AS (SELECT l_orderkey k, l_partkey pk, CAST(l_partkey AS VARCHAR) p, l_returnflag f, CAST(l_extendedprice AS DECIMAL(18,2)) v,
+  row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_partkey, CAST(l_extendedprice AS DECIMAL(18,2)), CAST(l_quantity AS BIGINT)) AS r FROM lineitem),
+g AS (SELECT k, f, sum(CASE WHEN r > 1 THEN length('X' || p || 'Y' || p) ELSE 0 END) + greatest(2 * (count(*) - 1) - 1, 0) AS pieces FROM x GROUP BY 1, 2),
+s AS (SELECT k, count(*) n, sum(v) v, sum(length('DOE JOHN' || '01/02/24' || 'ACC' || f || 'D' || p || 'Part ' || p || 'MB')) AS size FROM x GROUP BY 1)
+SELECT s.k AS doc_id, (s.k + 1000000) || '|123456' AS identity, s.k % 10 <> 3 AS verified, CAST(CASE WHEN s.k % 10 = 3 THEN 2 ELSE 3 END AS BIGINT) AS depth, s.n AS items, CAST(s.v AS DECIMAL(18,2)) AS computed_total,
+  CAST(s.size + (SELECT sum(pieces) FROM g WHERE g.k = s.k) AS BIGINT) AS size FROM s
+""")
+def layout_statement_grid(spark, sf_dir):
+    """The second template: patients' cells carried down the grid, wrapped pieces gathered, and the stub of the document's own number."""
+    texts = ("donor", "service_date", "accession", "code", "description", "lab_code", "patient_detail")
+    return printed.read_back(table(spark, sf_dir, "lineitem"), "two_templates", texts, printed.statement_grid)
+
+
 def _section_run(spark, sf_dir) -> dict[str, DataFrame]:
     return layouts.run(durable(printed.sections(printed.Orders(table(spark, sf_dir, "lineitem"))), "printed"), layouts.SECTIONS)
 
@@ -779,3 +793,172 @@ def column_buckets(spark, sf_dir):
     line = F.concat(F.expr("repeat(' ', int(l_linenumber) * 3)"), F.lit("QTY"), F.expr("repeat(' ', int(l_quantity))"), F.lit("TOTAL"))
     placed = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), T.buckets(line).alias("b")).where(F.size("b") > 1)
     return placed.select("k", "n", F.array_join(F.transform("b", lambda x: x.cast("string")), ",").alias("places"))
+
+
+# ---- the rest of the operators, each on its own
+
+
+@query("""
+WITH h AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, g ORDER BY turn) AS nth FROM h WHERE g > 0)
+SELECT conv_id, min(turn) AS turn, sha256(string_agg(text, ' ' ORDER BY turn)) AS folded, count(*) AS n_lines FROM r WHERE nth <= 2 GROUP BY conv_id, g
+""")
+def fold_first_continuation(spark, sf_dir):
+    out = folds.fold_wrapped(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], F.col("role") == "user", "text", first_only=True)
+    return out.select("conv_id", "at.turn", F.sha2(F.col("text").cast("binary"), 256).alias("folded"), "n_lines")
+
+
+_WORDS_OF_TEXT = "coalesce(list_aggregate(list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z#/]{2,}'), lambda x: upper(x)))), 'string_agg', ','), '')"
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, substring(sha256(source || '|' || {_WORDS_OF_TEXT}), 1, 16) AS signature FROM documents)
+SELECT signature, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS documents FROM s GROUP BY 1
+""")
+def signature_clusters(spark, sf_dir):
+    """Documents of one source and vocabulary, over whole texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.signature(F.col("source"), F.coalesce("text", F.lit(""))).alias("signature"))
+    return profiles.clusters(docs).select("signature", "n", F.array_join(F.transform("documents", lambda d: d.cast("string")), ",").alias("documents"))
+
+
+@query(_LINES_SQL + "SELECT doc_id, 'p1:' || max(line_no) AS place FROM l GROUP BY 1")
+def row_locations(spark, sf_dir):
+    last = _lines(spark, sf_dir).groupBy("doc_id").agg(F.max(F.struct("page", "line_no")).alias("at"))
+    return last.select("doc_id", rules.location(F.col("at.page"), F.col("at.line_no")).alias("place"))
+
+
+_REASON_SQL = f"""
+t AS (SELECT doc_id, coalesce(text, '') AS x, CAST(length(replace(replace(coalesce(text, ''), ' ', ''), chr(9), '')) AS DOUBLE) AS chars FROM documents),
+j AS (SELECT doc_id, x, chars, ({" + ".join(f"CAST(contains(upper(x), '{w}') AS INTEGER)" for w in T.ANCHORS)}) >= 2 AS anchors, {" OR ".join(f"regexp_matches(x, '{p}')" for p in T.ANNOTATIONS)} AS signs FROM t),
+w AS (SELECT doc_id, x, chars, CASE WHEN regexp_matches(x, '\S') AND NOT anchors AND (signs OR chars < {T.UNANCHORED}) THEN 'annotation-only text layer' WHEN chars < {T.READABLE} THEN 'no usable text layer' WHEN NOT anchors THEN 'no invoice vocabulary' END AS reason FROM j)
+"""
+
+
+def _layers(spark, sf_dir) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), T.density(text).cast("double").alias("chars_per_page"))
+
+
+@query("WITH " + _REASON_SQL + "SELECT doc_id, reason FROM w")
+def usable_text(spark, sf_dir):
+    return _layers(spark, sf_dir).select("doc_id", D.unusable_reason(F.col("text"), F.col("chars_per_page")).alias("reason"))
+
+
+@query("WITH " + _REASON_SQL + """
+SELECT doc_id, sha256(CASE WHEN reason IS NOT NULL AND doc_id % 3 = 0 THEN 'INVOICE TOTAL ' || repeat('word ', 99) || x ELSE x END) AS text,
+  CASE WHEN reason IS NULL THEN NULL WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN reason || '; recognition failed: engine' ELSE reason || '; recognition failed: not tried' END AS reason FROM w
+""")
+def load_with_escalation(spark, sf_dir):
+    """Text layers, then recognised texts of a third, failures of another; the last third was not tried."""
+    first = _layers(spark, sf_dir)
+    good = F.concat(F.lit("INVOICE TOTAL "), F.expr("repeat('word ', 99)"), F.col("text"))
+    second = first.where("doc_id % 3 < 2").select("doc_id", F.when(F.col("doc_id") % 3 == 0, good).alias("text"), F.lit(500.0).alias("chars_per_page"), F.when(F.col("doc_id") % 3 == 1, "engine").alias("error"))
+    return D.escalate(first, second).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text"), "reason")
+
+
+@query("""
+WITH o AS (SELECT o_orderkey k, CAST(o_totalprice AS DECIMAL(18,2)) v FROM orders)
+SELECT k AS doc_id, x.label, x.priority, CAST(x.v AS DECIMAL(18,2)) AS value FROM o, LATERAL (SELECT * FROM (VALUES ('grand total', 1, v), ('sub total', 2, v - 1.00), ('balance due', 3, v)) y(label, priority, v)) x
+""")
+def total_labels_ranked(spark, sf_dir):
+    """Printed totals by label: the likeliest first; balances of the account and labels right of their amounts are none."""
+    v = F.col("o_totalprice").cast(AMOUNT)
+    shown = lambda c: F.format_number(c.cast(AMOUNT), 2)
+    texts = [F.concat(F.lit("Grand   Total  $"), shown(v)), F.concat(F.lit("Sub Total  "), shown(v - 1)), F.concat(F.lit("Balance Due: $"), shown(v)), F.concat(F.lit("Account Balance Total $"), shown(v)), F.concat(F.lit("$"), shown(v), F.lit("  invoice total"))]
+    lines = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.posexplode(F.array(*texts)).alias("line_no", "line"))
+    return discover.total_candidates(lines).select("doc_id", "label", "priority", "value")
+
+
+@query("SELECT o_orderkey AS doc_id, x.marker, CAST(x.line_no AS INTEGER) AS line_no FROM orders, LATERAL (SELECT * FROM (VALUES ('Detail of charges', 0), ('Summary', 2), ('by county type', 4), ('programs ' || o_orderkey, 5)) y(marker, line_no)) x")
+def restatement_markers(spark, sf_dir):
+    """Short lines that announce a copy of the charges: each once, none with an amount, none too long."""
+    texts = [F.lit("Detail of charges"), F.concat(F.lit("Summary $"), F.format_number(F.col("o_totalprice").cast(AMOUNT), 2)), F.lit("  Summary "), F.lit("Summary"), F.lit("by county type"), F.concat(F.lit("programs "), F.col("o_orderkey")), F.concat(F.lit("recap "), F.expr("repeat('x', 60)"))]
+    lines = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.posexplode(F.array(*texts)).alias("line_no", "line"))
+    return discover.markers(lines).select("doc_id", "marker", "at.line_no")
+
+
+@query(_LINES_SQL + f"""
+, s AS (SELECT doc_id, line_no, regexp_replace(line, '\s+$', '') AS line, {_hits_sql(discover.COLUMN_HINTS)} AS score FROM l)
+SELECT line, max(score) AS score FROM s WHERE score >= 2 GROUP BY 1 ORDER BY 2 DESC, min((doc_id, line_no)) LIMIT 8
+""")
+def header_candidate_lines(spark, sf_dir):
+    return discover.header_candidates(_lines(spark, sf_dir))
+
+
+@query(_VERSIONS_SQL + "SELECT DISTINCT identity FROM v WHERE trim(identity) <> '' AND (seq % 3 = 0 OR seq % 5 = 0)")
+def identities_known(spark, sf_dir):
+    v = _versions(spark, sf_dir)
+    return D.known_identities(v.where("seq % 3 = 0"), v.where("seq % 5 = 0"))
+
+
+@query(_ARMS_SQL + """
+, d AS (SELECT s, max(CASE WHEN status = 'pass' THEN 1 ELSE 0 END) depth, count(*) FILTER (WHERE status <> 'pass') bad FROM r GROUP BY s)
+SELECT count(*) AS n, count(*) FILTER (WHERE depth = 1 AND bad = 0) AS verified, count(*) FILTER (WHERE depth = 1 AND bad = 0) AS shallow, 7 AS recognised, CAST(0 AS BIGINT) AS advisory FROM d
+""")
+def run_totals(spark, sf_dir):
+    rows = _arms(spark, sf_dir)
+    results = ladder.reconcile(rows, _ARM_CHECKS)
+    return sinks.run_summary(ladder.verdicts(rows, results), results, recognised=7).drop("computed_total")
+
+
+@query(_ARMS_SQL + """
+, d AS (SELECT s, max(CASE WHEN status = 'pass' THEN 1 ELSE 0 END) depth, count(*) FILTER (WHERE status <> 'pass') bad FROM r GROUP BY s), f AS (SELECT s FROM d WHERE depth = 0 OR bad > 0)
+SELECT CAST(lpad(CAST(s AS VARCHAR), 9, '0') AS VARCHAR) AS identity, (SELECT count(*) FROM d) AS records, (SELECT count(*) FROM f) AS flagged FROM f ORDER BY 1 LIMIT 20
+""")
+def folder_flags(spark, sf_dir):
+    """What a folder's report says: counts, and the first flagged records by identity."""
+    rows = _arms(spark, sf_dir)
+    verdicts = ladder.verdicts(rows, ladder.reconcile(rows, _ARM_CHECKS)).select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("identity"), "verified")
+    counts, flagged = sinks.folder_status(table(spark, sf_dir, "supplier"), verdicts)
+    return flagged.select("identity").crossJoin(F.broadcast(counts.select("records", "flagged")))  # one row
+
+
+@query(_LINES_SQL + r"""
+, f AS (SELECT doc_id, line_no, line, lead(line, 2) OVER w AS second FROM l WHERE regexp_matches(line, '\S') WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+r AS (SELECT doc_id, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS raw FROM l)
+SELECT doc_id, a.second, b.raw FROM (SELECT doc_id, CAST(coalesce(sum(length(second)), 0) AS BIGINT) AS second FROM f GROUP BY 1) a JOIN (SELECT doc_id, CAST(coalesce(sum(length(raw)), 0) AS BIGINT) AS raw FROM r GROUP BY 1) b USING (doc_id)
+""")
+def looks_along_lines(spark, sf_dir):
+    """The second non-blank line further down, and the line above as it stands."""
+    lines = _lines(spark, sf_dir)
+    second = lines.where(~T.is_blank(F.col("line"))).withColumn("x", folds.filled(F.col("line"), steps=2)).groupBy("doc_id").agg(F.coalesce(F.sum(F.length("x")), F.lit(0)).cast("long").alias("second"))
+    raw = lines.withColumn("x", folds.raw_line(F.col("line"), steps=-1)).groupBy("doc_id").agg(F.coalesce(F.sum(F.length("x")), F.lit(0)).cast("long").alias("raw"))
+    return second.join(raw, "doc_id")
+
+
+@query("""
+WITH e AS (SELECT *, event_id // 50 AS page FROM events), a AS (SELECT event_id, page, last_value(CASE WHEN event_type = 'purchase' THEN {'p': page, 'v': CAST(value AS DECIMAL(18,2))} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS x FROM e)
+SELECT event_id, CASE WHEN x.p = page THEN x.v END AS v FROM a
+""")
+def asof_on_page(spark, sf_dir):
+    ev = _events(spark, sf_dir).withColumn("page", F.floor(F.col("event_id") / 50).cast("int"))
+    return ev.select("event_id", folds.last_of_on_page(["purchase"], F.col("v"), folds.ordered(["doc_id"], ["line_no"]), "line").alias("v"))
+
+
+@query("""
+WITH d AS (SELECT lang || '/' || n_chars % 9 AS signature, source AS spec, lpad(CAST(doc_id AS VARCHAR), 9, '0') AS bound_at, doc_id FROM documents WHERE lang IS NOT NULL AND n_chars IS NOT NULL),
+a AS (SELECT signature, arg_min(spec, bound_at) AS spec, min(bound_at) AS bound_at FROM d WHERE doc_id % 2 = 0 GROUP BY 1), b AS (SELECT signature, arg_min(spec, bound_at) AS spec, min(bound_at) AS bound_at FROM d WHERE doc_id % 2 = 1 AND signature NOT IN (SELECT signature FROM a) GROUP BY 1)
+SELECT * FROM a UNION ALL SELECT * FROM b
+""")
+def bindings_upserted(spark, sf_dir):
+    """Bindings of two runs: what the first bound stays, the second adds what is new."""
+    docs = table(spark, sf_dir, "documents").where("lang is not null and n_chars is not null")
+    seen = docs.select(F.concat("lang", F.lit("/"), (F.col("n_chars") % 9).cast("string")).alias("signature"), F.col("source").alias("spec"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("bound_at"), F.lit("").alias("notes"), "doc_id")
+    first = state.bind(seen.drop("doc_id").limit(0), seen.where("doc_id % 2 = 0").drop("doc_id"))
+    return state.bind(first, seen.where("doc_id % 2 = 1").drop("doc_id")).drop("notes")
+
+
+@query("SELECT o_orderkey AS k, o_orderstatus AS status, 'a: ' || o_orderkey AS title, CAST(2 AS INTEGER) AS n FROM orders")
+def metadata_map(spark, sf_dir):
+    """Lines of key and value: parted at the first colon, the later of equal keys wins."""
+    text = F.concat(F.lit("Status: no\nnothing\nTitle:  a: "), F.col("o_orderkey"), F.lit("\nStatus:"), F.col("o_orderstatus"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), D.parse_metadata(text).alias("m")).select("k", F.col("m")["Status"].alias("status"), F.col("m")["Title"].alias("title"), F.size("m").alias("n"))
+
+
+@query("SELECT l_suppkey AS s, count(*) AS rows, CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS BIGINT) AS bound FROM lineitem GROUP BY 1 HAVING count(*) FILTER (WHERE l_returnflag = 'R') > 0")
+def bound_to_another_layout(spark, sf_dir):
+    """Documents (items) whose signature (flag) is bound to another rule set than the one of this run."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("signature"))
+    bindings = items.select("signature").distinct().withColumn("spec", F.when(F.col("signature") == "R", "other").otherwise("own"))
+    elsewhere = state.bound_elsewhere(items, bindings, "own").groupBy("s").agg(F.count(F.lit(1)).alias("bound"))
+    return elsewhere.join(items.groupBy("s").agg(F.count(F.lit(1)).alias("rows")), "s")
