@@ -844,6 +844,28 @@ def usable_text(spark, sf_dir):
     return _layers(spark, sf_dir).select("doc_id", D.unusable_reason(F.col("text"), F.col("chars_per_page")).alias("reason"))
 
 
+@query("SELECT o_orderkey AS doc_id FROM orders WHERE o_orderkey % 3 = 0")
+def usable_documents(spark, sf_dir):
+    """Of three kinds of documents, told line by line: an invoice, one that is nearly empty, and a dense one without any of its words."""
+    kind = F.col("o_orderkey") % 3
+    texts = [F.when(kind == 2, "a letter").otherwise("INVOICE"), F.when(kind == 1, "x").otherwise(F.expr("repeat('many words ', 40)")), F.when(kind == 2, "so long").otherwise("balance due")]
+    lines = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.posexplode(F.array(*texts)).alias("line_no", "line"))
+    return discover.usable_documents(lines)
+
+
+@query("""
+SELECT o_orderkey AS doc_id, s.strategy, a.aggregate, 'grand total' AS total_label, CAST(o_totalprice AS DECIMAL(18,2)) AS computed, CAST(1 AS BIGINT) AS n_rows
+FROM orders, (VALUES ('starred')) s(strategy), (VALUES ('first_money')) a(aggregate) WHERE o_totalprice <> 1 AND o_totalprice <> 2
+""")
+def search_with_own_tables(spark, sf_dir):
+    """A selector and an aggregate of the caller's: starred rows, their first amounts."""
+    shown = F.format_number(F.col("o_totalprice").cast(AMOUNT), 2)
+    texts = [F.concat(F.lit("* row "), shown, F.lit("  1.00")), F.lit("  other  2.00"), F.concat(F.lit("Grand Total  "), shown)]
+    lines = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.posexplode(F.array(*texts)).alias("line_no", "line"))
+    found = discover.search(lines, discover.total_candidates(lines), {"starred": lambda line, amounts: line.startswith("*")}, {"first_money": lambda amounts: F.get(amounts, F.lit(0))})
+    return found.where("strategy = 'starred' and aggregate = 'first_money'").select("doc_id", "strategy", "aggregate", "total_label", "computed", "n_rows")
+
+
 @query("WITH " + _REASON_SQL + """
 SELECT doc_id, sha256(CASE WHEN reason IS NOT NULL AND doc_id % 3 = 0 THEN 'INVOICE TOTAL ' || repeat('word ', 99) || x ELSE x END) AS text,
   CASE WHEN reason IS NULL THEN NULL WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN reason || '; recognition failed: engine' ELSE reason || '; recognition failed: not tried' END AS reason FROM w
