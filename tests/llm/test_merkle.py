@@ -2,10 +2,10 @@ import hashlib
 from collections import defaultdict
 
 import pytest
+from conftest import DOCS
 from pyspark.sql import functions as F
 
 from footing.llm import merkle, queries
-from tests.llm.conftest import DOCS
 
 
 def sha(text):
