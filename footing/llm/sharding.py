@@ -134,16 +134,19 @@ def assign_shards(docs: DataFrame, shards: int = 24, tolerance: float = 0.002, t
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, tolerance: float = 0.002, text: str = "text", doc_id: str = "doc_id", files: int = 8) -> list[Splitter]:
-    """Write every row below ``path`` as shard=N folders, moving each row once.
+    """Write every row below ``path`` as shard=N folders, moving each row once, from a durable copy.
 
     Each shard is cut in ``files`` parts so that its writing is shared by as many tasks.
     A column named shard is replaced, all others stay as they are.  Null texts and ids are
     written like any other; repeated rows are each written, parted by number when a splitter lies
     among them; an empty table writes no row.  Returns the splitters.
     """
-    cuts = find_splitters(durable(_sized(docs, text, doc_id), "shard-keys"), shards, tolerance)
     kept = [F.col(f"row.`{c}`") for c in docs.columns if c != "shard"]
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_keys(docs, text, doc_id)).withColumn("shard", _shard(cuts))
+    size = (F.octet_length(F.coalesce(F.col(text), F.lit("")).cast("binary")).cast("long") + F.lit(8)).alias("size")
+    # written once: numbers that tell repeated rows apart must be those that the splitters were found by
+    rows = durable(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), size, *_keys(docs, text, doc_id)), "shard-rows")
+    cuts = find_splitters(rows.select("size", *KEYS), shards, tolerance)
+    keyed = rows.withColumn("shard", _shard(cuts))
     moved = keyed.repartition(shards * files, F.col("shard"), F.pmod(F.col("tie"), F.lit(files))).sortWithinPartitions("shard", *KEYS)
     moved.select(*kept, "shard").write.partitionBy("shard").parquet(path)
     return cuts
