@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from footing.operators import commits, profiles, rules, state
 from footing.operators.rules import Anchor, Rule, Zone
-from footing.plans import dispatch
+from footing.plans import dispatch, printed
 from footing.sources import documents as D
+from footing.tables import durable
 
 ROWS = "identity string, sha256 string"
 
@@ -130,3 +131,38 @@ def test_the_fold_is_linear_and_equals_windows(spark):
     folded = sorted(map(str, rules.classify_in_order(lines, its, zones).collect()))
     assert time.time() - began < 30
     assert folded == sorted(map(str, rules.classify(lines, its, zones).select("doc_id", "page", "line_no", "kind", "rule").collect()))
+
+
+def test_a_whole_run_over_a_folder(spark, tmp_path):
+    """Documents of two bound layouts, one that is bound elsewhere, one unknown and one unusable; then the same again, and a re-issue."""
+    path = str(tmp_path / "out")
+    items = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("l_orderkey < 130")
+    kinds = ("sections", "unit_rates", "two_templates", "regrouped")
+    part = lambda k, name: printed.PRINTED[name](printed.Orders(items.where(F.col("l_orderkey") % 4 == k)))
+    lines = printed.together([part(k, name) for k, name in enumerate(kinds)])
+    # what is printed on the margin of every page makes it as dense as paper
+    margin = F.lit("\nINVOICE BALANCE " + "x" * 220)
+    pages = lines.groupBy("doc_id", "page").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n"), margin).alias("text"))
+    texts = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda r: r["text"]), "\f").alias("text"))
+    texts = texts.select(F.format_string("%06d", "doc_id").alias("doc_id"), "text").unionByName(spark.createDataFrame([("x", "INVOICE TOTAL")], "doc_id string, text string"))
+    texts = durable(texts.withColumn("sha256", F.sha2(F.col("text").cast("binary"), 256)), "texts")
+    own = profiles.profile(D.to_pages(texts)).where("usable_text").withColumn("k", F.col("doc_id").try_cast("int") % 4)
+    first = own.groupBy("k").agg(F.min_by("signature", "doc_id").alias("signature")).where("k < 3")
+    bindings = first.select("signature", F.get(F.array(*[F.lit(n) for n in kinds]), F.col("k")).alias("spec"))
+    assert dispatch.run_folder(texts, bindings, kinds[:2], path, "one") == 1
+    read = lambda name: commits.read_committed(spark, path, name)
+    records, aside = read("records").collect(), read("exceptions").collect()
+    n = {k: len([r for r in texts.collect() if r["doc_id"] != "x" and int(r["doc_id"]) % 4 == k]) for k in range(4)}
+    assert {r["spec"] for r in records} == set(kinds[:2]) and len(records) == n[0] + n[1]
+    causes = lambda rows: {c: len({r["doc_id"] for r in rows if r["cause"] == c}) for c in {r["cause"] for r in rows}}
+    assert {k: v for k, v in causes(aside).items() if k != "not verified"} == {"unusable text": 1, "bound to another layout": n[2], "no layout is bound": n[3]}
+    assert {r["doc_id"] for r in aside} | {r["source"] for r in records} == {r["doc_id"] for r in texts.collect()}
+    assert read("items").count() == items.where("l_orderkey % 4 < 2").count()
+    # the batch again adds nothing; another batch of the same bytes reports duplicates, and one of other bytes re-issues
+    assert dispatch.run_folder(texts, bindings, kinds[:2], path, "one") == 1
+    again = texts.where("doc_id <= '000010'").withColumn("sha256", F.when(F.col("doc_id") == "000004", "other").otherwise(F.col("sha256")))
+    assert dispatch.run_folder(again, bindings, kinds[:2], path, "two") == 2
+    later = [r for r in read("exceptions").collect() if r["seq"]["batch"] == 2 and r["cause"] == "not recorded"]
+    assert read("records").count() == len(records)
+    assert {r["detail"] for r in later if r["doc_id"] == "000004"} == {"changed: same total, other bytes"}
+    assert {r["detail"] for r in later if r["doc_id"] != "000004"} == {"duplicate"}
