@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 from footing.plans.queries import ORACLE_SQL, QUERIES
+from footing.tables import release
 
 SCALES = ("sf0.001", "sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -26,6 +27,7 @@ def test_query_matches_sql(name, sf, spark, duck):
     got = QUERIES[name](spark, f"/root/testdata/{sf}")
     columns = sorted(got.columns)
     rows = sorted((tuple(r[c] for c in columns) for r in got.collect()), key=str)
+    release()  # what the query wrote
     assert rows
     if name in ORACLE_SQL:
         want = duck.execute(ORACLE_SQL[name])
