@@ -23,6 +23,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from footing.llm.common import durable
-from footing.llm.words import held
+from footing.llm.words import give_back, held
 
-#: Words whose ids a worker keeps; beyond that it starts anew.  A cache: no result depends on it.
-CACHE_WORDS = 800_000
+#: Words whose ids a task keeps; beyond that, and from task to task, only those learned first, which are the frequent ones.
+#: A cache: no result depends on it.
+CACHE_WORDS, KEPT_WORDS = 400_000, 131_072
 #: Documents that are encoded together.
 GROUP = 128
 #: Rank buckets, so that no length's pieces are numbered by one task.
@@ -133,11 +135,19 @@ class WordEncoder:
             return text
         return text.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
 
+    def forget(self) -> None:
+        self.words, self.pieces = (dict(islice(x.items(), KEPT_WORDS)) for x in (self.words, self.pieces))
+
+    def rest(self) -> None:
+        """At a task's end: a worker that may stay idle keeps little."""
+        if len(self.words) > KEPT_WORDS:
+            self.forget()
+        give_back()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; new words of all of them are learned together."""
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-            self.pieces.clear()
+            self.forget()
         parts = [None if any(c in t for c in self.ODD) else self._levelled(t).split() for t in texts]
         get = self.words.get
         found = [[*map(get, p)] if p is not None else [] for p in parts]
@@ -154,25 +164,30 @@ def encoder(path: str) -> WordEncoder:
     return held(f"encoder {path}", lambda: WordEncoder(path))
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, keep_ids: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32, ids (if kept)."""
-
+def _cutter(vocabulary: str, capacity: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail = encoder(vocabulary).encode, np.asarray([end_id], dtype="<u4").tobytes()
+        words, tail = encoder(vocabulary), np.asarray([end_id], dtype="<u4").tobytes()
         width = 4 * capacity
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for first in range(0, batch.num_rows, GROUP):
                 some = batch.slice(first, GROUP)
-                for doc, own in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
+                for doc, own in zip(some.column(0).to_pylist(), words.encode(some.column(1).to_pylist())):
                     ids = own + tail
                     for k in range(0, len(ids), width):
                         part = ids[k : k + width]
                         for column, value in zip(out, (doc, k // width, k // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None)):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=PIECES.names)
+        words.rest()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, PIECES)
+    return run
+
+
+def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, keep_ids: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32, ids (if kept)."""
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return own.mapInArrow(_cutter(vocabulary, capacity, end_id, keep_ids), PIECES)
 
 
 class Fillings:

@@ -69,8 +69,6 @@ def _framed(docs: list, lengths: list[int], ids: np.ndarray, file: int, first: i
 
 def _coder(tokenizer: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from footing.llm.words import drop_held
-
         encode, tail = encoder(tokenizer), np.asarray([end_id], dtype="<u4").tobytes()
         vocabulary = max(len(encode.ends), end_id + 1)
         docs, lengths, held, pending, first, file = [], [], [], 0, 0, 0
@@ -97,8 +95,7 @@ def _coder(tokenizer: str, end_id: int, block_ids: int):
                     yield flush()
         if docs:
             yield flush()
-        if len(encode.words) > 4 * GROUP * GROUP:
-            drop_held()  # the reader's tasks may run in this worker next
+        encode.rest()  # the reader's tasks may run in this worker next
 
     return run
 

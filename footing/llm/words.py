@@ -6,7 +6,10 @@ parts at exactly these, and lower() changes exactly A-Z.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 _HELD: dict[str, object] = {}
@@ -15,7 +18,7 @@ _HELD: dict[str, object] = {}
 def held(name: str, make):
     """What a worker keeps from task to task: one thing at a time, so that operators do not add up."""
     if name not in _HELD:
-        _HELD.clear()
+        drop_held()
         _HELD[name] = make()
     return _HELD[name]
 
@@ -23,6 +26,19 @@ def held(name: str, make):
 def drop_held() -> None:
     """Called by tasks of operators that keep nothing, before they build their own tables."""
     _HELD.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return what is free to the system.
+
+    An executor may have more workers than cores, as one that ends its task is replaced before it
+    is idle: what idle ones hold is missing to the others.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+    if trim is not None:
+        trim(0)
 
 
 #: Words that a worker keeps before it starts anew.  A cache: no result depends on it.

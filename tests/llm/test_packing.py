@@ -140,3 +140,22 @@ def test_columns_of_the_caller_stay(spark):
     rows = packing.pack_pieces(pieces, 21).collect()
     assert all(r["bucket"] == r["within"] == r["before"] == r["rank"] == r["plan"] == r["doc_id"] for r in rows)
     assert len({r["sequence_id"] for r in rows}) == 7
+
+
+def test_worker_keeps_little_after_a_task(monkeypatch):
+    """What a task has learned is let go at its end where it is much, so that idle workers hold little."""
+    import pyarrow as pa
+
+    from footing.llm import words
+
+    monkeypatch.setattr(words, "_HELD", {})
+    monkeypatch.setattr(packing, "KEPT_WORDS", 5000)
+    texts = [" ".join(f"w{k}x{i}" for i in range(100)) for k in range(70)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(70), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    run = packing._cutter(PATH, 2048, 0, False)
+    first, few = (next(run(iter([b]))) for b in (batch, batch.slice(0, 1)))
+    for k, b in enumerate((batch.slice(0, 1), batch)):
+        out = list(run(iter([b])))
+        assert out[0] == (few if k == 0 else first)
+    (held,) = words._HELD.values()
+    assert len(held.words) <= packing.KEPT_WORDS and len(held.pieces) <= packing.KEPT_WORDS
