@@ -1,9 +1,11 @@
 """A hierarchical Pitman-Yor language model trained and applied over the whole corpus.
 
-Every word is predicted in the restaurant of its context, the word before it: the OWN most
-frequent words each have a restaurant, all others share 128 by their ending.  16 coarser
-restaurants, by ending too, are the parents of both kinds, and all share one root whose base
-gives an unseen word its share.  Words are dishes.
+Every word is predicted in the restaurant of its context, the word before it: every previous
+word has one of its own.  Those of the OWN most frequent words are children of 16 coarse
+restaurants, by ending; those of all others are leaves, children of 128 shared
+ones by ending, which are children of the coarse ones too.  All share one root whose base
+gives an unseen word its share.  Words are dishes.  In a leaf every dish has one table, so a shared
+restaurant's customers are the distinct previous words; all other levels are sampled.
 
 A word's customers in all its restaurants depend on other words only through the restaurants'
 totals (a few hundred numbers), so Gibbs sweeps run word by word, in parallel: a dish's customers
@@ -14,8 +16,9 @@ round to round: every random number is a hash of word, restaurant and sweep, so
 the earlier rounds instead of storing them, and no partitioning or retry changes a score.
 Predictive probabilities are averaged over the last sweeps.
 
-Scoring adds up the frequent words (a list of fixed length, broadcast) where the text is,
-and joins the others with the model by word.
+Scoring adds up frequent words (a list of fixed length, broadcast) after OWN words where the text is.
+Other tokens meet the model in one join: rare words by word, with what they have in leaves as a list,
+frequent ones in leaves by the pair of words.
 """
 
 from __future__ import annotations
@@ -80,6 +83,10 @@ class ClassedIndex(WordIndex):
         self.contexts = contexts
         self.classes = np.empty(1 << 16, dtype=np.uint8)
 
+    def codes(self) -> np.ndarray:
+        """Each word as a context: its hash with the class in the last byte."""
+        return (self.hashes()[: len(self)] & ~np.uint64(255)) | self.classes[: len(self)]
+
     def __missing__(self, word: bytes) -> int:
         n = super().__missing__(word)
         if n >= len(self.classes):
@@ -89,7 +96,7 @@ class ClassedIndex(WordIndex):
 
 
 def _tokens(bodies: list[bytes], index: ClassedIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, word index and context class of all tokens, each text closed by END."""
+    """Text number, word index and previous word's index of all tokens, each text closed by END."""
     parts, sizes = [], []
     for body in bodies:
         words = body.lower().split()
@@ -97,10 +104,10 @@ def _tokens(bodies: list[bytes], index: ClassedIndex) -> tuple[np.ndarray, np.nd
         parts.append(index.indexes(words))
         sizes.append(len(words))
     word = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-    before = np.empty(len(word), dtype=np.uint8)
-    before[1:] = index.classes[word[:-1]]
+    before = np.empty(len(word), dtype=np.int64)
+    before[1:] = word[:-1]
     ends = np.cumsum(sizes)
-    before[np.concatenate([[0], ends[:-1]]).astype(np.int64)] = OWN + ending(START)
+    before[np.concatenate([[0], ends[:-1]]).astype(np.int64)] = index[START]
     return np.repeat(np.arange(len(bodies)), sizes), word, before
 
 
@@ -147,26 +154,22 @@ def find_contexts(texts: DataFrame) -> Contexts:
     return Contexts(own, np.sort(np.array([r["hash"] for r in hot], dtype=np.int64)), parents)
 
 
-def word_counts(texts: DataFrame, contexts: Contexts) -> DataFrame:
-    """hash, total, ctx, n: every word's counts by context.  ``texts`` has body.
-
-    A hot word's counts meet in HOT_PARTS tasks by context, then once more as one short list a part.
-    """
+def pair_counts(texts: DataFrame, contexts: Contexts) -> DataFrame:
+    """hash, before, n: how often each word follows each context (``ClassedIndex.codes``).  ``texts`` has body."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, held, size = ClassedIndex(contexts), [], 0
 
         def flush() -> pa.RecordBatch:
             code, n = np.unique(np.concatenate(held), return_counts=True)
-            hashes, ctx = index.hashes()[code >> 8].view(np.int64), (code & 255).astype(np.int32)
-            part = np.where(np.isin(hashes, contexts.hot), ctx % HOT_PARTS, -1).astype(np.int32)
+            hashes, before = index.hashes()[code & 0xFFFFFFFF], index.codes()[code >> 32]
             held.clear()
-            return pa.RecordBatch.from_arrays([*map(pa.array, (hashes, part, ctx, n.astype(np.int64)))], names=["hash", "part", "ctx", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(before.view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "before", "n"])
 
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 _, word, before = _tokens([x.as_py() for x in batch.column(0)[k : k + 256]], index)
-                held.append(word << 8 | before)
+                held.append(before << 32 | word)
                 size += len(word)
                 if size >= CHUNK_TOKENS or len(index) > CACHE_WORDS:
                     yield flush()
@@ -176,10 +179,27 @@ def word_counts(texts: DataFrame, contexts: Contexts) -> DataFrame:
         if held:
             yield flush()
 
-    cells = texts.select("body").mapInArrow(run, "hash long, part int, ctx int, n long").repartition("hash", "part")
-    pairs = cells.groupBy("hash", "part", "ctx").agg(F.sum("n").alias("n"))
+    cells = texts.select("body").mapInArrow(run, "hash long, before long, n long")
+    return durable(cells.groupBy("hash", "before").agg(F.sum("n").alias("n")), "pairs")
+
+
+def _class(before: str = "before") -> Column:
+    return F.col(before).bitwiseAND(F.lit(255)).cast("int")
+
+
+def word_counts(texts: DataFrame, contexts: Contexts, pairs: DataFrame | None = None) -> DataFrame:
+    """hash, total, ctx, n: every word's customers by restaurant above the leaves.  ``texts`` has body.
+
+    A hot word's counts meet in HOT_PARTS tasks by context, then once more as one short list a part.
+    """
+    pairs = pair_counts(texts, contexts) if pairs is None else pairs
+    part = F.when(F.col("hash").isin(contexts.hot.tolist()), _class() % HOT_PARTS).otherwise(-1)
+    # a leaf sends its parent one customer a dish
+    customers = F.when(_class() < OWN, F.col("n")).otherwise(1)
+    cells = pairs.select("hash", part.alias("part"), _class().alias("ctx"), "n", customers.alias("customers"))
+    sums = cells.groupBy("hash", "part", "ctx").agg(F.sum("n").alias("tokens"), F.sum("customers").alias("n"))
     # at most FINE contexts a word
-    lists = pairs.groupBy("hash", "part").agg(F.sum("n").alias("total"), F.collect_list(F.struct("ctx", "n")).alias("own"))
+    lists = sums.groupBy("hash", "part").agg(F.sum("tokens").alias("total"), F.collect_list(F.struct("ctx", "n")).alias("own"))
     lists = durable(lists, "word-parts")
     whole = lists.where("part < 0").select("hash", "total", "own")
     joined = lists.where("part >= 0").groupBy("hash").agg(F.sum("total").alias("total"), F.flatten(F.collect_list("own")).alias("own"))
@@ -187,6 +207,19 @@ def word_counts(texts: DataFrame, contexts: Contexts) -> DataFrame:
     return whole.unionByName(joined).select("hash", "total", F.transform(own, lambda x: x["ctx"]).alias("ctx"), F.transform(own, lambda x: x["n"]).alias("n"))
 
 
+def leaves(pairs: DataFrame, strength: float) -> tuple[DataFrame, DataFrame]:
+    """Of every previous word but the OWN: (before, fresh), the chance of its parent; and of its dishes (hash, before, rho).
+
+    P(word) in a leaf is fresh * (P(word) in its parent + rho).  The discount comes from the pairs' ones and twos.
+    """
+    own = pairs.where(_class() >= OWN)
+    a, b = own.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    d = float(min(0.95, max(0.05, a / (a + 2 * b)))) if a + b else 0.5
+    room = durable(own.groupBy("before").agg(F.sum("n").alias("customers"), (F.lit(strength) + d * F.count(F.lit(1))).alias("room")), "leaves")
+    seated = own.join(room, "before").select("hash", "before", ((F.col("n") - d) / F.col("room")).alias("rho"))
+    return room.select("before", (F.col("room") / (strength + F.col("customers"))).alias("fresh")), seated
+
+
 @dataclass
 class Totals:
     """Customers and tables of all restaurants, discounts and strengths by level, and the vocabulary."""
@@ -306,7 +339,8 @@ class Words:
     """A batch of words with all their restaurants, laid out flat."""
 
     def __init__(self, batch: pa.RecordBatch, parents: np.ndarray) -> None:
-        hashes, _, ctx, n = (batch.column(k) for k in range(4))
+        hashes, total, ctx, n = (batch.column(k) for k in range(4))
+        self.tokens = int(total.to_numpy().sum())
         self.size = len(ctx)
         lengths = np.diff(ctx.offsets.to_numpy())
         self.row = np.repeat(np.arange(self.size), lengths)
@@ -356,7 +390,7 @@ class Words:
             "c2": by(self.fine, self.n, FINE),
             "t2": by(self.fine, self.t2, FINE),
             # words, tokens, and dishes of one and of two customers by level
-            "stats": np.array([self.size, self.n.sum(), *[(x == k).sum() for x in ones for k in (1, 2)]]),
+            "stats": np.array([self.size, self.tokens, *[(x == k).sum() for x in ones for k in (1, 2)]]),
         }
 
 
@@ -469,15 +503,30 @@ def _head(model: DataFrame, totals: Totals, most: int) -> tuple[np.ndarray, np.n
     return hashes[order], rows["total"].to_numpy()[order], np.log10(p2)
 
 
-def score_texts(docs: DataFrame, model: DataFrame, totals: Totals, contexts: Contexts, head_words: int = HEAD_WORDS) -> DataFrame:
+TOKENS = "row long, key long, before long, p2 double, doc_id long, n_tokens long, n_known long, base double, score double"
+
+
+def _pair_key(hashes: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return hashes ^ (before << np.uint64(1) | before >> np.uint64(63))
+
+
+def score_texts(docs: DataFrame, model: DataFrame, pairs: DataFrame, totals: Totals, contexts: Contexts, sampling: Sampling = Sampling(), head_words: int = HEAD_WORDS) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every row of docs (doc_id, body)."""
-    v, n = totals.vocabulary, totals.tokens
+    v, n, spark = totals.vocabulary, totals.tokens, docs.sparkSession
     norm = np.log10(n + 0.5 * (v + 1))
     hashes, counts, logs = _head(model, totals, head_words) if v else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, FINE), np.float32))
-    shared = docs.sparkSession.sparkContext.broadcast((hashes, np.log10(counts + 0.5) - norm, logs))  # bounded by head_words
+    room, seated = leaves(pairs, sampling.strength)
+    # a context differs from its word's hash in the last byte
+    top = F.broadcast(spark.createDataFrame(pa.table({"hash": hashes})))
+    stem = lambda c: F.shiftright(c, 8)
+    found = {r["before"] >> 8: r["fresh"] for r in room.join(top, stem("before") == stem("hash"), "left_semi").collect()}  # at most head_words
+    first = int(np.uint64(xxhash.xxh3_64_intdigest(START)).view(np.int64)) >> 8
+    start = room.where(stem("before") == first).first()
+    leaf = np.log10([found.get(h >> 8, 1.0) for h in hashes.tolist()] + [start["fresh"] if start else 1.0])
+    shared = spark.sparkContext.broadcast((hashes, np.log10(counts + 0.5) - norm, logs, leaf))  # bounded by head_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, base, logs = shared.value
+        hashes, base, logs, leaf = shared.value
         index, done = ClassedIndex(contexts), 0
         head = np.zeros(0, dtype=np.int64)
         part = TaskContext.get().partitionId() << 40
@@ -494,46 +543,70 @@ def score_texts(docs: DataFrame, model: DataFrame, totals: Totals, contexts: Con
                     known = np.append(hashes, 0)[at] == fresh if len(hashes) else np.zeros(len(fresh), dtype=bool)
                     known &= at < len(hashes)
                     head = np.concatenate([head, np.where(known, at, -1)])
-                place = head[word]
-                on, off = place >= 0, np.flatnonzero(place < 0)
-                size = len(ids)
-                add = lambda x: np.bincount(text[on], weights=x, minlength=size).astype(np.float64)
-                ends = pa.array(np.searchsorted(text[off], np.arange(size + 1)).astype(np.int32))
+                place, kind, size = head[word], index.classes[before], len(ids)
+                on = place >= 0
+                add = lambda at, x: np.bincount(text[at], weights=x, minlength=size).astype(np.float64)
+                # the previous word's leaf: of a head word, or a text's start; a rare word brings its own along
+                opens = np.flatnonzero((before == index[START]) | (head[before] >= 0))
+                score = add(opens, leaf[np.where(before[opens] == index[START], -1, head[before[opens]])])
+                plain = np.flatnonzero(on & (kind < OWN))
+                score += add(plain, logs[place[plain], kind[plain]])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(part + done + np.arange(size)),
+                        *(pa.array(part + done + np.arange(size)) for _ in range(2)),
+                        *(pa.nulls(size, t) for t in (pa.int64(), pa.float64())),
                         ids,
                         pa.array(np.bincount(text, minlength=size)),
                         pa.array(np.bincount(text[on], minlength=size)),
-                        pa.array(add(base[place[on]])),
-                        pa.array(add(logs[place[on], before[on]])),
-                        pa.ListArray.from_arrays(ends, pa.array(index.hashes()[word[off]].view(np.int64))),
-                        pa.ListArray.from_arrays(ends, pa.array(before[off].astype(np.int32))),
+                        pa.array(add(on, base[place[on]])),
+                        pa.array(score),
                     ],
-                    names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "ctx"],
+                    names=[c.split()[0] for c in TOKENS.split(", ")],
+                )
+                off = np.flatnonzero(~on | (kind >= OWN))
+                context, own = index.codes()[before[off]], index.hashes()[word[off]]
+                rare = ~on[off]
+                key = np.where(rare, own, _pair_key(own, context)).view(np.int64)
+                p2 = 10.0 ** logs[np.maximum(place[off], 0), kind[off]].astype(float) if len(hashes) else np.ones(len(off))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part + done + text[off]), pa.array(key), pa.array(context.view(np.int64)), pa.array(p2, mask=rare), *(pa.nulls(len(off), t) for t in (*[pa.int64()] * 3, *[pa.float64()] * 2))],
+                    names=[c.split()[0] for c in TOKENS.split(", ")],
                 )
                 done += size
 
-    fields = "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, ctx array<int>"
-    rows = durable(docs.select("doc_id", "body").mapInArrow(run, fields), "head-scores")
-    rare = rows.select("row", F.explode(F.arrays_zip("rare", "ctx")).alias("x")).select("row", F.col("x.rare").alias("hash"), F.col("x.ctx").alias("at"))
+    tokens = docs.select("doc_id", "body").mapInArrow(run, TOKENS)
+    turned = F.shiftleft("before", 1).bitwiseOR(F.shiftrightunsigned("before", 63))
+    frequent = seated.join(top, "hash", "left_semi").select(F.col("hash").bitwiseXOR(turned).alias("key"), F.array("before").alias("us"), F.array("rho").alias("rhos"))
+    # a rare word has fewer dishes in leaves than the head's last word has tokens
+    lists = seated.join(top, "hash", "left_anti").groupBy("hash").agg(F.collect_list(F.struct("before", "rho")).alias("x"))
+    lists = lists.select("hash", F.col("x.before").alias("us"), F.col("x.rho").alias("rhos"))
+    words = model.join(top, "hash", "left_anti").join(lists, "hash", "left").join(room.select(stem("before").alias("stem"), "fresh"), stem("hash") == F.col("stem"), "left")
+    words = words.drop("stem").withColumnRenamed("hash", "key").withColumnRenamed("p2", "p2s")
+    lookup = words.unionByName(frequent, allowMissingColumns=True)
     fresh = lambda level: F.array(*[F.lit(float(x)) for x in totals.fresh(level)])
-    coarse = F.get(F.array(*[F.lit(int(x)) for x in totals.parents]), F.col("at"))
+    at = _class()
+    coarse = F.get(F.array(*[F.lit(int(x)) for x in totals.parents]), at)
     pick = lambda keys, values, key: F.get(values, F.array_position(keys, key).cast("int") - 1)
     # in fixed point, so that the order of a sum makes no difference
     fixed = lambda x: F.round(x * F.lit(2.0**FIXED)).cast("long")
     unseen = float(totals.fresh(0)[0]) * totals.unseen if v else 1.0
     p0 = F.coalesce(F.col("p0").cast("double"), F.lit(unseen))
     p1 = F.coalesce(pick("coarse", "p1", coarse).cast("double"), F.get(fresh(1), coarse) * p0)
-    p2 = F.coalesce(pick("ctx", "p2", F.col("at")).cast("double"), F.get(fresh(2), F.col("at")) * p1)
-    joined = rare.join(model, "hash", "left").select(
-        "row", fixed(F.log10(p2)).alias("score"), fixed(F.log10(F.coalesce("total", F.lit(0)) + 0.5) - F.lit(float(norm))).alias("base"), F.col("total").isNotNull().cast("long").alias("n_known")
+    p2 = F.coalesce(F.col("p2"), pick("ctx", "p2s", at).cast("double"), F.get(fresh(2), at) * p1)
+    rho = F.coalesce(pick("us", "rhos", F.col("before")), F.lit(0.0))
+    text, rare = F.col("n_tokens").isNotNull(), F.col("p2").isNull()
+    opened = F.when(rare, F.coalesce(F.log10("fresh"), F.lit(0.0))).otherwise(0.0)
+    parts = tokens.join(lookup, "key", "left").select(
+        "row",
+        "doc_id",
+        "n_tokens",
+        F.when(text, F.col("n_known")).otherwise((rare & F.col("total").isNotNull()).cast("long")).alias("n_known"),
+        fixed(F.when(text, F.col("base")).when(rare, F.log10(F.coalesce("total", F.lit(0)) + 0.5) - F.lit(float(norm))).otherwise(0.0)).alias("base"),
+        fixed(F.when(text, F.col("score")).otherwise(F.log10(p2 + rho) + opened)).alias("score"),
     )
-    known = F.sum("n_known").alias("rare_n_known")
-    sums = joined.groupBy("row").agg(known, *[(F.sum(c) / F.lit(2.0**FIXED)).alias(f"rare_{c}") for c in ("score", "base")])
-    both = rows.drop("rare", "ctx").join(sums, "row", "left")
-    total: list[Column] = [(F.col(c) + F.coalesce(f"rare_{c}", F.lit(0))).alias(name) for c, name in (("n_known", "n_known"), ("base", "base_score"), ("score", "score"))]
-    return both.select("doc_id", "n_tokens", *total)
+    whole = [(F.sum(c) / F.lit(2.0**FIXED)).alias(name) for c, name in (("base", "base_score"), ("score", "score"))]
+    sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), *whole)
+    return sums.drop("row")
 
 
 def score_documents(docs: DataFrame, training: Column, sampling: Sampling = Sampling(), head_words: int = HEAD_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -548,8 +621,9 @@ def score_documents(docs: DataFrame, training: Column, sampling: Sampling = Samp
     bodies = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("body"), F.coalesce(training, F.lit(False)).alias("training"))
     learned = bodies.where("training")
     contexts = find_contexts(learned)
-    words = durable(word_counts(learned, contexts), "word-counts")
+    pairs = pair_counts(learned, contexts)
+    words = durable(word_counts(learned, contexts, pairs), "word-counts")
     history, mean = fit_totals(words, contexts.parents, sampling)
     model = durable(word_probabilities(words, history, mean, sampling), "word-model")
-    scored = score_texts(bodies, model, mean, contexts, head_words)
+    scored = score_texts(bodies, model, pairs, mean, contexts, sampling, head_words)
     return scored.withColumn("train_tokens", F.lit(mean.tokens).cast("long"))

@@ -146,3 +146,61 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert lm.score_documents(no_docs, F.lit(True)).count() == 0
     none = lm.score_documents(odd_docs, F.lit(False)).collect()
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in none)
+
+
+def test_every_previous_word_has_a_restaurant(spark):
+    """Words that end alike and are not among the OWN most frequent: what follows each is told apart, in head and rare words."""
+    common = " ".join(f"c{k}" for k in range(lm.OWN))
+    rows = [(k, f"{common} {common} " + " ".join(f"p{j}-end q{j}-end" for j in range(20))) for k in range(30)]
+    right, wrong = "p3-end q3-end p7-end q7-end", "p3-end q7-end p7-end q3-end"
+    docs = spark.createDataFrame([*rows, (100, right), (101, wrong)], "doc_id long, text string")
+    for head in (0, 150, 10**6):
+        got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs, F.col("doc_id") < 100, head_words=head).collect()}
+        assert got[100] > got[101] + 2, head
+
+
+def test_leaves_sum_to_one(spark):
+    """Over the dishes and the parent, in the leaf of every previous word that is not among the OWN ones."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
+    texts = docs.select(text_bytes("text").alias("body"))
+    contexts = lm.find_contexts(texts)
+    pairs = lm.pair_counts(texts, contexts)
+    room, seated = lm.leaves(pairs, 5.0)
+    sums = {r["before"]: r["x"] for r in seated.groupBy("before").agg(F.sum("rho").alias("x")).collect()}
+    fresh = {r["before"]: r["fresh"] for r in room.collect()}
+    words = {w for d in docs.collect() for w in tokens(d["text"])[:-1]} | {lm.START}
+    assert len(fresh) == len(sums) == len(words) - lm.OWN
+    assert all(abs(fresh[k] * (1 + sums[k]) - 1) < 1e-9 for k in fresh)
+
+
+def test_scores_against_plain_sums(spark):
+    """Every token's probability, put together from the tables by hand."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).select("doc_id", "text")
+    train = F.col("doc_id") % 3 != 0
+    bodies = docs.select("doc_id", text_bytes("text").alias("body"), train.alias("t"))
+    learned = bodies.where("t")
+    contexts = lm.find_contexts(learned)
+    pairs = lm.pair_counts(learned, contexts)
+    words = durable(lm.word_counts(learned, contexts, pairs), "w")
+    history, mean = lm.fit_totals(words, contexts.parents)
+    model = durable(lm.word_probabilities(words, history, mean), "m")
+    hashes, _, logs = lm._head(model, mean, 10**7)
+    room, seated = lm.leaves(pairs, lm.Sampling().strength)
+    fresh = {r["before"]: r["fresh"] for r in room.collect()}
+    rho = {(r["hash"], r["before"]): r["rho"] for r in seated.collect()}
+    place = {h: k for k, h in enumerate(hashes.tolist())}
+    index = lm.ClassedIndex(contexts)
+    signed = lambda x: int(np.uint64(x).view(np.int64))
+    none = mean.fresh(2) * mean.fresh(1)[mean.parents] * mean.fresh(0)[0] * mean.unseen
+    want = {}
+    for d in docs.collect():
+        own, total = tokens(d["text"]), 0.0
+        for u, w in zip([lm.START, *own], own):
+            i, j = index[u], index[w]
+            code, h, c = signed(index.codes()[i]), signed(index.hashes()[j]), index.classes[i]
+            p = 10.0 ** float(logs[place[h], c]) if h in place else none[c]
+            total += math.log10(fresh.get(code, 1.0) * (p + rho.get((h, code), 0.0)))
+        want[d["doc_id"]] = total
+    for head in (50, 10**6):
+        for r in lm.score_documents(docs, train, head_words=head).collect():
+            assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-5)
