@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footing.llm.words import drop_held
+from footing.llm.words import drop_held, resting
 
 #: Share of an item's characters that edits may change.
 SHARE = 0.1
@@ -230,7 +230,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text
                 types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([*held, *[pa.array(c, t) for c, t in zip(columns, types)]], names=names)
 
-        part = own.mapInArrow(run, f"{kept}{MATCHES}")
+        part = own.mapInArrow(resting(run), f"{kept}{MATCHES}")
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = docs.sparkSession.createDataFrame([], f"{kept}{MATCHES}")
@@ -250,5 +250,5 @@ def without_items(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, t
                 clean = [not matcher.find(bounded(normal(x.as_py() or ""))) for x in batch.column(at)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(resting(run), schema)
     return docs

@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from footing.llm.common import durable, text_bytes
 from footing.llm.components import components
-from footing.llm.words import WordIndex, mix, shingles
+from footing.llm.words import WordIndex, mix, resting, shingles
 
 #: Parts beyond the pigeonhole bound, so that empty parts do not use it up.
 SPARE = 1.15
@@ -215,7 +215,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, bounds: Bounds = Bounds(
     """
     body = text_bytes(text)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("body"), F.xxhash64(body).alias("text_key"))
-    sketches = durable(source.mapInArrow(_sketch(width, bounds), SKETCH), "sketches")
+    sketches = durable(source.mapInArrow(resting(_sketch(width, bounds)), SKETCH), "sketches")
     members = sketches.select("doc_id", "n", "node")
     classes = durable(members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")), "classes")
     linked = _linked(sketches, source, width, bounds).withColumnRenamed("label", "to")
@@ -391,7 +391,7 @@ def _candidate_sets(sketches: DataFrame, nodes: DataFrame, source: DataFrame, wi
     # told by its text, so that rows that share an id do not meet each other's sets
     small = F.broadcast if chosen.count() <= BROADCAST_IDS else (lambda x: x)
     rows = source.join(small(chosen), (source["text_key"] == chosen["chosen_key"]) & source["doc_id"].eqNullSafe(chosen["chosen"])).select("node", "body")
-    return durable(rows.mapInArrow(_sets(width), "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+    return durable(rows.mapInArrow(resting(_sets(width)), "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, bounds: Bounds = Bounds(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:

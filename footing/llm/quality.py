@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footing.llm.common import text_bytes
-from footing.llm.words import CACHE_WORDS, WordIndex
+from footing.llm.words import CACHE_WORDS, WordIndex, resting
 
 #: Words laid out in one suffix array at most, unless a single document is longer.
 CHUNK_WORDS = 400_000
@@ -177,5 +177,5 @@ def measure_quality(docs: DataFrame, rules: Rules = Rules(), text: str = "text",
                 start, total = end, 0
 
     kept = ", ".join(f"k{i} {own.schema[i].dataType.simpleString()}" for i in range(len(keep)))
-    out = own.mapInArrow(run, f"{kept}, {MEASURES}")
+    out = own.mapInArrow(resting(run), f"{kept}, {MEASURES}")
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *_NAMES)

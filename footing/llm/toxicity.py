@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footing.llm.common import durable, fold, text_bytes
-from footing.llm.words import WordIndex, drop_held, mix, shingles
+from footing.llm.words import WordIndex, drop_held, mix, resting, shingles
 
 # The letters that a sign may stand for.
 LOOKALIKES = {
@@ -95,7 +95,7 @@ def character_counts(docs: DataFrame, text: str = "text") -> list[tuple[int, int
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells])], names=["cell", "n"])
 
-    parts = docs.select(text_bytes(text).alias("body")).mapInArrow(run, "cell long, n long")
+    parts = docs.select(text_bytes(text).alias("body")).mapInArrow(resting(run), "cell long, n long")
     return [(r["cell"], r["n"]) for r in parts.groupBy("cell").agg(F.sum("n").alias("n")).collect()]
 
 
@@ -471,7 +471,7 @@ def score_toxicity(docs: DataFrame, scorer: Scorer, text: str = "text", keep: tu
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=names)
 
     kept = "".join(f"k{i} {own.schema[i].dataType.simpleString()}, " for i in range(len(keep)))
-    out = own.mapInArrow(run, f"{kept}score double")
+    out = own.mapInArrow(resting(run), f"{kept}score double")
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

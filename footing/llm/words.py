@@ -41,6 +41,16 @@ def give_back() -> None:
         trim(0)
 
 
+def resting(run):
+    """``run``, for mapInArrow, as a task that gives back at its end what it has freed."""
+
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 #: Words that a worker keeps before it starts anew.  A cache: no result depends on it.
 CACHE_WORDS = 300_000
 

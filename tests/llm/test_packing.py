@@ -159,3 +159,13 @@ def test_worker_keeps_little_after_a_task(monkeypatch):
         assert out[0] == (few if k == 0 else first)
     (held,) = words._HELD.values()
     assert len(held.words) <= packing.KEPT_WORDS and len(held.pieces) <= packing.KEPT_WORDS
+
+
+def test_tasks_give_back_at_their_end(monkeypatch):
+    from footing.llm import words
+
+    seen = []
+    monkeypatch.setattr(words, "give_back", lambda: seen.append(True))
+    batches = words.resting(lambda own: (2 * x for x in own))(iter([1, 2]))
+    assert next(batches) == 2 and not seen
+    assert list(batches) == [4] and seen == [True]
