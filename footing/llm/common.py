@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footing.shipping import ship
-from footing.tables import durable, release, shared_dir, written
+from footing.tables import discard, durable, release, shared_dir, written
 
-__all__ = ["durable", "fold", "release", "shared_dir", "table", "text_bytes", "written"]
+__all__ = ["discard", "durable", "fold", "release", "shared_dir", "table", "text_bytes", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,25 +16,28 @@ round to round: every random number is a hash of word, restaurant and sweep, so
 the earlier rounds instead of storing them, and no partitioning or retry changes a score.
 Predictive probabilities are averaged over the last sweeps.
 
-Scoring adds up frequent words (a list of fixed length, broadcast) after OWN words where the text is.
-Other tokens meet the model in one join: rare words by word, with what they have in leaves as a list,
-frequent ones in leaves by the pair of words.
+Scoring adds up frequent words (a list of fixed length, broadcast) where the text is: after OWN words, and in leaves those
+of the most frequent pairs (another such list).  Other tokens meet the model in one join: rare words by word, with what they have
+in leaves as a list, frequent ones in leaves by the pair of words.  Texts are scored in ROUNDS jobs, dealt by
+a hash, so that only a share of their tokens is on its way at a time; what a job has shuffled goes with its end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from footing.llm.common import durable, text_bytes
+from footing.llm.common import discard, durable, text_bytes
 from footing.llm.words import CACHE_WORDS, WordIndex, mix
 
 FINE, COARSE = 256, 16
@@ -44,6 +47,10 @@ OWN, SHARED = 128, 128
 _WORDS = ("hash", "total", "ctx", "n")
 #: Words whose probabilities are broadcast (4 * FINE bytes each); the others are joined.
 HEAD_WORDS = 32_768
+#: Pairs of a frequent word and a leaf that are broadcast at most (12 bytes each); the others are joined.
+TOP_PAIRS = 1_000_000
+#: Jobs that score the texts one after the other.
+ROUNDS = 3
 #: Tokens that a task counts before it passes the counts on.
 CHUNK_TOKENS = 3_000_000
 #: A word of more than this share of all tokens is counted in HOT_PARTS parts; at most 1 / HOT are such.
@@ -143,7 +150,7 @@ def find_contexts(texts: DataFrame) -> Contexts:
             yield flush()
 
     counts = texts.select("body").mapInArrow(run, "hash long, coarse int, n long").groupBy("hash", "coarse").agg(F.sum("n").alias("n"))
-    counts = durable(counts, "word-totals")
+    counts = durable(counts, "word-totals", tidy=True)
     size = counts.agg(F.sum("n")).first()[0] or 0
     hot = counts.where(F.col("n") > HOT * size).select("hash").collect()
     end = int(np.uint64(xxhash.xxh3_64_intdigest(END)).view(np.int64))
@@ -151,11 +158,16 @@ def find_contexts(texts: DataFrame) -> Contexts:
     shared = np.arange(FINE) - OWN >> 3
     parents = np.array([*(r["coarse"] for r in top), *shared[len(top) :]], dtype=np.int64) & 15
     own = {int(np.int64(r["hash"]).view(np.uint64)): k for k, r in enumerate(top)}
+    discard(counts)
     return Contexts(own, np.sort(np.array([r["hash"] for r in hot], dtype=np.int64)), parents)
 
 
 def pair_counts(texts: DataFrame, contexts: Contexts) -> DataFrame:
-    """hash, before, n: how often each word follows each context (``ClassedIndex.codes``).  ``texts`` has body."""
+    """hash, before, n: how often each word follows each context (``ClassedIndex.codes``).  ``texts`` has body.
+
+    With each pair of a leaf go the leaf's customers and dishes; one of its pairs leads.  Contexts that are no leaves, the
+    most frequent ones, are dealt in parts by word.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, held, size = ClassedIndex(contexts), [], 0
@@ -180,7 +192,13 @@ def pair_counts(texts: DataFrame, contexts: Contexts) -> DataFrame:
             yield flush()
 
     cells = texts.select("body").mapInArrow(run, "hash long, before long, n long")
-    return durable(cells.groupBy("hash", "before").agg(F.sum("n").alias("n")), "pairs")
+    part = F.when(_class() < OWN, F.pmod("hash", F.lit(HOT_PARTS))).otherwise(0)
+    # one exchange for the counts and what is summed up by leaf; a file's rows of one leaf lie together
+    sums = cells.withColumn("part", part).repartition("before", "part").groupBy("before", "part", "hash").agg(F.sum("n").alias("n"))
+    leaf = Window.partitionBy("before", "part")
+    leads = F.col("hash") == F.min("hash").over(leaf)
+    whole = sums.select("hash", "before", "n", F.sum("n").over(leaf).alias("customers"), F.count(F.lit(1)).over(leaf).alias("dishes"), leads.alias("leads"))
+    return durable(whole, "pairs", tidy=True)
 
 
 def _class(before: str = "before") -> Column:
@@ -200,7 +218,7 @@ def word_counts(texts: DataFrame, contexts: Contexts, pairs: DataFrame | None =
     sums = cells.groupBy("hash", "part", "ctx").agg(F.sum("n").alias("tokens"), F.sum("customers").alias("n"))
     # at most FINE contexts a word
     lists = sums.groupBy("hash", "part").agg(F.sum("tokens").alias("total"), F.collect_list(F.struct("ctx", "n")).alias("own"))
-    lists = durable(lists, "word-parts")
+    lists = durable(lists, "word-parts", tidy=True)
     whole = lists.where("part < 0").select("hash", "total", "own")
     joined = lists.where("part >= 0").groupBy("hash").agg(F.sum("total").alias("total"), F.flatten(F.collect_list("own")).alias("own"))
     own = F.array_sort("own")
@@ -208,16 +226,16 @@ def word_counts(texts: DataFrame, contexts: Contexts, pairs: DataFrame | None =
 
 
 def leaves(pairs: DataFrame, strength: float) -> tuple[DataFrame, DataFrame]:
-    """Of every previous word but the OWN: (before, fresh), the chance of its parent; and of its dishes (hash, before, rho).
+    """Of every previous word but the OWN: (before, fresh), the chance of its parent; and of its dishes (hash, before, n, rho).
 
     P(word) in a leaf is fresh * (P(word) in its parent + rho).  The discount comes from the pairs' ones and twos.
     """
     own = pairs.where(_class() >= OWN)
     a, b = own.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     d = float(min(0.95, max(0.05, a / (a + 2 * b)))) if a + b else 0.5
-    room = durable(own.groupBy("before").agg(F.sum("n").alias("customers"), (F.lit(strength) + d * F.count(F.lit(1))).alias("room")), "leaves")
-    seated = own.join(room, "before").select("hash", "before", ((F.col("n") - d) / F.col("room")).alias("rho"))
-    return room.select("before", (F.col("room") / (strength + F.col("customers"))).alias("fresh")), seated
+    room = F.lit(strength) + d * F.col("dishes")
+    seated = own.select("hash", "before", "n", ((F.col("n") - d) / room).alias("rho"))
+    return own.where("leads").select("before", (room / (strength + F.col("customers"))).alias("fresh")), seated
 
 
 @dataclass
@@ -461,7 +479,8 @@ MODEL = "hash long, total long, p0 float, coarse array<int>, p1 array<float>, ct
 
 
 def word_probabilities(words: DataFrame, history: list[Totals], mean: Totals, sampling: Sampling = Sampling()) -> DataFrame:
-    """Per word: mean predictive probability over the samples, at the root and in its restaurants."""
+    """Per word: mean predictive probability over the samples, at the root and in its restaurants; further columns of ``words`` stay."""
+    more = [c for c in words.columns if c not in _WORDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -476,14 +495,17 @@ def word_probabilities(words: DataFrame, history: list[Totals], mean: Totals, sa
             by_coarse = pa.ListArray.from_arrays(at, p1)
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(own.row, minlength=own.size))]).astype(np.int32))
             fine = pa.ListArray.from_arrays(offsets, pa.array(own.fine.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), p0, coarse, by_coarse, fine, pa.ListArray.from_arrays(offsets, p2)], names=[c.split()[0] for c in MODEL.split(", ")])
+            columns = [batch.column(0), batch.column(1), p0, coarse, by_coarse, fine, pa.ListArray.from_arrays(offsets, p2)]
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[len(_WORDS) :]], names=[*(c.split()[0] for c in MODEL.split(", ")), *more])
 
-    return words.select(*_WORDS).mapInArrow(run, MODEL)
+    schema = ", ".join([MODEL, *(f"{c} {words.schema[c].dataType.simpleString()}" for c in more)])
+    return words.select(*_WORDS, *more).mapInArrow(run, schema)
 
 
 def _head(model: DataFrame, totals: Totals, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted hashes, counts and log10 P(word | class) of the ``most`` most frequent words."""
-    rows = model.orderBy(F.desc("total"), "hash").limit(most).toArrow().combine_chunks()
+    top = model.select("hash", "total").orderBy(F.desc("total"), "hash").limit(most).select("hash")
+    rows = model.join(F.broadcast(top), "hash", "left_semi").toArrow().combine_chunks()
     hashes = rows["hash"].to_numpy()
     order = np.argsort(hashes, kind="stable")
     place = np.empty(len(order), dtype=np.int64)
@@ -503,33 +525,84 @@ def _head(model: DataFrame, totals: Totals, most: int) -> tuple[np.ndarray, np.n
     return hashes[order], rows["total"].to_numpy()[order], np.log10(p2)
 
 
-TOKENS = "row long, key long, before long, p2 double, doc_id long, n_tokens long, n_known long, base double, score double"
+TEXT = "doc_id long, n_tokens long, n_known long, base double, score double"
+TOKENS = f"row long, key long, before long, p2 float, text struct<{TEXT}>"
 
 
 def _pair_key(hashes: np.ndarray, before: np.ndarray) -> np.ndarray:
     return hashes ^ (before << np.uint64(1) | before >> np.uint64(63))
 
 
-def score_texts(docs: DataFrame, model: DataFrame, pairs: DataFrame, totals: Totals, contexts: Contexts, sampling: Sampling = Sampling(), head_words: int = HEAD_WORDS) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of every row of docs (doc_id, body)."""
-    v, n, spark = totals.vocabulary, totals.tokens, docs.sparkSession
-    norm = np.log10(n + 0.5 * (v + 1))
+def _top(frequent: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The least count from which pairs (key, n, rho) are at most ``most``, their keys, ascending, and their rho."""
+    counts = frequent.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().orderBy(F.desc("n")).collect()
+    least, size = (1 << 16) + 1, 0
+    for r in counts:
+        size += r["count"]
+        if size > most or r["n"] < 2:  # pairs seen once are the most and spare the least
+            break
+        least = r["n"]
+    rows = frequent.where(F.col("n") >= least).select("key", "rho").toArrow()
+    keys = rows["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return least, keys[order], rows["rho"].to_numpy()[order]
+
+
+@dataclass(frozen=True)
+class Lookup:
+    """What scoring reads: frequent words and pairs (bounded, to broadcast); all other words and pairs, a row a key."""
+
+    #: Of frequent words hashes, log10 of their base, of P(word | class) and of fresh (the last: a text's start); of frequent pairs keys and rho.
+    shared: Broadcast
+    words: DataFrame
+    pairs: DataFrame
+
+
+def _stem(code: str) -> Column:
+    """What a word's hash and its context (``ClassedIndex.codes``) have in common."""
+    return F.shiftright(code, 8)
+
+
+def find_lookup(model: DataFrame, room: DataFrame, seated: DataFrame, totals: Totals, head_words: int) -> Lookup:
+    """``model`` also has fresh; it is discarded as soon as it has been read."""
+    v, spark = totals.vocabulary, model.sparkSession
     hashes, counts, logs = _head(model, totals, head_words) if v else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, FINE), np.float32))
-    room, seated = leaves(pairs, sampling.strength)
-    # a context differs from its word's hash in the last byte
     top = F.broadcast(spark.createDataFrame(pa.table({"hash": hashes})))
-    stem = lambda c: F.shiftright(c, 8)
-    found = {r["before"] >> 8: r["fresh"] for r in room.join(top, stem("before") == stem("hash"), "left_semi").collect()}  # at most head_words
+    found = dict(model.where("fresh is not null").join(top, "hash", "left_semi").select("hash", "fresh").collect())  # at most head_words
     first = int(np.uint64(xxhash.xxh3_64_intdigest(START)).view(np.int64)) >> 8
-    start = room.where(stem("before") == first).first()
-    leaf = np.log10([found.get(h >> 8, 1.0) for h in hashes.tolist()] + [start["fresh"] if start else 1.0])
-    shared = spark.sparkContext.broadcast((hashes, np.log10(counts + 0.5) - norm, logs, leaf))  # bounded by head_words
+    start = room.where(_stem("before") == first).first()
+    leaf = np.log10([found.get(h, 1.0) for h in hashes.tolist()] + [start["fresh"] if start else 1.0])
+    turned = F.shiftleft("before", 1).bitwiseOR(F.shiftrightunsigned("before", 63))
+    rho = F.col("rho").cast("float").alias("rho")
+    frequent = seated.join(top, "hash", "left_semi").select(F.col("hash").bitwiseXOR(turned).alias("key"), "n", rho)
+    least, keys, rhos = _top(frequent, TOP_PAIRS)
+    # a rare word has fewer dishes in leaves than the head's last word has tokens
+    lists = seated.join(top, "hash", "left_anti").groupBy("hash").agg(F.collect_list(F.struct("before", rho)).alias("x"))
+    lists = lists.select("hash", F.col("x.before").alias("us"), F.col("x.rho").alias("rhos"))
+    words = model.join(top, "hash", "left_anti").join(lists, "hash", "left")
+    words = durable(words.withColumnRenamed("hash", "key").withColumnRenamed("p2", "p2s"), "rare-words", tidy=True)
+    discard(model)
+    frequent = durable(frequent.where(F.col("n") < least).select("key", "rho"), "pairs-of-leaves", tidy=True)
+    # once for all rounds, as every executor keeps a copy; bounded by head_words and TOP_PAIRS
+    shared = spark.sparkContext.broadcast((hashes, np.log10(counts + 0.5) - _norm(totals), logs, leaf, keys, rhos))
+    return Lookup(shared, words, frequent)
+
+
+def _norm(totals: Totals) -> float:
+    return float(np.log10(totals.tokens + 0.5 * (totals.vocabulary + 1)))
+
+
+def score_texts(docs: DataFrame, lookup: Lookup, totals: Totals, contexts: Contexts) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of every row of docs (doc_id, body)."""
+    v, norm, shared = totals.vocabulary, _norm(totals), lookup.shared
+    names = ["row", "key", "before", "p2", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, base, logs, leaf = shared.value
+        hashes, base, logs, leaf, keys, rhos = shared.value
         index, done = ClassedIndex(contexts), 0
         head = np.zeros(0, dtype=np.int64)
         part = TaskContext.get().partitionId() << 40
+        fields = [pa.field(c.split()[0], pa.int64() if c.endswith("long") else pa.float64()) for c in TEXT.split(", ")]
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 ids = batch.column(0)[k : k + 256]
@@ -551,38 +624,35 @@ def score_texts(docs: DataFrame, model: DataFrame, pairs: DataFrame, totals: Tot
                 score = add(opens, leaf[np.where(before[opens] == index[START], -1, head[before[opens]])])
                 plain = np.flatnonzero(on & (kind < OWN))
                 score += add(plain, logs[place[plain], kind[plain]])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(pa.array(part + done + np.arange(size)) for _ in range(2)),
-                        *(pa.nulls(size, t) for t in (pa.int64(), pa.float64())),
-                        ids,
-                        pa.array(np.bincount(text, minlength=size)),
-                        pa.array(np.bincount(text[on], minlength=size)),
-                        pa.array(add(on, base[place[on]])),
-                        pa.array(score),
-                    ],
-                    names=[c.split()[0] for c in TOKENS.split(", ")],
-                )
-                off = np.flatnonzero(~on | (kind >= OWN))
-                context, own = index.codes()[before[off]], index.hashes()[word[off]]
-                rare = ~on[off]
-                key = np.where(rare, own, _pair_key(own, context)).view(np.int64)
-                p2 = 10.0 ** logs[np.maximum(place[off], 0), kind[off]].astype(float) if len(hashes) else np.ones(len(off))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part + done + text[off]), pa.array(key), pa.array(context.view(np.int64)), pa.array(p2, mask=rare), *(pa.nulls(len(off), t) for t in (*[pa.int64()] * 3, *[pa.float64()] * 2))],
-                    names=[c.split()[0] for c in TOKENS.split(", ")],
-                )
+                codes, own = index.codes(), index.hashes()
+                seated = np.flatnonzero(on & (kind >= OWN))
+                key = _pair_key(own[word[seated]], codes[before[seated]])
+                order = np.argsort(key)  # near keys are looked for together
+                seated, key = seated[order], key[order]
+                p2 = 10.0 ** logs[place[seated], kind[seated]].astype(float) if len(hashes) else np.ones(0)
+                at = np.searchsorted(keys, key)
+                top = np.append(keys, np.uint64(0))[at] == key
+                top &= at < len(keys)
+                score += add(seated[top], np.log10(p2[top] + rhos[at[top]]))
+                off, rare = seated[~top], np.flatnonzero(~on)
+                rows = pa.array(part + done + np.arange(size))
+                columns = [ids, *map(pa.array, (np.bincount(text, minlength=size), np.bincount(text[on], minlength=size), add(on, base[place[on]]), score))]
+                # a text's row goes anywhere
+                whole = [rows, rows, pa.nulls(size, pa.int64()), pa.nulls(size, pa.float32()), pa.StructArray.from_arrays(columns, fields=fields)]
+                yield pa.RecordBatch.from_arrays(whole, names=names)
+                many = len(off) + len(rare)
+                tokens = [
+                    pa.array(part + done + text[np.concatenate([rare, off])]),
+                    pa.array(np.concatenate([own[word[rare]], key[~top]]).view(np.int64)),
+                    pa.concat_arrays([pa.array(codes[before[rare]].view(np.int64)), pa.nulls(len(off), pa.int64())]),
+                    pa.concat_arrays([pa.nulls(len(rare), pa.float32()), pa.array(p2[~top].astype(np.float32))]),
+                    pa.nulls(many, pa.struct(fields)),
+                ]
+                yield pa.RecordBatch.from_arrays(tokens, names=names)
                 done += size
 
     tokens = docs.select("doc_id", "body").mapInArrow(run, TOKENS)
-    turned = F.shiftleft("before", 1).bitwiseOR(F.shiftrightunsigned("before", 63))
-    frequent = seated.join(top, "hash", "left_semi").select(F.col("hash").bitwiseXOR(turned).alias("key"), F.array("before").alias("us"), F.array("rho").alias("rhos"))
-    # a rare word has fewer dishes in leaves than the head's last word has tokens
-    lists = seated.join(top, "hash", "left_anti").groupBy("hash").agg(F.collect_list(F.struct("before", "rho")).alias("x"))
-    lists = lists.select("hash", F.col("x.before").alias("us"), F.col("x.rho").alias("rhos"))
-    words = model.join(top, "hash", "left_anti").join(lists, "hash", "left").join(room.select(stem("before").alias("stem"), "fresh"), stem("hash") == F.col("stem"), "left")
-    words = words.drop("stem").withColumnRenamed("hash", "key").withColumnRenamed("p2", "p2s")
-    lookup = words.unionByName(frequent, allowMissingColumns=True)
+    rest = lookup.words.unionByName(lookup.pairs, allowMissingColumns=True)
     fresh = lambda level: F.array(*[F.lit(float(x)) for x in totals.fresh(level)])
     at = _class()
     coarse = F.get(F.array(*[F.lit(int(x)) for x in totals.parents]), at)
@@ -592,17 +662,18 @@ def score_texts(docs: DataFrame, model: DataFrame, pairs: DataFrame, totals: Tot
     unseen = float(totals.fresh(0)[0]) * totals.unseen if v else 1.0
     p0 = F.coalesce(F.col("p0").cast("double"), F.lit(unseen))
     p1 = F.coalesce(pick("coarse", "p1", coarse).cast("double"), F.get(fresh(1), coarse) * p0)
-    p2 = F.coalesce(F.col("p2"), pick("ctx", "p2s", at).cast("double"), F.get(fresh(2), at) * p1)
-    rho = F.coalesce(pick("us", "rhos", F.col("before")), F.lit(0.0))
-    text, rare = F.col("n_tokens").isNotNull(), F.col("p2").isNull()
+    text, rare = F.col("text").isNotNull(), F.col("before").isNotNull()
+    p2 = F.when(rare, F.coalesce(pick("ctx", "p2s", at).cast("double"), F.get(fresh(2), at) * p1)).otherwise(F.col("p2").cast("double"))
+    rho = F.coalesce(F.when(rare, pick("us", "rhos", F.col("before"))).otherwise(F.col("rho")), F.lit(0.0))
     opened = F.when(rare, F.coalesce(F.log10("fresh"), F.lit(0.0))).otherwise(0.0)
-    parts = tokens.join(lookup, "key", "left").select(
+    # the other side has a row a key, so that a task's share of it fits its memory
+    parts = tokens.join(rest.hint("shuffle_hash"), "key", "left").select(
         "row",
-        "doc_id",
-        "n_tokens",
-        F.when(text, F.col("n_known")).otherwise((rare & F.col("total").isNotNull()).cast("long")).alias("n_known"),
-        fixed(F.when(text, F.col("base")).when(rare, F.log10(F.coalesce("total", F.lit(0)) + 0.5) - F.lit(float(norm))).otherwise(0.0)).alias("base"),
-        fixed(F.when(text, F.col("score")).otherwise(F.log10(p2 + rho) + opened)).alias("score"),
+        F.col("text.doc_id").alias("doc_id"),
+        F.col("text.n_tokens").alias("n_tokens"),
+        F.when(text, F.col("text.n_known")).otherwise((rare & F.col("total").isNotNull()).cast("long")).alias("n_known"),
+        fixed(F.when(text, F.col("text.base")).when(rare, F.log10(F.coalesce("total", F.lit(0)) + 0.5) - F.lit(norm)).otherwise(0.0)).alias("base"),
+        fixed(F.when(text, F.col("text.score")).otherwise(F.log10(p2 + rho) + opened)).alias("score"),
     )
     whole = [(F.sum(c) / F.lit(2.0**FIXED)).alias(name) for c, name in (("base", "base_score"), ("score", "score"))]
     sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), *whole)
@@ -622,8 +693,18 @@ def score_documents(docs: DataFrame, training: Column, sampling: Sampling = Samp
     learned = bodies.where("training")
     contexts = find_contexts(learned)
     pairs = pair_counts(learned, contexts)
-    words = durable(word_counts(learned, contexts, pairs), "word-counts")
+    room, seated = leaves(pairs, sampling.strength)
+    # a context differs from its word's hash in the last byte
+    fresh = room.select(_stem("before").alias("stem"), "fresh")
+    counts = word_counts(learned, contexts, pairs)
+    words = durable(counts.join(fresh, _stem("hash") == F.col("stem"), "left").drop("stem"), "word-counts", tidy=True)
     history, mean = fit_totals(words, contexts.parents, sampling)
     model = durable(word_probabilities(words, history, mean, sampling), "word-model")
-    scored = score_texts(bodies, model, pairs, mean, contexts, sampling, head_words)
-    return scored.withColumn("train_tokens", F.lit(mean.tokens).cast("long"))
+    discard(words)
+    lookup = find_lookup(model, room, seated, mean, head_words)
+    discard(pairs)
+    turn = F.pmod(F.xxhash64("doc_id", "body"), F.lit(ROUNDS))
+    scored = [durable(score_texts(bodies.where(turn == k), lookup, mean, contexts), "scores", tidy=True) for k in range(ROUNDS)]
+    discard(lookup.words, lookup.pairs)
+    lookup.shared.destroy()
+    return reduce(DataFrame.unionAll, scored).withColumn("train_tokens", F.lit(mean.tokens).cast("long"))

@@ -1,13 +1,16 @@
 import math
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from conftest import DOCS, SF
 from pyspark.sql import functions as F
 
+from footing import tables
 from footing.llm import language_model as lm
 from footing.llm.common import durable, text_bytes
 from footing.llm.queries import op3_lm_scoring
@@ -204,3 +207,33 @@ def test_scores_against_plain_sums(spark):
     for head in (50, 10**6):
         for r in lm.score_documents(docs, train, head_words=head).collect():
             assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-5)
+
+
+def test_pairs_by_broadcast_and_by_join_score_alike(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300)
+    docs = docs.unionByName(docs.limit(3))  # repeated rows each have a row
+    rows = []
+    for top, rounds in ((0, 1), (50, 3), (10**6, 2)):
+        monkeypatch.setattr(lm, "TOP_PAIRS", top)
+        monkeypatch.setattr(lm, "ROUNDS", rounds)
+        rows.append(sorted((r["doc_id"], r["n_known"], r["base_score"], r["score"]) for r in lm.score_documents(docs, F.col("doc_id") % 2 == 0, head_words=2000).collect()))
+    assert len(rows[0]) == 303
+    for other in rows[1:]:
+        assert [r[:3] for r in other] == [r[:3] for r in rows[0]]
+        assert [r[3] for r in other] == pytest.approx([r[3] for r in rows[0]], rel=1e-6)
+
+
+def test_little_of_a_run_stays_on_disk(spark):
+    """At most the scores and the parts of the lists of words, and nothing that was shuffled for a tidy table."""
+    docs = spark.createDataFrame([(k, f"a b c{k % 3} a d e{k}") for k in range(40)], "doc_id long, text string")
+    first = tables.written()
+    assert lm.score_documents(docs, F.lit(True)).count() == 40
+    assert {path.rsplit("/", 1)[1].rsplit("-", 1)[0] for _, path in tables._WRITTEN[first:]} <= {"scores", "word-parts"}
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    files = lambda: {p.name for d in env.blockManager().diskBlockManager().localDirsString() for p in Path(d).rglob("shuffle_*.data")}
+    before = files()
+    durable(spark.range(1000).groupBy(F.col("id") % 7).count(), "t", tidy=True)
+    end = time.time() + 20  # removal goes on behind
+    while not files() <= before and time.time() < end:
+        time.sleep(0.2)
+    assert files() <= before
